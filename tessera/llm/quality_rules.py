@@ -113,7 +113,8 @@ def certified(counts: dict[tuple[str, str], dict[tuple[bool, int, int], int]], a
         of = lambda hold, quality, least: sum(n for (h, q, c), n in seen.items() if (h, q) == (hold, quality) and c >= least)
         good, best = of(True, 1, 0), (0.0, None)
         fit = {q: max(of(False, q, 0), 1) for q in (0, 1)}
-        for i, cutoff in enumerate(rule.cutoffs, 1):
+        for i, cutoff in enumerate(rule.cutoffs):
+            i = len(rule.cutoffs) - i  # a document beyond this cutoff is beyond all the stricter ones
             if not good or binomial_tail(of(True, 1, i), good, alpha / len(RULES)) > delta / chains:
                 break
             gain = of(False, 0, i) / fit[0] - of(False, 1, i) / fit[1]
