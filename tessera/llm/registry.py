@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality_rules
+from tessera.llm import bpe, quality_rules
 
 
 def queries():
-    return {"op1_quality_rules": quality_rules.op1_quality_rules}
+    return {"op1_quality_rules": quality_rules.op1_quality_rules, "op7_byte_bpe": bpe.op7_byte_bpe}
 
 
 def oracle_sql():
