@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, quality_rules
+from tessera.llm import bpe, mixing, quality_rules
 
 
 def queries():
-    return {"op1_quality_rules": quality_rules.op1_quality_rules, "op7_byte_bpe": bpe.op7_byte_bpe}
+    return {"op1_quality_rules": quality_rules.op1_quality_rules, "op7_byte_bpe": bpe.op7_byte_bpe, "op10_mix": mixing.op10_mix}
 
 
 def oracle_sql():
-    return {"op1_quality_rules": quality_rules.OP1_SQL}
+    return {"op1_quality_rules": quality_rules.OP1_SQL, "op10_mix": mixing.OP10_SQL}
