@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, mixing, quality_rules
+from tessera.llm import bpe, mixing, quality_rules, simhash
 
 
 def queries():
-    return {"op1_quality_rules": quality_rules.op1_quality_rules, "op7_byte_bpe": bpe.op7_byte_bpe, "op10_mix": mixing.op10_mix}
+    return {"op1_quality_rules": quality_rules.op1_quality_rules, "op2_simhash": simhash.op2_simhash, "op7_byte_bpe": bpe.op7_byte_bpe, "op10_mix": mixing.op10_mix}
 
 
 def oracle_sql():
