@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: Pieces that a worker keeps with their ids; beyond that it starts anew.
-KNOWN_PIECES = 200_000
+#: Words that a worker keeps with their ids, twice: those of late and those before.
+KNOWN_WORDS = 300_000
 
 
 def byte_characters() -> list[str]:
@@ -59,6 +61,14 @@ def library_json(ranks: dict[bytes, int]) -> str:
     return made.to_str()
 
 
+#: A stretch of text: its ids as 32-bit numbers end to end, and in decimal.
+Stretch = tuple[bytes, str]
+
+
+def ids_of(stretches: list[Stretch]) -> np.ndarray:
+    return np.frombuffer(b"".join([ids for ids, _ in stretches]), np.int32)
+
+
 class Codec:
     """One worker's encoder and decoder."""
 
@@ -66,33 +76,80 @@ class Codec:
         import regex
         from tokenizers import Tokenizer
 
+        gc.set_threshold(200_000, 20, 50)  # what is kept here has no cycles
+
         self.library = Tokenizer.from_str(json_text)
         self.cut = regex.compile(pattern).findall
         back = {c: b for b, c in enumerate(byte_characters())}
-        self.token_bytes: dict[int, bytes] = {i: bytes(back[c] for c in t) for t, i in self.library.get_vocab().items()}
-        self.shown = {i: str(i) for i in self.token_bytes}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def learn(self, pieces: Iterable[str]) -> None:
-        if len(self.known) > KNOWN_PIECES:
-            self.known = {}
-        new = [p for p in set(pieces) if p not in self.known]
-        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = tuple(found.ids)
-
-    def encode(self, text: str) -> list[int]:
-        pieces = self.cut(text)
-        try:
-            return list(chain.from_iterable(map(self.known.__getitem__, pieces)))
-        except KeyError:
-            self.learn(pieces)
-            return list(chain.from_iterable(map(self.known.__getitem__, pieces)))
-
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, ids))
+        tokens = {i: bytes(back[c] for c in t) for t, i in self.library.get_vocab().items()}
+        self.token_bytes = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.lengths = np.array([len(t) for t in self.token_bytes], np.int64)
+        self.firsts = np.cumsum(self.lengths) - self.lengths
+        self.all_bytes = np.frombuffer(b"".join(self.token_bytes), np.uint8)
+        # words that came lately, and those before them; None: such a word is not cut off safely
+        self.young: dict[str, Stretch | None] = {}
+        self.old: dict[str, Stretch | None] = {}
+
+    def encoded(self, pieces: list[str]) -> list[Stretch]:
+        got = [found.ids for found in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [(array("i", ids).tobytes(), ",".join(map(str, ids))) for ids in got]
+
+    def learn(self, words: set[str]) -> None:
+        """Puts every word, as it stands after a space, among the young ones."""
+        if len(self.young) > KNOWN_WORDS:
+            self.young, self.old = {}, self.young
+        missing = [w for w in words if w not in self.young]
+        if self.old:
+            kept = [w for w in missing if w in self.old]
+            self.young.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
+            missing = [w for w in missing if w not in self.old]
+        single, several = [], []
+        for word in missing:
+            if not word or word[0].isspace() or word[-1].isspace():
+                self.young[word] = None
+            else:
+                cut = self.cut(f" {word}")
+                (single if len(cut) == 1 else several).append((word, cut))
+        self.young.update(zip([w for w, _ in single], self.encoded([c[0] for _, c in single]), strict=True))
+        pieces = list({p for _, cut in several for p in cut})
+        found = dict(zip(pieces, self.encoded(pieces), strict=True))
+        for word, cut in several:
+            own = [found[p] for p in cut]
+            self.young[word] = b"".join([ids for ids, _ in own]), ",".join([shown for _, shown in own])
+
+    def stretches(self, texts: list[str]) -> list[list[Stretch]]:
+        """The stretches that make up each text.
+
+        A space between two characters that aren't white space always starts a piece, so texts are cut there
+        first, and the pattern sees each distinct word once. A text with white space beside a space goes to the
+        pattern whole.
+        """
+        parts = [x.split(" ") for x in texts]
+        self.learn(set(chain.from_iterable(x[1:] for x in parts)))
+        cuts: list[list[str]] = []
+        tails: list[list[Stretch]] = []
+        for text, words in zip(texts, parts, strict=True):
+            tail = [*map(self.young.__getitem__, words[1:])]
+            whole = None in tail or words[0][-1:].isspace()
+            cuts.append(self.cut(text if whole else words[0]))
+            tails.append([] if whole else tail)
+        pieces = list(set(chain.from_iterable(cuts)))
+        known = dict(zip(pieces, self.encoded(pieces), strict=True))
+        return [[*map(known.__getitem__, cut), *tail] for cut, tail in zip(cuts, tails, strict=True)]
+
+    def encode(self, text: str) -> np.ndarray:
+        return ids_of(self.stretches([text])[0])
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The tokens' bytes, end to end."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        if not len(ids) or not ends[-1]:
+            return b""
+        return self.all_bytes[np.repeat(self.firsts[ids] - ends + lengths, lengths) + np.arange(ends[-1])].tobytes()
 
     def decode(self, ids: Iterable[int]) -> str:
-        return self.decode_bytes(ids).decode("utf-8", "replace")
+        return self.decode_bytes(np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as tokens arrive; a character split over tokens comes with its last one."""
@@ -101,11 +158,11 @@ class Codec:
             yield part.decode(self.token_bytes[i])
         yield part.decode(b"", final=True)
 
-    def offsets(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and one past the last character of each token; a token with part of a character spans all of it."""
         raw = np.frombuffer(text.encode(), np.uint8)
         character = np.cumsum((raw & 0xC0) != 0x80) - 1  # of each byte
-        ends = np.cumsum([len(self.token_bytes[i]) for i in ids], dtype=np.int64)
+        ends = np.cumsum(self.lengths[ids])
         starts = np.concatenate([np.zeros(min(1, len(ids)), np.int64), ends[:-1]])
         return character[starts], character[ends - 1] + 1
 
@@ -158,12 +215,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     tool = _open(docs, path, pattern)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.chunks(batches):
+        for batch in common.chunks(batches, 512):
             t, counts, seen, back = tool(), [], [], []
-            for raw in common.texts_of(batch, "text"):
-                ids = t.encode(raw.decode("utf-8", "replace"))
+            for own in t.stretches([x.decode("utf-8", "replace") for x in common.texts_of(batch, "text")]):
+                ids = ids_of(own)
                 counts.append(len(ids))
-                seen.append(hashlib.sha256(",".join(map(t.shown.__getitem__, ids)).encode()).hexdigest())
+                seen.append(hashlib.sha256(",".join([shown for _, shown in own]).encode()).hexdigest())
                 back.append(hashlib.sha256(t.decode_bytes(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(counts, pa.int64()), pa.array(seen, pa.string()), pa.array(back, pa.string())],
