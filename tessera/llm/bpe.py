@@ -210,24 +210,26 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "id", ids_c
     return tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(work, "id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256: every text encoded, and decoded again from its ids."""
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256, and ids if wanted: every text encoded, and decoded again from its ids."""
     tool = _open(docs, path, pattern)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches, 512):
-            t, counts, seen, back = tool(), [], [], []
+            t, counts, seen, back, kept = tool(), [], [], [], []
             for own in t.stretches([x.decode("utf-8", "replace") for x in common.texts_of(batch, "text")]):
                 ids = ids_of(own)
                 counts.append(len(ids))
                 seen.append(hashlib.sha256(",".join([shown for _, shown in own]).encode()).hexdigest())
                 back.append(hashlib.sha256(t.decode_bytes(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(counts, pa.int64()), pa.array(seen, pa.string()), pa.array(back, pa.string())],
-                ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return _rows(docs, id_col, text_col).mapInArrow(work, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                kept.append(ids)
+            columns = {"id": batch.column("id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(seen, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+            if with_ids:
+                ends = np.cumsum([0, *counts]).astype(np.int32)
+                columns["ids"] = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *kept]))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return _rows(docs, id_col, text_col).mapInArrow(work, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"

@@ -17,7 +17,9 @@ rows. Extra columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST_EPOCHS = 1.5, 2
 BLOCK_WORDS = 256
 SEED = "mix-1"
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 GOLDEN = (math.sqrt(5) - 1) / 2
 CHUNK = 1 << 16
 BUCKET_DIGITS = 3  # of a hexadecimal hash: 4096 buckets
@@ -147,6 +150,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return found.select("id", "source", "size", "source_size", "target", "at", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), draws
 
 
+def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself: docs with a row for each time a document is taken, the last cut after its last word taken.
+
+    Rows with equal id and source each get the least that the mix takes of one of them. Documents of which it takes
+    nothing are not in the mix.
+    """
+    found, _ = mix(docs, id_col, text_col, source_col, **how)
+    plan = found.where("taken > 0").groupBy("id", "source").agg(F.min("taken").alias("_taken"))
+    plan = plan.select(F.col("id").alias("_mix_id"), F.col("source").alias("_mix_source"), "_taken")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_mix_source"))
+    rows = common.bounded(docs).join(plan, same).select(*docs.columns, "_taken")
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.chunks(batches, 256):
+            texts = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
+            take, out = [], []
+            for i, (text, words) in enumerate(zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
+                whole, rest = divmod(words, max(len(text.split()), 1))
+                take += [i] * (whole + (rest > 0))
+                out += [text] * whole
+                if rest:
+                    out.append(text[: next(islice(WORD.finditer(text), rest - 1, None)).end()])
+            columns = list(batch.take(pa.array(take, pa.int64())).columns[:-1])
+            columns[at] = pa.array([x.decode("utf-8", "replace") for x in out], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rows.mapInArrow(repeat, docs.schema)
+
+
 def op10_mix(spark, sf_dir: str) -> DataFrame:
     found, _ = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
