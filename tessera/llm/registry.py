@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, line_crf, lm, mixing, pii, quality_rules, simhash
+from tessera.llm import bpe, langid, line_crf, lm, mixing, pii, quality_rules, simhash
 
 
 def queries():
-    return {"op1_quality_rules": quality_rules.op1_quality_rules, "op2_simhash": simhash.op2_simhash, "op5_pii": pii.op5_pii, "op6_line_crf": line_crf.op6_line_crf, "op7_byte_bpe": bpe.op7_byte_bpe, "op9_lm_scores": lm.op9_lm_scores, "op10_mix": mixing.op10_mix}
+    return {"op1_quality_rules": quality_rules.op1_quality_rules, "op2_simhash": simhash.op2_simhash, "op5_pii": pii.op5_pii, "op6_line_crf": line_crf.op6_line_crf, "op7_byte_bpe": bpe.op7_byte_bpe, "op8_language_id": langid.op8_language_id, "op9_lm_scores": lm.op9_lm_scores, "op10_mix": mixing.op10_mix}
 
 
 def oracle_sql():
