@@ -137,8 +137,9 @@ def train(rows: DataFrame, core: int = CORE, states: int = STATES, arcs: int = A
     total = sum(n * c for n, c in of_counts.items()) + ends
     unit = total + 0.5 * (sum(of_counts.values()) + (ends > 0) + 1)
     least = least_kept(of_counts, core)
-    top = sorted(((-r["n"], bytes(r["word"])) for r in counts.where(F.col("n") >= least).collect()))
-    words, n = [w for _, w in top], np.array([-c for c, _ in top] + [ends], float)
+    top = counts.where(F.col("n") >= least).select("word", "n").toArrow()  # core rows at most
+    top = top.sort_by([("n", "descending"), ("word", "ascending")])
+    words, n = top.column("word").to_pylist(), np.append(top.column("n").to_numpy(), ends).astype(float)
     share = (n + 0.5) / unit
     states, end = min(states, len(words)), len(words)
     index = spark.sparkContext.broadcast({w: i for i, w in enumerate(words[:states])})
@@ -163,8 +164,8 @@ def train(rows: DataFrame, core: int = CORE, states: int = STATES, arcs: int = A
     histogram = {r["n"]: r["count"] for r in counted.groupBy("n").count().collect()}
     once, twice = histogram.get(1, 0), histogram.get(2, 0)
     discount = once / (once + 2 * twice) if once and twice else 0.5
-    kept = counted.where(F.col("n") >= max(2, least_kept(histogram, arcs))).toArrow().to_pandas().sort_values("pair")
-    key, many = kept["pair"].to_numpy(np.int64), kept["n"].to_numpy(float)
+    kept = counted.where(F.col("n") >= max(2, least_kept(histogram, arcs))).toArrow().sort_by("pair")
+    key, many = kept.column("pair").to_numpy(), kept.column("n").to_numpy().astype(float)
     common.discard(counted)
     left, right = key // (states + 1), key % (states + 1)
     after = np.append(n[:states], ends)  # each state is left as often as its word, or the start, occurs
