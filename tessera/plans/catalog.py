@@ -2,14 +2,452 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.operators import cross_section as xs
+from tessera.operators import diagnostics, neutral, panel
+from tessera.operators import timeseries as ts
+from tessera.plans import sql
+from tessera.sources import tables
 
-def oracle_sql():
-    return {}
+HORIZONS, LABELS, DAYS, GROUPS, LEAST = (1, 3), ("1d", "3d"), {"1d": 1, "3d": 3}, 5, 10
+STYLES, REGIONS = ("size", "weight", "balance"), ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+START, END = "1994-01-01", "1996-12-31"
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLE: dict[str, str] = {}
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+
+def query(name: str, oracle: str | None = None):
+    def keep(function):
+        _QUERIES[name] = function
+        if oracle:
+            _ORACLE[name] = oracle
+        return function
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLE)
+
+
+class Bound:
+    """The operators' inputs and shared steps over one set of tables; all lazy."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.cells = tables.cells(spark, sf_dir)
+        self.who = tables.suppliers(spark, sf_dir)
+        self.factor = tables.factor(self.cells)
+        self.risk = tables.risk(self.cells, self.who)
+        self.book = tables.book(self.cells)
+
+    @property
+    def returns(self) -> DataFrame:
+        return panel.forward_returns(self.cells, HORIZONS)
+
+    def ic(self, method: str = "spearman") -> DataFrame:
+        return xs.daily_ic(self.factor, self.returns, LABELS, method, LEAST)
+
+    @property
+    def groups(self) -> DataFrame:
+        return xs.group_returns(self.factor, self.returns, GROUPS, LEAST)
+
+    @property
+    def spread(self) -> DataFrame:
+        return xs.long_short(self.groups, 1, GROUPS)
+
+
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(xs.group_returns(tables.factor(tables.cells(spark, sf_dir)), panel.forward_returns(tables.cells(spark, sf_dir), HORIZONS), GROUPS, 5))
+
+
+# ---- sources ---------------------------------------------------------------------------------------------------
+
+
+@query("market_left_join", """SELECT o_orderkey, o_custkey, c_mktsegment, round(o_totalprice, 4) AS amount, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+  LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-03-01'""")
+def _(spark, d):
+    o = tables.read(spark, d, "orders").where((F.col("o_orderdate") >= "1995-01-01") & (F.col("o_orderdate") < "1995-03-01"))
+    j = o.join(tables.read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(tables.read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return j.select("o_orderkey", "o_custkey", "c_mktsegment", F.round("o_totalprice", 4).alias("amount"), "n_name")
+
+
+@query("latest_version_scan", "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
+def _(spark, d):
+    from tessera.sources.risk import latest_versions
+
+    return latest_versions(tables.read(spark, d, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value")
+
+
+@query("wide_to_long", """SELECT p_partkey, name, v FROM (SELECT p_partkey, p_size::DOUBLE AS size, p_retailprice AS price FROM part) UNPIVOT INCLUDE NULLS (v FOR name IN (size, price))""")
+def _(spark, d):
+    p = tables.read(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
+    return p.unpivot(["p_partkey"], ["size", "price"], "name", "v")
+
+
+@query("book_mean_dedupe", "SELECT CAST(ts AS DATE) AS trade_date, CAST(user_id AS VARCHAR) AS symbol, event_type AS factor_id, round(avg(value), 9) AS value FROM events GROUP BY 1, 2, 3")
+def _(spark, d):
+    from tessera.sources.books import normalize_book
+
+    e = tables.read(spark, d, "events").select(F.to_date("ts").alias("date"), F.col("user_id").alias("stock_id"), F.col("event_type").alias("factor_id"), "value")
+    return rounded(normalize_book(e))
+
+
+@query("user_day_panel", "SELECT CAST(ts AS DATE) AS trade_date, CAST(user_id AS VARCHAR) AS symbol, round(avg(value), 6) AS value FROM events GROUP BY 1, 2")
+def _(spark, d):
+    return tables.user_days(spark, d)
+
+
+# ---- panel -----------------------------------------------------------------------------------------------------
+
+
+@query("calendar_shift", sql.query("SELECT a.trade_date AS date, b.trade_date AS shifted FROM cal a LEFT JOIN cal b ON b.t = a.t + 2", "cal"))
+def _(spark, d):
+    days = panel.calendar(tables.cells(spark, d))
+    return panel.shift_sessions(days.select(F.col("trade_date").alias("date")), days, 2)
+
+
+@query("window_ending", sql.query("SELECT trade_date, t FROM cal WHERE trade_date <= DATE '1995-06-15' ORDER BY trade_date DESC LIMIT 12", "cal"))
+def _(spark, d):
+    return panel.window_ending(panel.calendar(tables.cells(spark, d)), "1995-06-15", 12)
+
+
+@query("next_session_lookup", sql.query("SELECT c.trade_date, n.symbol, n.f1 AS value FROM px n JOIN cal c ON c.t = n.t - 1", "px"))
+def _(spark, d):
+    rows = tables.factor(tables.cells(spark, d))
+    return panel.at_next_date(rows, rows)
+
+
+@query("forward_returns", sql.query("SELECT trade_date, symbol, horizon, round(ret, 9) AS ret FROM returns", "returns"))
+def _(spark, d):
+    return rounded(Bound(spark, d).returns)
+
+
+@query("listed_days", sql.query("SELECT trade_date, symbol, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS listed_days FROM cells", "cells"))
+def _(spark, d):
+    return panel.listed_days(tables.cells(spark, d)).select("trade_date", "symbol", "listed_days")
+
+
+_FLAGGED = """listed AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS listed_days FROM cells),
+flagged AS (SELECT trade_date, symbol, NOT coalesce(open_price > 0, false) AS open_invalid, coalesce(high_price >= limit_up_price, false) AS limit_up_touch, coalesce(low_price <= limit_down_price, false) AS limit_down_touch,
+  coalesce(is_st, 1) = 1 AS st, coalesce(is_suspended, 1) = 1 AS suspended, coalesce(listed_days < 12, false) AS new_stock FROM listed)"""
+_VALID = "NOT open_invalid AND NOT limit_up_touch AND NOT limit_down_touch AND NOT st AND NOT suspended AND NOT new_stock"
+
+
+def _flagged(spark, d):
+    return panel.tradability(panel.listed_days(tables.cells(spark, d)), 12)
+
+
+@query("tradability_mask", sql.query("SELECT 1", "cells").replace("\nSELECT 1", f",\n{_FLAGGED} SELECT trade_date, symbol, {_VALID} AS valid FROM flagged"))
+def _(spark, d):
+    return _flagged(spark, d).select("trade_date", "symbol", "valid")
+
+
+@query("tradability_counts", sql.query("SELECT 1", "cells").replace("\nSELECT 1", f""",\n{_FLAGGED} SELECT trade_date, count(*) FILTER (limit_up_touch) AS limit_up_touch_count, count(*) FILTER (limit_down_touch) AS limit_down_touch_count,
+  count(*) FILTER (st) AS st_count, count(*) FILTER (suspended) AS suspended_count, count(*) FILTER (new_stock) AS new_stock_filtered_count, count(*) FILTER (open_invalid) AS open_invalid_count, count(*) FILTER ({_VALID}) AS after_filter_count FROM flagged GROUP BY 1"""))
+def _(spark, d):
+    return panel.tradability_summary(_flagged(spark, d))
+
+
+@query("pool_semi_join", sql.query("SELECT trade_date, symbol, f1 AS value FROM cells SEMI JOIN (SELECT symbol FROM who WHERE balance > 0) USING (symbol)", "cells", "who"))
+def _(spark, d):
+    b = Bound(spark, d)
+    return panel.in_pool(b.factor, b.cells, tables.pool(b.cells, b.who)).where("member").select("trade_date", "symbol", "value")
+
+
+@query("dense_grid_quality", sql.query("""SELECT trade_date, count(*) AS pool_stock_count, count(f1) AS valid_factor_count, round(count(f1) / count(*), 9) AS coverage_ratio, round(count(*) FILTER (f1 = 0) / count(*), 9) AS zero_ratio,
+  round(1 - count(f1) / count(*), 9) AS nan_ratio, 0.0::DOUBLE AS inf_ratio FROM grid LEFT JOIN cells USING (trade_date, symbol) GROUP BY 1""", "grid"))
+def _(spark, d):
+    b = Bound(spark, d)
+    return rounded(panel.quality(panel.in_pool(b.factor, b.cells, None)))
+
+
+# ---- information coefficients ------------------------------------------------------------------------------------
+
+
+@query("ic_spearman", sql.query("SELECT trade_date, horizon, round(ic, 9) AS ic, k AS n FROM ic", "ic"))
+def _(spark, d):
+    return rounded(Bound(spark, d).ic())
+
+
+@query("ic_pearson", sql.query("""SELECT l.trade_date, l.horizon, round(c.ic, 9) AS ic, coalesce(c.k, 0) AS n FROM labels l LEFT JOIN (SELECT trade_date, horizon, count(*) AS k,
+  CASE WHEN count(*) >= 10 AND min(value) < max(value) AND min(ret) < max(ret) THEN corr(value, ret) END AS ic FROM pairs GROUP BY 1, 2) c USING (trade_date, horizon)""", "labels", "pairs"))
+def _(spark, d):
+    return rounded(Bound(spark, d).ic("pearson"))
+
+
+def _with_hac(body: str, block: str, keys: str, value: str, days: str, *more: str) -> str:
+    return sql.query("SELECT 1", block, *more).replace("\nSELECT 1", f",\n{sql.hac(block, keys, value, days)}\n{body}")
+
+
+_IC_STATS = """SELECT i.horizon, round(avg(ic), 9) AS ic_mean, round(stddev_samp(ic), 9) AS ic_std, round(avg(ic) / stddev_samp(ic), 9) AS icir_raw, round(avg((ic > 0)::INT), 9) AS ic_positive_ratio,
+  round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 9) AS t_stat_naive, round(max(t_hac), 9) AS t_stat_hac, max(lag)::INT AS hac_lag, count(ic) AS valid_days, 'ok' AS hac_status,
+  round(avg(ic) / stddev_samp(ic), 9) AS icir, round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 9) AS t_stat FROM ic i JOIN hac USING (horizon) GROUP BY 1"""
+
+
+@query("ic_stats_hac", _with_hac(_IC_STATS, "ic", "horizon", "ic", "days"))
+def _(spark, d):
+    return rounded(ts.ic_stats(Bound(spark, d).ic(), DAYS))
+
+
+@query("ic_yearly", sql.query("SELECT 1", "ic").replace("\nSELECT 1", f""",
+yearly AS (SELECT *, year(trade_date) AS y FROM ic), {sql.hac("yearly", "y, horizon", "ic", "days").strip()},
+spans AS (SELECT y, min(trade_date) AS s, max(trade_date) AS e FROM yearly GROUP BY 1),
+g AS (SELECT y, horizon, avg(ic) AS a, stddev_samp(ic) AS b, avg((ic > 0)::INT) AS p, count(ic) AS n FROM yearly GROUP BY 1, 2)
+SELECT y::INT AS year, horizon, CASE WHEN n >= 10 THEN round(a, 9) END AS ic_mean, CASE WHEN n >= 10 THEN round(b, 9) END AS ic_std, CASE WHEN n >= 10 THEN round(a / b, 9) END AS icir_raw, CASE WHEN n >= 10 THEN round(p, 9) END AS ic_positive_ratio,
+  CASE WHEN n >= 10 THEN round(t_hac, 9) END AS t_stat_hac, coalesce(lag, 0)::INT AS hac_lag, n AS valid_days, s AS start_date, e AS end_date, month(s) = 1 AND month(e) = 12 AS is_complete_year, n >= 10 AS meets_min_days
+FROM g LEFT JOIN hac USING (y, horizon) JOIN spans USING (y)"""))
+def _(spark, d):
+    return rounded(ts.yearly_ic_stats(Bound(spark, d).ic(), DAYS, 10))
+
+
+@query("ic_rolling20", sql.query("SELECT trade_date, horizon, round(ic, 9) AS ic, round(avg(ic) OVER (PARTITION BY horizon ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 9) AS moving_average FROM ic", "ic"))
+def _(spark, d):
+    return rounded(ts.moving_average(Bound(spark, d).ic().drop("n"), "ic"))
+
+
+@query("ic_cumulative", sql.query("SELECT trade_date, horizon, round(ic, 9) AS ic, CASE WHEN ic IS NOT NULL THEN round(sum(ic) OVER (PARTITION BY horizon ORDER BY trade_date ROWS UNBOUNDED PRECEDING), 9) END AS cumulative FROM ic", "ic"))
+def _(spark, d):
+    return rounded(ts.cumulative(Bound(spark, d).ic().drop("n"), "ic"))
+
+
+@query("ic_view_range", sql.query(f"""SELECT trade_date, horizon, round(ic, 9) AS ic, round(c - first_value(c IGNORE NULLS) OVER (PARTITION BY horizon ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 9) AS cumulative, round(ma, 9) AS moving_average
+  FROM (SELECT *, CASE WHEN ic IS NOT NULL THEN sum(ic) OVER (PARTITION BY horizon ORDER BY trade_date ROWS UNBOUNDED PRECEDING) END AS c, avg(ic) OVER (PARTITION BY horizon ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS ma FROM ic)
+  WHERE trade_date BETWEEN DATE '{START}' AND DATE '{END}'""", "ic"))
+def _(spark, d):
+    from tessera.plans.views import ic_view
+
+    return rounded(ic_view(Bound(spark, d).ic(), DAYS, START, END).curves)
+
+
+# ---- groups ------------------------------------------------------------------------------------------------------
+
+
+@query("group_returns", sql.query('SELECT trade_date, horizon, grp AS "group", round(group_return, 9) AS group_return FROM groups', "groups"))
+def _(spark, d):
+    return rounded(Bound(spark, d).groups)
+
+
+@query("group_summary", sql.query("""SELECT grp AS "group", round(avg(group_return) FILTER (horizon = '1d'), 9) AS "1d", round(avg(group_return) FILTER (horizon = '3d'), 9) AS "3d" FROM groups GROUP BY 1""", "groups"))
+def _(spark, d):
+    return rounded(ts.group_summary(Bound(spark, d).groups, LABELS))
+
+
+@query("group_layered", sql.query("""SELECT w AS "window", size AS window_size, (SELECT max(trade_date) FROM groups) AS end_date, grp AS "group", horizon, round(avg(group_return), 9) AS mean_return
+  FROM groups JOIN (SELECT trade_date, row_number() OVER (ORDER BY trade_date DESC) AS k FROM (SELECT DISTINCT trade_date FROM groups)) USING (trade_date) JOIN (VALUES ('1y', 12), ('3y', 36)) v(w, size) ON k <= size GROUP BY 1, 2, 4, 5""", "groups"))
+def _(spark, d):
+    return rounded(ts.layered_summary(Bound(spark, d).groups, {"1y": 12, "3y": 36}))
+
+
+@query("long_short", sql.query("SELECT trade_date, horizon, round(spread, 9) AS spread FROM spread", "spread"))
+def _(spark, d):
+    return rounded(Bound(spark, d).spread)
+
+
+_DAILY = "CASE WHEN horizon = '1d' THEN {0} WHEN {0} > -1 THEN pow(1 + {0}, 1.0::DOUBLE / 3) - 1 END"
+
+
+@query("long_short_daily_equiv", sql.query(f"""SELECT trade_date, horizon, round(max(CASE WHEN grp = 5 THEN {_DAILY.format("group_return")} END) - max(CASE WHEN grp = 1 THEN {_DAILY.format("group_return")} END), 9) AS spread FROM groups GROUP BY 1, 2""", "groups"))
+def _(spark, d):
+    return rounded(xs.daily_equivalent_long_short(Bound(spark, d).groups, DAYS, 1, GROUPS)[0])
+
+
+@query("long_short_cumulative", sql.query("SELECT trade_date, horizon, round(spread, 9) AS spread, round(sum(coalesce(spread, 0)) OVER (PARTITION BY horizon ORDER BY trade_date ROWS UNBOUNDED PRECEDING), 9) AS cumulative FROM spread", "spread"))
+def _(spark, d):
+    return rounded(ts.filled_cumulative(Bound(spark, d).spread, "spread"))
+
+
+@query("group_cumulative", sql.query(f"""SELECT k.trade_date, k.horizon, k.grp AS "group", round(exp(sum(ln(1 + coalesce({_DAILY.format("g.group_return")}, 0))) OVER (PARTITION BY k.horizon, k.grp ORDER BY k.trade_date ROWS UNBOUNDED PRECEDING)), 9) AS nav
+  FROM (SELECT trade_date, horizon, grp FROM cal CROSS JOIN (SELECT DISTINCT horizon, grp FROM groups)) k LEFT JOIN groups g ON g.trade_date = k.trade_date AND g.horizon = k.horizon AND g.grp = k.grp""".replace("WHEN horizon", "WHEN k.horizon"), "groups", "cal"))
+def _(spark, d):
+    b = Bound(spark, d)
+    return rounded(ts.group_curves(b.groups, b.factor, DAYS))
+
+
+_NAV = """nav AS (SELECT horizon, trade_date, exp(sum(ln(1 + spread)) OVER (PARTITION BY horizon ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) AS v FROM spread WHERE spread IS NOT NULL),
+dd AS (SELECT horizon, min(v / p - 1) AS max_drawdown FROM (SELECT *, max(v) OVER (PARTITION BY horizon ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS p FROM nav) GROUP BY 1)"""
+
+
+@query("drawdown", sql.query("SELECT 1", "spread").replace("\nSELECT 1", f",\n{_NAV} SELECT horizon, round(max_drawdown, 9) AS max_drawdown FROM dd"))
+def _(spark, d):
+    return rounded(ts.max_drawdown(Bound(spark, d).spread))
+
+
+@query("performance", sql.query("SELECT 1", "spread").replace("\nSELECT 1", f""",
+{_NAV}, timed AS (SELECT *, CASE horizon WHEN '1d' THEN 1 ELSE 3 END AS days FROM spread), {sql.hac("timed", "horizon", "spread", "days").strip()},
+g AS (SELECT horizon, max(days) AS days, round(avg(spread), 9) AS a, round(stddev_samp(spread), 9) AS b, round(avg(spread) / stddev_samp(spread), 9) AS s, round(avg((spread > 0)::INT), 9) AS p,
+  round(avg(spread) / (stddev_samp(spread) / sqrt(count(spread))), 9) AS t, count(spread) AS n FROM timed GROUP BY 1)
+SELECT 'long_short_' || horizon AS series, a AS raw_mean, b AS raw_std, s AS mean_over_std_raw, p AS positive_ratio, t AS t_stat_naive, round(t_hac, 9) AS t_stat_hac, lag::INT AS hac_lag, n AS valid_days,
+  CASE WHEN days = 1 THEN round(max_drawdown, 9) END AS diagnostic_max_drawdown, days = 1 AS max_drawdown_applicable, CASE WHEN days > 1 THEN 'overlapping_forward_returns' ELSE '' END AS not_applicable_reason, 'ok' AS hac_status,
+  a AS mean, b AS std, s AS sharpe, round(max_drawdown, 9) AS max_drawdown, p AS win_rate, t AS t_stat FROM g JOIN hac USING (horizon) JOIN dd USING (horizon)"""))
+def _(spark, d):
+    return rounded(ts.performance(Bound(spark, d).spread, DAYS))
+
+
+_TURNOVER = """numbered AS (SELECT o.*, t FROM own o JOIN cal USING (trade_date)),
+turned AS (SELECT c.trade_date, k.grp, CASE WHEN c.t - 1 IN (SELECT t FROM numbered) THEN 1 - count(p.symbol) / nullif(count(n.symbol), 0) END AS turnover FROM cal c CROSS JOIN range(1, 6) k(grp)
+  LEFT JOIN numbered n ON n.t = c.t AND n.grp = k.grp LEFT JOIN numbered p ON p.t = n.t - 1 AND p.grp = n.grp AND p.symbol = n.symbol GROUP BY c.trade_date, c.t, k.grp)"""
+
+
+@query("turnover", sql.query("SELECT 1", "own", "cal").replace("\nSELECT 1", f""",\n{_TURNOVER} SELECT trade_date, grp::INT AS "group", round(turnover, 9) AS turnover FROM turned"""))
+def _(spark, d):
+    return rounded(xs.turnover(tables.factor(tables.cells(spark, d)), GROUPS, LEAST))
+
+
+@query("turnover_summary", sql.query("SELECT 1", "own", "cal").replace("\nSELECT 1", f""",\n{_TURNOVER} SELECT grp::INT AS "group", round(avg(turnover), 9) AS mean, round(stddev_samp(turnover), 9) AS std, round(avg(turnover) / nullif(stddev_samp(turnover), 0), 9) AS mean_over_std,
+  round(min(turnover), 9) AS min, round(max(turnover), 9) AS max, count(turnover) AS valid_days FROM turned GROUP BY 1"""))
+def _(spark, d):
+    return rounded(ts.summary(xs.turnover(tables.factor(tables.cells(spark, d)), GROUPS, LEAST), ["group"], "turnover", ts.TURNOVER_COLUMNS))
+
+
+# ---- exposures ---------------------------------------------------------------------------------------------------
+
+_STYLE = """styled AS (SELECT c.trade_date, c.f1 AS value, u.style, u.x FROM cells c JOIN (SELECT trade_date, symbol, style, x FROM risk UNPIVOT (x FOR style IN (size, weight, balance))) u USING (trade_date, symbol)),
+sranked AS (SELECT trade_date, style, rank() OVER (PARTITION BY trade_date, style ORDER BY value) + (count(*) OVER (PARTITION BY trade_date, style, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY trade_date, style ORDER BY x) + (count(*) OVER (PARTITION BY trade_date, style, x) - 1) / 2.0 AS b FROM styled),
+scorr AS (SELECT trade_date, style, c.corr FROM (SELECT trade_date, style FROM cal CROSS JOIN (VALUES ('size'), ('weight'), ('balance')) v(style)) LEFT JOIN (SELECT trade_date, style, CASE WHEN count(*) >= 10 AND min(a) < max(a) AND min(b) < max(b) THEN corr(a, b) END AS corr FROM sranked GROUP BY 1, 2) c USING (trade_date, style))"""
+
+
+@query("style_exposure_corr", sql.query("SELECT 1", "risk", "cal").replace("\nSELECT 1", f",\n{_STYLE} SELECT trade_date, style, round(corr, 9) AS corr FROM scorr"))
+def _(spark, d):
+    b = Bound(spark, d)
+    return rounded(xs.style_corr(b.factor, b.risk, STYLES, "spearman", LEAST))
+
+
+@query("style_corr_summary", sql.query("SELECT 1", "risk", "cal").replace("\nSELECT 1", f""",\n{_STYLE} SELECT style, round(avg(corr), 9) AS mean, round(stddev_samp(corr), 9) AS std, round(avg(corr) / stddev_samp(corr), 9) AS mean_over_std, round(avg(corr) / (stddev_samp(corr) / sqrt(count(corr))), 9) AS t_stat,
+  round(avg((corr > 0)::INT), 9) AS positive_ratio, round(avg((corr < 0)::INT), 9) AS negative_ratio, count(corr) AS valid_days FROM scorr GROUP BY 1"""))
+def _(spark, d):
+    b = Bound(spark, d)
+    return rounded(ts.summary(xs.style_corr(b.factor, b.risk, STYLES, "spearman", LEAST), ["style"], "corr"))
+
+
+def _differences(axis: str) -> str:
+    return f"""three AS (SELECT trade_date, {axis}, max(value) FILTER (leg = 'pool') AS p, max(value) FILTER (leg = 'G1') AS l, max(value) FILTER (leg = 'G5') AS h FROM means GROUP BY 1, 2),
+six AS (SELECT trade_date, {axis}, unnest([{{'leg': 'pool', 'v': p}}, {{'leg': 'G1', 'v': l}}, {{'leg': 'G5', 'v': h}}, {{'leg': 'G5-G1', 'v': h - l}}, {{'leg': 'G1-pool', 'v': l - p}}, {{'leg': 'G5-pool', 'v': h - p}}]) AS m FROM three)"""
+
+
+_STYLE_LEGS = """means AS (SELECT trade_date, leg, exposure, avg(x) AS value FROM legs JOIN (SELECT trade_date, symbol, exposure, x FROM risk UNPIVOT (x FOR exposure IN (size, weight, balance))) USING (trade_date, symbol) GROUP BY 1, 2, 3), """ + _differences("exposure")
+
+
+@query("group_exposure_style", sql.query("SELECT 1", "legs", "risk").replace("\nSELECT 1", f",\n{_STYLE_LEGS} SELECT trade_date, m.leg AS leg, exposure, round(m.v, 9) AS value FROM six"))
+def _(spark, d):
+    b = Bound(spark, d)
+    return rounded(xs.group_style_exposure(b.factor, b.risk, STYLES, GROUPS, LEAST, 1, GROUPS))
+
+
+@query("exposure_summary", sql.query("SELECT 1", "legs", "risk").replace("\nSELECT 1", f""",\n{_STYLE_LEGS} SELECT m.leg AS leg, exposure, round(avg(m.v), 9) AS mean, round(stddev_samp(m.v), 9) AS std, round(avg(m.v) / nullif(stddev_samp(m.v), 0), 9) AS mean_over_std,
+  round(avg(m.v) / (nullif(stddev_samp(m.v), 0) / sqrt(count(m.v))), 9) AS t_stat, round(avg((m.v > 0)::INT), 9) AS positive_ratio, round(avg((m.v < 0)::INT), 9) AS negative_ratio, count(m.v) AS valid_days FROM six GROUP BY 1, 2"""))
+def _(spark, d):
+    b = Bound(spark, d)
+    return rounded(ts.summary(xs.group_style_exposure(b.factor, b.risk, STYLES, GROUPS, LEAST, 1, GROUPS), ["leg", "exposure"], "value"))
+
+
+@query("group_exposure_industry", sql.query("SELECT 1", "legs", "risk").replace("\nSELECT 1", f""",
+means AS (SELECT l.trade_date, l.leg, r_name AS industry, avg((region = r_name)::INT) AS value FROM legs l JOIN risk USING (trade_date, symbol) CROSS JOIN (SELECT r_name FROM region) GROUP BY 1, 2, 3), {_differences("industry")}
+SELECT trade_date, m.leg AS leg, industry, round(m.v, 9) AS value FROM six"""))
+def _(spark, d):
+    b = Bound(spark, d)
+    return rounded(xs.group_industry_exposure(b.factor, b.risk, REGIONS, GROUPS, LEAST, 1, GROUPS))
+
+
+@query("within_industry_groups", sql.query("SELECT 1", "pairs", "risk").replace("\nSELECT 1", f""",
+w AS (SELECT *, {sql.bucket()} AS grp FROM (SELECT p.*, region, count(*) OVER (PARTITION BY trade_date, horizon, region) AS n, row_number() OVER (PARTITION BY trade_date, horizon, region ORDER BY value, symbol) AS r FROM pairs p JOIN risk USING (trade_date, symbol)) WHERE n >= 10)
+SELECT trade_date, horizon, grp AS "group", round(avg(ret), 9) AS group_return FROM w GROUP BY 1, 2, 3"""))
+def _(spark, d):
+    b = Bound(spark, d)
+    return rounded(xs.within_industry_group_returns(b.factor, b.returns, b.risk, GROUPS, LEAST))
+
+
+# one style and industry dummies: demean by industry, then one slope (Frisch, Waugh and Lovell)
+_FWL = """dm AS (SELECT trade_date, symbol, f1 - avg(f1) OVER i AS y, size - avg(size) OVER i AS x, count(*) OVER (PARTITION BY trade_date) AS n FROM cells JOIN who USING (symbol) WINDOW i AS (PARTITION BY trade_date, region)),
+resid AS (SELECT trade_date, symbol, CASE WHEN n >= 10 THEN y - x * sum(x * y) OVER d / sum(x * x) OVER d END AS value FROM dm WINDOW d AS (PARTITION BY trade_date))"""
+
+
+@query("neutralize_style1_industry", sql.query("SELECT 1", "cells", "who").replace("\nSELECT 1", f",\n{_FWL} SELECT trade_date, symbol, round(value, 8) AS value FROM resid"))
+def _(spark, d):
+    b = Bound(spark, d)
+    return rounded(neutral.neutralized(b.factor, b.risk, ("size",), REGIONS, LEAST), 8)
+
+
+@query("neutralized_ic_style1_industry", sql.query("SELECT 1", "returns", "who", "labels").replace("\nSELECT 1", f""",
+{_FWL}, np AS (SELECT r.trade_date, r.horizon, e.value, r.ret FROM resid e JOIN returns r USING (trade_date, symbol) WHERE e.value IS NOT NULL AND r.ret IS NOT NULL)
+SELECT l.trade_date, l.horizon, round(c.ic, 8) AS ic, coalesce(c.k, 0) AS n FROM labels l LEFT JOIN (SELECT trade_date, horizon, count(*) AS k, CASE WHEN count(*) >= 10 THEN corr(value, ret) END AS ic FROM np GROUP BY 1, 2) c USING (trade_date, horizon)"""))
+def _(spark, d):
+    b = Bound(spark, d)
+    return rounded(neutral.neutralized_ic(b.factor, b.returns, b.risk, LABELS, ("size",), REGIONS, "pearson", LEAST), 8)
+
+
+@query("neutralized_ic")
+def _(spark, d):
+    b = Bound(spark, d)
+    return rounded(neutral.neutralized_ic(b.factor, b.returns, b.risk, LABELS, STYLES, REGIONS, "spearman", LEAST))
+
+
+# ---- library -----------------------------------------------------------------------------------------------------
+
+
+@query("peer_similarity", sql.query("""SELECT factor_id, round(avg(abs(rho)), 9) AS mean_abs, round(max(abs(rho)), 9) AS max_abs, count(*) AS n_obs FROM (SELECT trade_date, factor_id, CASE WHEN count(*) >= 10 AND min(a) < max(a) AND min(b) < max(b) THEN corr(a, b) END AS rho FROM (
+  SELECT trade_date, factor_id, rank() OVER (PARTITION BY trade_date, factor_id ORDER BY value) + (count(*) OVER (PARTITION BY trade_date, factor_id, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY trade_date, factor_id ORDER BY peer) + (count(*) OVER (PARTITION BY trade_date, factor_id, peer) - 1) / 2.0 AS b FROM peers) GROUP BY 1, 2) WHERE rho IS NOT NULL GROUP BY 1""", "peers"))
+def _(spark, d):
+    b = Bound(spark, d)
+    return rounded(diagnostics.similarity(b.factor, b.book, LEAST))
+
+
+@query("topk_overlap", sql.query("""SELECT factor_id, round(avg(o), 9) AS overlap, count(*) AS n_obs FROM (SELECT trade_date, factor_id, (count(*) FILTER (vt <= k AND pt <= k) + count(*) FILTER (vb <= k AND pb <= k)) / (2.0 * max(k)) AS o FROM (
+  SELECT *, least(10, greatest(1, n // 2)) AS k FROM (SELECT *, count(*) OVER q AS n, row_number() OVER (q ORDER BY value DESC, symbol) AS vt, row_number() OVER (q ORDER BY value, symbol) AS vb, row_number() OVER (q ORDER BY peer DESC, symbol) AS pt, row_number() OVER (q ORDER BY peer, symbol) AS pb FROM peers WINDOW q AS (PARTITION BY trade_date, factor_id)) WHERE n >= 10) GROUP BY 1, 2) GROUP BY 1""", "peers"))
+def _(spark, d):
+    b = Bound(spark, d)
+    return rounded(diagnostics.top_overlap(b.factor, b.book, 10, LEAST))
+
+
+@query("spanning_round1", sql.query("SELECT 1", "cells").replace("\nSELECT 1", """,
+m AS (SELECT trade_date, symbol, f1 - avg(f1) OVER w AS y, f3 - avg(f3) OVER w AS x, f1, count(*) OVER w AS n FROM cells WINDOW w AS (PARTITION BY trade_date))
+SELECT trade_date, symbol, round(CASE WHEN n >= 10 THEN y - x * sum(x * y) OVER w / sum(x * x) OVER w ELSE f1 END, 8) AS value FROM m WINDOW w AS (PARTITION BY trade_date)"""))
+def _(spark, d):
+    b = Bound(spark, d)
+    return rounded(neutral.residual_of_peers(b.factor, b.book, ["f3"], LEAST), 8)
+
+
+@query("incremental_r2", sql.query("""SELECT trade_date, horizon, round((ry * ry + rc * rc - 2 * ry * rc * pc) / (1 - pc * pc) - ry * ry, 8) AS r2 FROM (SELECT trade_date, horizon, corr(ret, f3) AS ry, corr(ret, value) AS rc, corr(f3, value) AS pc, count(*) AS n FROM pairs JOIN (SELECT trade_date, symbol, f3 FROM cells) USING (trade_date, symbol) GROUP BY 1, 2) WHERE n >= 10""", "pairs"))
+def _(spark, d):
+    b = Bound(spark, d)
+    return rounded(neutral.incremental_r2(b.factor, b.book, b.returns.where("ret is not null"), ["f3"], LEAST), 8)
+
+
+@query("monotonicity", sql.query("SELECT horizon, round(corr(a, b), 9) AS monotonicity FROM (SELECT horizon, grp::DOUBLE AS a, rank() OVER (PARTITION BY horizon ORDER BY r)::DOUBLE AS b FROM (SELECT horizon, grp, avg(group_return) AS r FROM groups GROUP BY 1, 2)) GROUP BY 1", "groups"))
+def _(spark, d):
+    return rounded(diagnostics.monotonicity(Bound(spark, d).groups))
+
+
+@query("regime_ic", sql.query("""SELECT regime, horizon, round(avg(ic), 9) AS ic_mean, count(ic) AS n_obs FROM ic JOIN (SELECT trade_date, 'first_half' AS regime FROM cal WHERE month(trade_date) <= 6 UNION ALL SELECT trade_date, 'odd_year' FROM cal WHERE year(trade_date) % 2 = 1) USING (trade_date) GROUP BY 1, 2""", "ic", "cal"))
+def _(spark, d):
+    b = Bound(spark, d)
+    days = b.cells.select("trade_date").distinct().withColumns({"first_half": F.month("trade_date") <= 6, "odd_year": F.year("trade_date") % 2 == 1})
+    return rounded(diagnostics.regime_ic(b.ic(), days, ("first_half", "odd_year")))
+
+
+@query("minimal_summary")
+def _(spark, d):
+    from tessera.plans.api import minimal_row
+
+    b = Bound(spark, d)
+    return minimal_row(b.factor, b.cells, None, HORIZONS, "f1", "all", LEAST, LEAST, 5)
+
+
+@query("pool_union_scan", sql.query("""SELECT pool, trade_date, horizon, round(ic, 9) AS ic FROM (SELECT 'all' AS pool, trade_date, horizon, ic FROM ic UNION ALL SELECT 'late', trade_date, horizon, ic FROM ic WHERE trade_date >= DATE '1996-01-01') WHERE trade_date < DATE '1997-01-01'""", "ic"))
+def _(spark, d):
+    ic = Bound(spark, d).ic().drop("n")
+    late = ts.between(ic, "1996-01-01").withColumn("pool", F.lit("late"))
+    both = ic.withColumn("pool", F.lit("all")).unionByName(late)
+    return rounded(both.where(F.col("trade_date") < "1997-01-01").select("pool", "trade_date", "horizon", "ic"))
