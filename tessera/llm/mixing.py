@@ -144,7 +144,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut = cut.select("part", "block", "at", words.alias("words"))
     slots = schedule(spark, goals, wanted).join(of.select("part", "blocks"), "part")
     slots = slots.select("part", "slot", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).cast("int").alias("epoch"))
-    draws = slots.join(cut, ["part", "block"])
+    draws = slots.join(cut.hint("merge"), ["part", "block"])  # both sides grow with the words: neither is ever broadcast
     taken = draws.groupBy("part", "at").agg(F.sum("words").alias("taken")).withColumn("has", F.lit(True))
     found = placed.withColumn("has", F.col("size") > 0).join(taken, ["part", "at", "has"], "left").join(of, "part")
     return found.select("id", "source", "size", "source_size", "target", "at", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), draws
