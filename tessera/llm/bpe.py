@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 #: Words that a worker keeps with their ids, twice: those of late and those before.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 120_000
 
 
 def byte_characters() -> list[str]:
@@ -117,6 +117,10 @@ class Codec:
             own = [found[p] for p in cut]
             self.young[word] = b"".join([ids for ids, _ in own]), ",".join([shown for _, shown in own])
 
+    def forget(self) -> None:
+        """Frees the words: a worker that goes on to other stages holds nothing of this one."""
+        self.young, self.old = {}, {}
+
     def stretches(self, texts: list[str]) -> list[list[Stretch]]:
         """The stretches that make up each text.
 
@@ -194,6 +198,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(ids, kind), pa.array([s for s, _ in spans], kind), pa.array([e for _, e in spans], kind)], ["id", "ids", "starts", "ends"]
             )
+        tool().forget()
 
     return _rows(docs, id_col, text_col).mapInArrow(work, "id long, ids array<int>, starts array<int>, ends array<int>")
 
@@ -228,6 +233,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 ends = np.cumsum([0, *counts]).astype(np.int32)
                 columns["ids"] = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *kept]))
             yield pa.RecordBatch.from_pydict(columns)
+        tool().forget()
 
     return _rows(docs, id_col, text_col).mapInArrow(work, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
