@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 SCALE, TOP, QUERY_EVERY = 64, 20, 20
-TREE_ROWS, QUERY_ROWS, PAGE = 4096, 1024, 64
+TREE_ROWS, QUERY_ROWS, PAGE = 8192, 1024, 256
 SLACK = 1e-3
 PAGES = "tree int, node int, parent int, leaf boolean, ids binary, vectors binary, radii binary, near binary, children binary, width int"
 
@@ -104,7 +104,7 @@ class Page:
     def __init__(self, row) -> None:
         self.leaf, self.width = row.leaf, row.width
         self.ids, self.children = np.frombuffer(row.ids, np.int64), np.frombuffer(row.children, np.int64)
-        self.points = np.frombuffer(row.vectors, np.float64).reshape(-1, row.width)
+        self.vectors = np.ascontiguousarray(np.frombuffer(row.vectors, np.float64).reshape(-1, row.width)[:, :-1])  # a query's last is 0
         self.radii, self.near = np.frombuffer(row.radii), np.frombuffer(row.near)
 
 
@@ -120,20 +120,23 @@ def search(pages: list[Page], length: float, query_id: int, query: np.ndarray, t
             break
         page = pages[number]
         if to_parent >= 0 and np.isfinite(reach):
-            left = np.flatnonzero(np.abs(to_parent - page.near) - page.radii <= reach)
+            near = np.abs(to_parent - page.near) - page.radii <= reach
+            if not near.any():
+                continue
+            left = slice(None) if near.all() else np.flatnonzero(near)
         else:
-            left = np.arange(len(page.near))
-        if not len(left):
-            continue
-        inner = page.points[left, :-1] @ query
+            left = slice(None)
+        inner = page.vectors[left] @ query
         if count is not None:
-            count[0] += len(left)
+            count[0] += len(inner)
         if page.leaf:
-            ids, scores = page.ids[left], np.rint(inner).astype(np.int64)
+            ids, scores = page.ids[left], np.rint(inner)
             if len(best) == top:
                 ok = scores >= best[0][0]
+                if not ok.any():
+                    continue
                 ids, scores = ids[ok], scores[ok]
-            for s, i in zip(scores.tolist(), ids.tolist(), strict=True):
+            for s, i in zip(scores.astype(np.int64).tolist(), ids.tolist(), strict=True):
                 if i != query_id:
                     if len(best) < top:
                         heapq.heappush(best, (s, -i))
