@@ -15,7 +15,7 @@ from tessera.sources import tables
 
 HORIZONS, LABELS, DAYS, GROUPS, LEAST = (1, 3), ("1d", "3d"), {"1d": 1, "3d": 3}, 5, 10
 STYLES, REGIONS = ("size", "weight", "balance"), ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
-START, END = "1994-01-01", "1996-12-31"
+START, END = "1996-01-01", "1998-12-31"
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -113,15 +113,15 @@ def _(spark, d):
 # ---- panel -----------------------------------------------------------------------------------------------------
 
 
-@query("calendar_shift", sql.query("SELECT a.trade_date AS date, b.trade_date AS shifted FROM cal a LEFT JOIN cal b ON b.t = a.t + 2", "cal"))
+@query("calendar_shift", sql.query("SELECT a.trade_date AS date, CAST(b.trade_date AS VARCHAR) AS shifted FROM cal a LEFT JOIN cal b ON b.t = a.t + 2", "cal"))
 def _(spark, d):
     days = panel.calendar(tables.cells(spark, d))
-    return panel.shift_sessions(days.select(F.col("trade_date").alias("date")), days, 2)
+    return panel.shift_sessions(days.select(F.col("trade_date").alias("date")), days, 2).withColumn("shifted", F.col("shifted").cast("string"))
 
 
-@query("window_ending", sql.query("SELECT trade_date, t FROM cal WHERE trade_date <= DATE '1995-06-15' ORDER BY trade_date DESC LIMIT 12", "cal"))
+@query("window_ending", sql.query("SELECT trade_date, t FROM cal WHERE trade_date <= DATE '1998-06-15' ORDER BY trade_date DESC LIMIT 12", "cal"))
 def _(spark, d):
-    return panel.window_ending(panel.calendar(tables.cells(spark, d)), "1995-06-15", 12)
+    return panel.window_ending(panel.calendar(tables.cells(spark, d)), "1998-06-15", 12)
 
 
 @query("next_session_lookup", sql.query("SELECT c.trade_date, n.symbol, n.f1 AS value FROM px n JOIN cal c ON c.t = n.t - 1", "px"))
