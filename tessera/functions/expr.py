@@ -102,7 +102,7 @@ def hac_mean_t(df: DataFrame, keys: Sequence[str], value: str, date: str, lag: C
     """
     series = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(date), F.col(value).alias("x")))))
     made = df.groupBy(*keys).agg(series.alias("_s"), F.avg(value).alias("_m"), F.count(value).alias("_n"), lag.cast("int").alias("_lag"))
-    made = made.select(*keys, "_m", "_n", F.least(F.col("_lag"), F.greatest(F.col("_n") - 1, F.lit(0))).cast("int").alias("_l"), F.transform("_s", lambda s: s["x"] - F.col("_m")).alias("_d"))
+    made = made.select(*keys, "_m", "_n", F.when(F.col("_lag").isNotNull(), F.least(F.col("_lag"), F.greatest(F.col("_n") - 1, F.lit(0)))).cast("int").alias("_l"), F.transform("_s", lambda s: s["x"] - F.col("_m")).alias("_d"))
 
     def product(k: Column) -> Column:
         pairs = F.zip_with(F.slice("_d", k + 1, F.col("_n").cast("int") - k), F.slice("_d", F.lit(1), F.col("_n").cast("int") - k), lambda a, b: a * b)

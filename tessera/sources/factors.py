@@ -74,13 +74,13 @@ def load(spark: SparkSession, path: str, value_column: str | None = None, h5_key
         return normalize(read_hdf(spark, path, h5_key), value_column)
     names = [n for n in Files(spark).names(path) if n.endswith(".parquet")]
     if suffix == ".parquet" and path.rstrip("/").rpartition("/")[2] in names or len(names) <= 1:
-        return normalize(spark.read.parquet(path), value_column)
+        return normalize(read_parquet(spark, path), value_column)
     return load_parts(spark, path, names, value_column)
 
 
 def load_parts(spark: SparkSession, path: str, names: Sequence[str], value_column: str | None = None) -> DataFrame:
     """The files of a directory, each of its own dates; their symbols are united. A date in two files is an error."""
-    parts = [to_long(spark.read.parquet(f"{path}/{n}"), value_column).withColumn("_file", F.lit(n)) for n in sorted(names)]
+    parts = [to_long(read_parquet(spark, f"{path}/{n}"), value_column).withColumn("_file", F.lit(n)) for n in sorted(names)]
     rows = reduce(lambda a, b: a.unionByName(b), [p.withColumn("value", F.col("value").cast("string")) for p in parts])
     twice = rows.groupBy("trade_date").agg(F.countDistinct("_file").alias("n")).where("n > 1").orderBy("trade_date").limit(10).collect()
     if twice:
@@ -88,6 +88,16 @@ def load_parts(spark: SparkSession, path: str, names: Sequence[str], value_colum
     return normalize(rows.drop("_file"))
 
 
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet whose dates may be counts of nanoseconds, as other writers make them."""
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    raw = spark.read.parquet(path)
+    date = pick(raw.columns, DATES)
+    if date and dict(raw.dtypes)[date] == "bigint" and (raw.agg(F.min(F.abs(date))).first()[0] or 0) > 10**15:
+        raw = raw.withColumn(date, F.timestamp_micros(F.floor(F.col(date) / 1000).cast("long")))
+    return raw
+
+
 def read_hdf(spark: SparkSession, path: str, key: str | None) -> DataFrame:
     """An HDF5 table by way of the driver; there is no distributed reader for the format."""
     try:
