@@ -11,8 +11,9 @@ entries whose distances then needn't be computed. Scores are exact whole numbers
 Queries go in blocks, each block through each tree, and the best of all trees are ranked by score, then id. Pages
 are a table of the shared folder. Copies of one vector fill pages of their own, with radius 0. Defined results:
 vectors that are null or hold a null or non-finite component take no part; without candidates a query has no
-rows; vectors shorter than the longest are filled with zeros; rows with equal ids are each searched and found, but
-never by a query of their own id. Extra columns are ignored.
+rows; vectors shorter than the longest are filled with zeros; rows with equal ids are each found, but never by a query of
+their own id; equal rows are one query, rows with equal ids and other vectors are queries of their own. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -179,7 +180,7 @@ def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
     rows = common.written(rows, "mtree-vectors")
     square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     facts = rows.agg(F.count("*").alias("n"), F.max(square).alias("length"), F.max(F.size("v")).alias("width"), F.count_if("q").alias("queries")).first()
-    out = "query_id long, vec_id long, score long"
+    out = "query_id long, query long, vec_id long, score long"
     if not facts["n"] or not facts["queries"]:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     length, width = int(facts["length"]), int(facts["width"])
@@ -187,20 +188,21 @@ def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
     pages = common.written(build(rows.select("id", "v"), length, width, trees), "mtree-pages")
     # every block of queries meets every tree: both sides name the meetings that they take part in
     left = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(max(trees * blocks, 1), "tree", "block")
-    asked = rows.where("q").select("id", "v").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    asked = rows.where("q").select("id", "v").distinct().withColumn("query", F.xxhash64("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     asked = asked.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).repartition(max(trees * blocks, 1), "tree", "block")
 
     def meet(pages_, asked_):
-        found: list[tuple[int, int, int]] = []
+        found: list[tuple[int, int, int, int]] = []
         if pages_.num_rows and asked_.num_rows:
             own = [Page(r) for r in pages_.to_pandas().sort_values("node").itertuples(index=False)]
-            for i, q in zip(asked_.column("id").to_pylist(), _matrix(asked_.column("v").to_pylist(), width), strict=True):
-                found += [(i, v, s) for s, v in search(own, float(length), i, q, top)]
-        a, b, c = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.int64())})
+            keys = zip(asked_.column("id").to_pylist(), asked_.column("query").to_pylist(), strict=True)
+            for (i, k), q in zip(keys, _matrix(asked_.column("v").to_pylist(), width), strict=True):
+                found += [(i, k, v, s) for s, v in search(own, float(length), i, q, top)]
+        columns = zip(*found, strict=True) if found else ((), (), (), ())
+        return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("query_id", "query", "vec_id", "score"), columns, strict=True)})
 
     each = left.groupBy("tree", "block").cogroup(asked.groupBy("tree", "block")).applyInArrow(meet, out)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
