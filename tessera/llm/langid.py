@@ -182,8 +182,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fits on rows with a language that aren't held out; the sample's n-gram shares come to the driver."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (common.id_crc(F.col("id"), 5) != 0))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id"))
-    chosen = rows.select("id", "lang").withColumn("k", rank).where(F.col("k") <= each).select("id", "lang").distinct().collect()
+    hashed = rows.select("id", "lang", F.md5(F.col("id").cast("string").cast("binary")).alias("h"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    below = F.lit(None).cast("long")
+    for lang, n in counts.items():  # about four times as many as are wanted, so that no language meets in one task
+        below = F.when(F.col("lang") == lang, F.lit(int(min(1.0, (4 * each + 100) / n) * 2**32))).otherwise(below)
+    hashed = hashed.where(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") <= below)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    chosen = hashed.withColumn("k", rank).where(F.col("k") <= each).select("id", "lang").distinct().collect()
     spark = docs.sparkSession
     sample = F.broadcast(spark.createDataFrame([(r["id"], r["lang"]) for r in chosen], "id long, lang string"))  # `each` rows a language
 

@@ -122,7 +122,7 @@ def laid_out(sized: DataFrame, seed: str = SEED) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("part").orderBy("bucket")) - F.col("n")
     bases = sums.select("part", "bucket", before.alias("base"))
     inside = F.sum("size").over(Window.partitionBy("part", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    return keyed.withColumn("inside", inside).join(bases, ["part", "bucket"]).select("id", "part", "size", (F.col("base") + F.col("inside")).alias("at"))
+    return keyed.withColumn("inside", inside).join(bases.hint("merge"), ["part", "bucket"]).select("id", "part", "size", (F.col("base") + F.col("inside")).alias("at"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, block: int = BLOCK_WORDS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
