@@ -451,3 +451,70 @@ def _(spark, d):
     late = ts.between(ic, "1996-01-01").withColumn("pool", F.lit("late"))
     both = ic.withColumn("pool", F.lit("all")).unionByName(late)
     return rounded(both.where(F.col("trade_date") < "1997-01-01").select("pool", "trade_date", "horizon", "ic"))
+
+
+# ---- sources and views again, as a user meets them -----------------------------------------------------------------
+
+
+@query("membership_distinct", "SELECT DISTINCT CAST(l_shipdate AS DATE) AS trade_date, CAST(l_suppkey AS VARCHAR) AS symbol FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01'")
+def _(spark, d):
+    rows = tables.read(spark, d, "lineitem").where(F.col("l_shipdate") < "1995-06-01")
+    return rows.select(F.to_date("l_shipdate").alias("trade_date"), F.col("l_suppkey").cast("string").alias("symbol")).distinct()
+
+
+@query("risk_one_hot", """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS trade_date, CAST(o_custkey AS VARCHAR) AS symbol, round(avg(o_totalprice), 4) AS size, max((o_orderstatus = 'F')::INT)::BIGINT + max((o_orderstatus = 'O')::INT) + max((o_orderstatus = 'P')::INT) AS memberships FROM orders GROUP BY 1, 2""")
+def _(spark, d):
+    from tessera.sources.risk import normalize_risk
+
+    o = tables.read(spark, d, "orders").withColumn("date", F.trunc("o_orderdate", "month"))
+    raw = o.groupBy("date", F.col("o_custkey").alias("symbol")).agg(F.avg("o_totalprice").alias("size"), *[F.max((F.col("o_orderstatus") == s).cast("double")).alias(s) for s in "FOP"])
+    return normalize_risk(raw, ("size",)).select("trade_date", "symbol", F.round("size", 4).alias("size"), F.size("industries").cast("long").alias("memberships"))
+
+
+@query("regime_flags", """SELECT DISTINCT CAST(o_orderdate AS DATE) AS trade_date, o_orderkey % 3 = 0 AS bull, o_orderkey % 2 = 1 AS bear FROM orders WHERE o_orderkey < 500""")
+def _(spark, d):
+    from tessera.sources.books import normalize_regimes
+
+    o = tables.read(spark, d, "orders").where("o_orderkey < 500")
+    raw = o.select(F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderkey") % 3 == 0, " Yes").otherwise("").alias("bull"), (F.col("o_orderkey") % 2).alias("bear"))
+    return normalize_regimes(raw, ["bull", "bear"]).distinct()
+
+
+@query("user_day_ic", """WITH cells AS (SELECT CAST(ts AS DATE) AS trade_date, CAST(user_id AS VARCHAR) AS symbol, round(avg(value), 6) AS value, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2),
+cal AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS t FROM (SELECT DISTINCT trade_date FROM cells)), px AS (SELECT * FROM cells JOIN cal USING (trade_date)),
+pairs AS (SELECT a.trade_date, a.n AS v, c.value / b.value - 1 AS ret FROM px a JOIN px b ON b.symbol = a.symbol AND b.t = a.t + 1 JOIN px c ON c.symbol = a.symbol AND c.t = a.t + 2 WHERE b.value > 0 AND c.value > 0)
+SELECT trade_date, '1d' AS horizon, CASE WHEN count(v) >= 20 THEN round(corr(v, ret), 9) END AS ic, count(v) AS n FROM cal LEFT JOIN pairs USING (trade_date) GROUP BY 1""")
+def _(spark, d):
+    e = tables.read(spark, d, "events").groupBy(F.to_date("ts").alias("trade_date"), F.col("user_id").cast("string").alias("symbol")).agg(F.round(F.avg("value"), 6).alias("open_price"), F.count("*").cast("double").alias("value"))
+    return rounded(xs.daily_ic(e, panel.forward_returns(e, [1]), ["1d"], "pearson", 20))
+
+
+@query("group_view_curves", sql.query(f"""SELECT horizon, grp AS "group", trade_date, round(exp(sum(CASE WHEN k = 1 THEN 0 ELSE ln(1 + coalesce(r, 0)) END) OVER (PARTITION BY horizon, grp ORDER BY trade_date ROWS UNBOUNDED PRECEDING)), 9) AS nav FROM (
+  SELECT k.trade_date, k.horizon, k.grp, {_DAILY.format("g.group_return").replace("WHEN horizon", "WHEN k.horizon")} AS r, row_number() OVER (PARTITION BY k.horizon, k.grp ORDER BY k.trade_date) AS k FROM (SELECT * FROM (SELECT DISTINCT trade_date FROM groups WHERE trade_date BETWEEN DATE '{START}' AND DATE '{END}') CROSS JOIN (SELECT DISTINCT horizon, grp FROM groups)) k
+  LEFT JOIN groups g ON g.trade_date = k.trade_date AND g.horizon = k.horizon AND g.grp = k.grp)""", "groups"))
+def _(spark, d):
+    from tessera.plans.views import group_return_view
+
+    return rounded(group_return_view(Bound(spark, d).groups, DAYS, GROUPS, START, END).curves)
+
+
+@query("turnover_edges", sql.query("SELECT 1", "own", "cal").replace("\nSELECT 1", f""",\n{_TURNOVER} SELECT trade_date, 'edge_avg' AS "group", round(avg(turnover), 9) AS turnover FROM turned WHERE grp IN (1, 5) GROUP BY 1"""))
+def _(spark, d):
+    return rounded(xs.turnover_edges(xs.turnover(tables.factor(tables.cells(spark, d)), GROUPS, LEAST), GROUPS))
+
+
+@query("yearly_mean_ic", sql.query("""SELECT year(trade_date)::INT AS year, round(avg(ic) FILTER (horizon = '1d'), 9) AS "1d", round(avg(ic) FILTER (horizon = '3d'), 9) AS "3d" FROM ic GROUP BY 1""", "ic"))
+def _(spark, d):
+    ic = Bound(spark, d).ic().withColumn("year", F.year("trade_date"))
+    return rounded(ic.groupBy("year").pivot("horizon", list(LABELS)).agg(F.avg("ic")))
+
+
+@query("entry_day_filter", sql.query("SELECT 1", "grid", "cells").replace("\nSELECT 1", f""",\n{_FLAGGED}, entry AS (SELECT g.trade_date, g.symbol, f.symbol IS NOT NULL AND {_VALID} AS valid FROM grid g LEFT JOIN cal n ON n.t = g.t + 1 LEFT JOIN flagged f ON f.trade_date = n.trade_date AND f.symbol = g.symbol)
+SELECT trade_date, count(*) AS pool_stock_count, count(*) FILTER (valid AND f1 IS NOT NULL) AS valid_factor_count, round(count(*) FILTER (valid AND f1 IS NOT NULL) / count(*), 9) AS coverage_ratio FROM entry LEFT JOIN cells USING (trade_date, symbol) GROUP BY 1"""))
+def _(spark, d):
+    from tessera.plans.api import prepared
+    from tessera.plans.config import BacktestConfig
+
+    b = Bound(spark, d)
+    _, quality, _ = prepared(b.factor, panel.listed_days(b.cells), None, BacktestConfig(min_listed_days=12))
+    return rounded(quality.select("trade_date", "pool_stock_count", "valid_factor_count", "coverage_ratio"))
