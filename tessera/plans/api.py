@@ -136,6 +136,8 @@ def run_factor_backtest(spark: SparkSession, factor: DataFrame, market: DataFram
         failed = sorted({n for own in results.values() for n, r in own.items() if r.status == "failed" and n in CORE_SECTIONS})
         if failed:
             raise RuntimeError(f"core sections failed, nothing is published: {', '.join(failed)}")
+        if config.render_plots:
+            warnings += _write_plots(files, paths.staging, results)
         if config.export_static_report:
             files.write(f"{paths.staging}/report.html", report.page(name, meta, {p: {n: df for r in own.values() for n, df in r.tables.items()} for p, own in results.items()}, log))
         if config.handoff.enabled:
@@ -147,6 +149,25 @@ def run_factor_backtest(spark: SparkSession, factor: DataFrame, market: DataFram
     return RunResult(final, run_id, results, warnings)
 
 
+#: What is drawn of which table: the column that tells the lines apart, and their values.
+PLOTS = {"cumulative_ic": ("horizon", "cumulative"), "ic_overview": ("horizon", "moving_average"), "cumulative_long_short_returns": ("horizon", "cumulative"), "daily_group_turnover": ("group", "turnover")}
+
+
+def _write_plots(files: Files, run_dir: str, results: dict[str, dict[str, SectionResult]]) -> list[str]:
+    """plots/<pool>/<table>.svg; a plot that fails is a warning."""
+    warnings = []
+    for pool, own in results.items():
+        for name, df in ((n, df) for r in own.values() for n, df in r.tables.items()):
+            axes = PLOTS.get(name) or (("group", "nav") if "group_cumulative_returns_" in name else None)
+            if axes is None:
+                continue
+            try:
+                files.write(f"{run_dir}/plots/{pool}/{name}.svg", report.lines(df, *axes).replace("<svg ", '<svg xmlns="http://www.w3.org/2000/svg" ', 1).partition("</svg>")[0] + "</svg>")
+            except Exception as e:
+                warnings.append(f"plot {pool}/{name}: {e}")
+    return warnings
+
+
 def _write_artifacts(run_dir: str, pool: str, context: Context, summary: DataFrame | None) -> None:
     root = f"{run_dir}/artifacts/{pool}"
     context.factor.write.parquet(f"{root}/aligned_factor")
@@ -285,6 +306,14 @@ class LoadedBacktestResult:
     def quality_view(self, pool: str = "all", start=None, end=None) -> views.QualityView:
         return views.quality_view(self._base("data_quality", pool), start, end)
 
+    def plot_path(self, name: str, pool: str = "all") -> str:
+        if not store.SAFE.match(name):
+            raise ValueError(f"not a plot: {name}")
+        path = f"{self.run_dir}/plots/{pool}/{name}.svg"
+        if not Files(self.spark).exists(path):
+            raise FileNotFoundError(path)
+        return path
+
     def read_artifact(self, name: str, pool: str = "all") -> DataFrame:
         if not store.SAFE.match(name):
             raise ValueError(f"not an artifact: {name}")

@@ -99,6 +99,17 @@ def export(spark: SparkSession, files: Files, run_dir: str, config: BacktestConf
     return warnings
 
 
+def notes(meta: dict, pools: list[str]) -> str:
+    """What the package holds, for whoever receives it."""
+    return "\n".join([
+        f"# {meta['factor_name']}, run {meta['run_id']}", "",
+        f"Dates {meta['start_date']} to {meta['end_date']}; pools {', '.join(pools)}; returns {', '.join(meta['labels'])}.", "",
+        "| file | columns |", "|-|-|", "| daily_ic.csv | trade_date, horizon, ic |", "| ic_stats.csv | horizon and its statistics |",
+        "| daily_group_returns.csv | trade_date, horizon, group, group_return |", "| long_short.csv | trade_date, horizon, spread |", "| data_quality.csv | trade_date, counts, ratios |", "",
+        "A value of a date is known after its close; returns run from the next session's open. Empty is missing.", "",
+    ])
+
+
 def as_csv(df, columns=None) -> str:
     from tessera.plans.report import number
 
@@ -125,6 +136,7 @@ def handoff(files: Files, run_dir: str, config: BacktestConfig, meta: dict, log:
             files.write(f"{out}/{name}.csv", text)
     files.write_json(f"{root}/sample_latest/run_meta.json", meta)
     files.write_json(f"{root}/sample_latest/run_log.json", log)
+    files.write(f"{root}/sample_latest/NOTES.md", notes(meta, list(contexts)))
     for name in ("spanning", "crowding", "diversity", "mechanism_consistency"):
         if not files.exists(f"{run_dir}/company_diagnostics/{name}.json"):
             files.write_json(f"{root}/sample_latest/{name}.json", {"status": "pending(company)"})

@@ -32,7 +32,7 @@ def test_run_load_views_report(spark, inputs, tmp_path):
     factor, px, exposures = inputs
     book = factor.withColumn("factor_id", F.lit("p1")).withColumn("value", F.col("value") + (F.hash("symbol") % 5))
     book.select(F.col("trade_date").alias("date"), "symbol", "factor_id", "value").write.parquet(f"{tmp_path}/book.parquet")
-    config = BacktestConfig(factor_name="f", output_root=str(tmp_path / "out"), horizons=(1, 5), ic_methods=("spearman", "pearson"), min_ic_stocks=10, selected_pools=("all", "half"), verbose=False, export_static_report=True,
+    config = BacktestConfig(factor_name="f", output_root=str(tmp_path / "out"), horizons=(1, 5), ic_methods=("spearman", "pearson"), min_ic_stocks=10, selected_pools=("all", "half"), verbose=False, export_static_report=True, render_plots=True,
                             artifact_level="full", write_neutralized_factors=True, diagnostics=DiagnosticsConfig(True, f"{tmp_path}/book.parquet", f"{tmp_path}/book.parquet", f"{tmp_path}/none.csv", topk=1, rounds=1, min_stocks=10), handoff=HandoffConfig(True))
     members = factor.where("symbol < 'S030'").select("trade_date", "symbol")
     done = api.run_factor_backtest(spark, factor, px, config, pools={"half": members}, risk=exposures, run_id="r1")
@@ -56,6 +56,8 @@ def test_run_load_views_report(spark, inputs, tmp_path):
     assert "<svg" in files.read(path)
     assert files.names(f"{done.run_dir}/company_diagnostics") == ["crowding.json", "diversity.json", "mechanism_consistency.json", "spanning.json"]
     assert "daily_ic.csv" in files.names(f"{done.run_dir}/handoff/sample_latest/all")
+    assert "NOTES.md" in files.names(f"{done.run_dir}/handoff/sample_latest")
+    assert files.read(run.plot_path("cumulative_ic")).startswith("<svg xmlns")
     with pytest.raises(FileExistsError):
         api.run_factor_backtest(spark, factor, px, config, pools={"half": members}, run_id="r1")
     with pytest.raises(KeyError):
@@ -158,3 +160,18 @@ def test_other_sources(spark):
         books.normalize_regimes(flags.withColumn("bull", F.lit("perhaps")), ["bull"])
     with pytest.raises(KeyError):
         market.pools(spark, ["x"], {"all": None})
+
+
+def test_stream_refresh(spark, tmp_path):
+    from tessera.streaming import refresh_on_arrival
+
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    rows = [(DAYS[0], "A", 1.0), (DAYS[0], "B", 3.0), (DAYS[1], "A", 5.0)]
+    spark.createDataFrame(rows, "trade_date date, symbol string, value double").write.parquet(source)
+    held = spark.read.parquet(source)
+    stream = spark.readStream.schema(held.schema).parquet(source)
+    compute = lambda dates: spark.read.parquet(source).join(dates, "trade_date", "left_semi").groupBy("trade_date").agg(F.avg("value").alias("mean"))
+    refresh_on_arrival(stream, compute, out, f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    spark.createDataFrame([(DAYS[1], "B", 7.0)], "trade_date date, symbol string, value double").write.mode("append").parquet(source)
+    refresh_on_arrival(stream, compute, out, f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["mean"] for r in spark.read.parquet(out).collect()) == [2.0, 6.0]
