@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import expr
+from tessera.functions.ship import ship
 from tessera.operators.cross_section import daily_ic
 from tessera.operators.panel import KEYS
 
@@ -55,6 +56,7 @@ def neutralized(factor: DataFrame, risk: DataFrame, styles: Sequence[str] = (),
             out[good] = y[good] - fitted(x[good], y[good])
         return pa.table({"trade_date": table.column("trade_date"), "symbol": table.column("symbol"), "value": pa.array(out, from_pandas=True)})
 
+    ship(rows.sparkSession)
     return rows.groupBy("trade_date").applyInArrow(residuals, RESIDUALS)
 
 
@@ -83,6 +85,7 @@ def residual_of_peers(candidate: DataFrame, book: DataFrame, peers: Sequence[str
             out[good] = y[good] - fitted(x[good], y[good])
         return pa.table({"trade_date": table.column("trade_date"), "symbol": table.column("symbol"), "value": pa.array(out, from_pandas=True)})
 
+    ship(rows.sparkSession)
     return rows.groupBy("trade_date").applyInArrow(residuals, RESIDUALS)
 
 
@@ -107,4 +110,5 @@ def incremental_r2(candidate: DataFrame, book: DataFrame, returns: DataFrame, pe
             found = [value] if np.isfinite(value) else []
         return pa.table({"trade_date": table.column("trade_date")[: len(found)], "horizon": table.column("horizon")[: len(found)], "r2": pa.array(found, pa.float64())})
 
+    ship(rows.sparkSession)
     return rows.groupBy("trade_date", "horizon").applyInArrow(gain, "trade_date date, horizon string, r2 double")
