@@ -212,7 +212,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "id", ids_c
             texts = [tool().decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
-    return tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(work, "id long, text string")
+    return common.bounded(tokens).select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(work, "id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

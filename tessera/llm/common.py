@@ -10,17 +10,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.ship import ship
+
 #: Bytes of Arrow data that a Python worker gets at once; a longer single row still comes whole.
 BATCH_BYTES = 8 << 20
 ROWS_AT_ONCE = 2000
 
+#: Folders of our own, by application; only where the session names none.
+_OWN: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in tests a folder of our own."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
-        given = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", given)
+        app = spark.sparkContext.applicationId
+        given = _OWN[app] = _OWN.get(app) or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
     return given.rstrip("/")
 
 
@@ -47,7 +52,8 @@ def discard(*tables: DataFrame) -> None:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """Keeps the Arrow batches of Python stages planned from here on small, whatever the texts' length."""
+    """Keeps the Arrow batches of Python stages planned from here on small, whatever the texts' length; they find us."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
     return df

@@ -179,6 +179,7 @@ def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
     rows = table.select(F.col(id_col).cast("long").alias("id"), whole(F.col(vector_col)).alias("v"), is_query.alias("q")).where("id is not null and v is not null")
     rows = common.written(rows, "mtree-vectors")
     square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    common.bounded(rows)
     facts = rows.agg(F.count("*").alias("n"), F.max(square).alias("length"), F.max(F.size("v")).alias("width"), F.count_if("q").alias("queries")).first()
     out = "query_id long, query long, vec_id long, score long"
     if not facts["n"] or not facts["queries"]:

@@ -193,7 +193,7 @@ def index(captures: DataFrame, folder: str) -> DataFrame:
         out.close()
 
     count = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = captures.repartitionByRange(count, "key", "page_id").sortWithinPartitions("key", "page_id")
+    ordered = common.bounded(captures).repartitionByRange(count, "key", "page_id").sortWithinPartitions("key", "page_id")
     return common.written(ordered.mapInArrow(work, DIRECTORY), "warc-directory")
 
 
@@ -214,7 +214,7 @@ def read_back(directory: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{"page_id": r.page_id, "payload_bytes": r.payload_bytes, "payload_digest": r.digest, "record_type": r.type, "refers_to": r.refers_to} for r in found], schema=schema)
 
     count = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = directory.select("file", "offset", "length").repartition(count, "file", "offset")
+    spread = common.bounded(directory).select("file", "offset", "length").repartition(count, "file", "offset")
     return spread.mapInArrow(work, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
