@@ -58,16 +58,20 @@ def listed_days(prices: DataFrame) -> DataFrame:
 def forward_returns(prices: DataFrame, horizons: Sequence[int]) -> DataFrame:
     """trade_date, symbol, horizon, ret: from the open of the next session to the open h sessions later.
 
-    Sessions are those of the whole table, not of a symbol; a return needs two opens above zero. One shuffle, by
-    symbol, serves all horizons.
+    Sessions are those of the whole table, not of a symbol; a return needs two opens above zero, and without them
+    there is no row. Every open goes to the dates whose returns it begins or ends, where one aggregate by date and
+    symbol brings them together: no grid, and a result already dealt as a join to a factor needs it.
     """
-    dense = densified(prices.select(*KEYS, "open_price"))
-    own = Window.partitionBy("symbol").orderBy("trade_date")
-    start = F.lead("open_price", 1).over(own)
-    cells = dense.select(*KEYS, start.alias("_b"), *[F.lead("open_price", h + 1).over(own).alias(f"_e{h}") for h in horizons])
-    each = F.array(*[F.struct(F.lit(f"{h}d").alias("horizon"), F.col(f"_e{h}").alias("e")) for h in horizons])
-    ret = F.when((F.col("_b") > 0) & (F.col("_x.e") > 0), F.col("_x.e") / F.col("_b") - 1)
-    return cells.withColumn("_x", F.explode(each)).select(*KEYS, F.col("_x.horizon").alias("horizon"), ret.alias("ret"))
+    horizons = list(dict.fromkeys(int(h) for h in horizons))
+    days = calendar(prices)
+    ends = F.array(*[F.struct(F.lit(i).alias("role"), F.lit(back).alias("back")) for i, back in enumerate([1, *[h + 1 for h in horizons]])])
+    opens = prices.select(*KEYS, "open_price").where("open_price > 0").join(F.broadcast(days), "trade_date")
+    sent = opens.select("symbol", "open_price", "t", F.explode(ends).alias("_r")).select("symbol", "open_price", "_r.role", (F.col("t") - F.col("_r.back")).alias("t"))
+    sent = sent.join(F.broadcast(days), "t")
+    own = lambda i: F.max(F.when(F.col("role") == i, F.col("open_price")))
+    met = sent.groupBy(*KEYS).agg(own(0).alias("_b"), *[own(i).alias(f"_e{h}") for i, h in enumerate(horizons, 1)]).where("_b is not null")
+    each = F.array(*[F.struct(F.lit(f"{h}d").alias("horizon"), (F.col(f"_e{h}") / F.col("_b") - 1).alias("ret")) for h in horizons])
+    return met.select(*KEYS, F.explode(each).alias("_x")).select(*KEYS, "_x.horizon", "_x.ret").where("ret is not null")
 
 
 def tradability(cells: DataFrame, min_listed_days: int = 120) -> DataFrame:

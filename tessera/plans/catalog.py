@@ -130,7 +130,7 @@ def _(spark, d):
     return panel.at_next_date(rows, rows)
 
 
-@query("forward_returns", sql.query("SELECT trade_date, symbol, horizon, round(ret, 9) AS ret FROM returns", "returns"))
+@query("forward_returns", sql.query("SELECT trade_date, symbol, horizon, round(ret, 9) AS ret FROM returns WHERE ret IS NOT NULL", "returns"))
 def _(spark, d):
     return rounded(Bound(spark, d).returns)
 
