@@ -19,7 +19,7 @@ from tessera.plans.files import Files
 from tessera.sources import books
 
 #: Fixed pools and horizons of the exchange format.
-POOLS, HORIZONS = ("all", "hs300", "zz500", "zz1000"), (1, 5, 10, 20)
+POOLS, HORIZONS = ("all", "hs300_pool", "zz1000_pool", "zz2000_pool"), (1, 5, 10, 20)
 VERSION = "1.0"
 
 

@@ -24,7 +24,7 @@ def read_frame(spark: SparkSession, path: str) -> DataFrame:
 
 def normalize_book(raw: DataFrame) -> DataFrame:
     """trade_date, symbol, factor_id, value; equal keys are averaged."""
-    names = [pick(raw.columns, x) for x in (("date", "trade_date"), ("symbol", "stock_id", "asset"), ("factor_id", "factor_name", "factor"), ("value", "factor_value"))]
+    names = [pick(raw.columns, x) for x in (("date", "trade_date"), ("symbol", "stock_id", "asset"), ("factor_id",), ("value", "factor_value", "factor"))]
     if None in names:
         raise SourceError(f"a factor library needs date, symbol, factor_id and value; has {raw.columns}")
     date, symbol, factor, value = names

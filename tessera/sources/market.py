@@ -14,6 +14,8 @@ from tessera.sources.risk import latest_versions
 
 #: Fixed default table names.
 TABLES = {"ohlcv": "stock_daily", "shares": "stock_shares", "st": "stock_st", "suspended": "stock_suspended"}
+#: Fixed names of universes; each is a CSV file of its name, 'all' is virtual.
+POOLS = ("all", "hs300_pool", "zz500_pool", "zz1000_pool", "zz2000_pool", "gz1000_pool", "gz2000_pool", "gzMidsmallcap_pool", "miMicrocap_pool")
 PRICES = ("open_price", "close_price", "high_price", "low_price", "volume", "amount", "market_cap", "limit_up_price", "limit_down_price", "is_st", "is_suspended")
 #: Fixed other names of the columns.
 ALIASES = {
@@ -83,6 +85,11 @@ def pool(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.to_date(date).alias("trade_date"), F.col(symbol).cast("string").alias("symbol")).distinct()
 
 
+def registry(folder: str) -> dict[str, str | None]:
+    """The named universes, with their files in a folder."""
+    return {name: None if name == "all" else f"{folder.rstrip('/')}/{name}.csv" for name in POOLS}
+
+
 def pools(spark: SparkSession, selected, registry: Mapping[str, str | DataFrame | None]) -> dict[str, DataFrame | None]:
     """The pools selected; None is the pool of all."""
     unknown = [p for p in selected if p not in registry]

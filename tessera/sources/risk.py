@@ -78,3 +78,22 @@ def latest_risk(raw: DataFrame, version: str, **how) -> DataFrame:
     return normalize_risk(latest_versions(raw, keys, version).drop(version), **how)
 
 
+
+
+def load(read, start: str, end: str, table: str, industries: Sequence[str] = (), styles: Sequence[str] = STYLES) -> DataFrame:
+    """read(query) of a closed range, checked; nothing found is an error."""
+    raw = read(risk_query(start, end, table, industries, styles))
+    if not raw.head(1):
+        raise RuntimeError(f"no risk exposures from {start} to {end}")
+    return normalize_risk(raw, styles)
+
+
+def resolve(source: str, read=None, start: str | None = None, end: str | None = None, **how) -> DataFrame | None:
+    """Risk exposures as a configuration names their source: 'none', or 'server' with a reader and a range."""
+    if source == "none":
+        return None
+    if source != "server":
+        raise ValueError(f"unknown source of risk exposures: {source}")
+    if read is None or start is None or end is None:
+        raise ValueError("a server's risk exposures need a reader and a range of dates")
+    return load(read, start, end, **how)

@@ -175,3 +175,31 @@ def test_stream_refresh(spark, tmp_path):
     spark.createDataFrame([(DAYS[1], "B", 7.0)], "trade_date date, symbol string, value double").write.mode("append").parquet(source)
     refresh_on_arrival(stream, compute, out, f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["mean"] for r in spark.read.parquet(out).collect()) == [2.0, 6.0]
+
+
+def test_legacy_layout(spark, tmp_path):
+    from tessera.plans.legacy import LegacyResult
+
+    root = tmp_path / "run" / "all" / "tables"
+    root.mkdir(parents=True)
+    (root / "daily_ic.csv").write_text("trade_date,ic_1d,ic_ext\n2025-01-02,0.1,\n2025-01-03,-0.2,0.5\n")
+    (root / "daily_group_returns.csv").write_text("trade_date,horizon,group,group_return\n2025-01-02,1d,10,0.01\n")
+    run = LegacyResult(spark, str(tmp_path / "run"))
+    assert run.available_pools == ["all"] and run.available_tables() == ["daily_group_returns", "daily_ic"]
+    assert {(str(r.trade_date), r.horizon): r.ic for r in run.read_table("daily_ic").collect()} == {("2025-01-02", "1d"): 0.1, ("2025-01-02", "ext"): None, ("2025-01-03", "1d"): -0.2, ("2025-01-03", "ext"): 0.5}
+    assert run.read_table("daily_group_returns").first()["group"] == 10
+    with pytest.raises(ValueError):
+        run.read_table("../x")
+
+
+def test_resolving_risk(spark):
+    assert risk.resolve("none") is None
+    for args in (("server",), ("elsewhere",)):
+        with pytest.raises(ValueError):
+            risk.resolve(*args)
+    raw = spark.createDataFrame([("2025-01-02", "A", 1.0, 7.0)], "date string, symbol string, size double, industry double")
+    got = risk.resolve("server", lambda q: raw, "2025-01-01", "2025-01-02", table="db.t", styles=("size",))
+    assert got.first().industries == ["7"] and risk.industry_names(got) == ["7"]
+    with pytest.raises(RuntimeError):
+        risk.load(lambda q: raw.limit(0), "2025-01-01", "2025-01-02", "t", styles=("size",))
+    assert market.registry("/pools")["hs300_pool"] == "/pools/hs300_pool.csv" and market.registry("/pools")["all"] is None
