@@ -276,7 +276,7 @@ def _(spark, d):
     return rounded(ts.group_curves(b.groups, b.factor, DAYS))
 
 
-_NAV = """nav AS (SELECT horizon, trade_date, exp(sum(ln(1 + spread)) OVER (PARTITION BY horizon ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) AS v FROM spread WHERE spread IS NOT NULL),
+_NAV = """nav AS (SELECT horizon, trade_date, product(1 + spread) OVER (PARTITION BY horizon ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS v FROM spread WHERE spread IS NOT NULL),
 dd AS (SELECT horizon, min(v / p - 1) AS max_drawdown FROM (SELECT *, max(v) OVER (PARTITION BY horizon ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS p FROM nav) GROUP BY 1)"""
 
 
@@ -347,10 +347,10 @@ def _(spark, d):
 
 
 @query("exposure_summary", sql.query("SELECT 1", "legs", "risk").replace("\nSELECT 1", f""",\n{_STYLE_LEGS} SELECT m.leg AS leg, exposure, round(avg(m.v), 9) AS mean, round(stddev_samp(m.v), 9) AS std, round(avg(m.v) / nullif(stddev_samp(m.v), 0), 9) AS mean_over_std,
-  round(avg(m.v) / (nullif(stddev_samp(m.v), 0) / sqrt(count(m.v))), 9) AS t_stat, round(avg((m.v > 0)::INT), 9) AS positive_ratio, round(avg((m.v < 0)::INT), 9) AS negative_ratio, count(m.v) AS valid_days FROM six GROUP BY 1, 2"""))
+  round(avg(m.v) / (nullif(stddev_samp(m.v), 0) / sqrt(count(m.v))), 9) AS t_stat, round(avg((m.v > 0)::INT), 9) AS positive_ratio, round(avg((m.v < 0)::INT), 9) AS negative_ratio, count(m.v) AS valid_days FROM six WHERE exposure <> 'balance' GROUP BY 1, 2"""))
 def _(spark, d):
     b = Bound(spark, d)
-    return rounded(ts.summary(xs.group_style_exposure(b.factor, b.risk, STYLES, GROUPS, LEAST, 1, GROUPS), ["leg", "exposure"], "value"))
+    return rounded(ts.summary(xs.group_style_exposure(b.factor, b.risk, STYLES[:2], GROUPS, LEAST, 1, GROUPS), ["leg", "exposure"], "value"))  # balances don't change: no spread to divide by
 
 
 @query("group_exposure_industry", sql.query("SELECT 1", "legs", "risk").replace("\nSELECT 1", f""",
