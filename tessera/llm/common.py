@@ -59,6 +59,14 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with as many underscores before it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_crc(id_col: Column, modulus: int) -> Column:
     """crc32 of the id as text, by a modulus; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

@@ -275,8 +275,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = KEEP_FROM) -> DataFrame:
     """docs that score least or more."""
-    scored = score(docs, learn(docs, labels, id_col, text_col), text_col, "_quality_score")
-    return scored.where(F.col("_quality_score") >= least).select(*docs.columns)
+    own = common.fresh(docs, "quality_score")
+    scored = score(docs, learn(docs, labels, id_col, text_col), text_col, own)
+    return scored.where(F.col(own) >= least).select(*docs.columns)
 
 
 def op6_line_crf(spark, sf_dir: str) -> DataFrame:

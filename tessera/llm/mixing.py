@@ -157,10 +157,10 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     nothing are not in the mix.
     """
     found, _ = mix(docs, id_col, text_col, source_col, **how)
-    plan = found.where("taken > 0").groupBy("id", "source").agg(F.min("taken").alias("_taken"))
-    plan = plan.select(F.col("id").alias("_mix_id"), F.col("source").alias("_mix_source"), "_taken")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_mix_source"))
-    rows = common.bounded(docs).join(plan, same).select(*docs.columns, "_taken")
+    who, where, words = (common.fresh(docs, x) for x in ("mix_id", "mix_source", "mix_taken"))
+    plan = found.where("taken > 0").groupBy(F.col("id").alias(who), F.col("source").alias(where)).agg(F.min("taken").alias(words))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(who)) & F.col(source_col).cast("string").eqNullSafe(F.col(where))
+    rows = common.bounded(docs).join(plan, same).select(*docs.columns, words)
     names, at = docs.columns, docs.columns.index(text_col)
 
     def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -150,9 +150,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A row with a null id can't be told from another by it, and stays.
     """
     found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col("id") == F.col("component_id")).groupBy(F.col("id").alias("kept_id")).count()
-    stays = docs.join(kept.select("kept_id"), F.col(id_col) == F.col("kept_id"), "left_semi")
-    stays = stays.dropDuplicates([id_col]) if kept.where("count > 1").head(1) else stays
+    own = common.fresh(docs, "kept_id")
+    kept = found.where(F.col("id") == F.col("component_id")).groupBy(F.col("id").alias(own)).count()
+    stays = docs.join(kept.select(own), F.col(id_col) == F.col(own), "left_semi")
+    stays = stays.dropDuplicates([id_col]) if kept.where(F.col("count") > 1).head(1) else stays
     return stays.union(docs.where(F.col(id_col).isNull()))
 
 

@@ -300,3 +300,20 @@ def test_pipeline_stages(spark):
     assert tokens.count() == mix.count() and tokens.where("n_tokens <> size(ids)").count() == 0
     whole = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, whole.select("doc_id", "ids_sha256").collect())) == sorted(map(tuple, tokens.select("doc_id", "ids_sha256").collect()))
+
+
+def test_pipeline_on_awkward_documents(spark):
+    good = "Plain words stand here in a row and go on for a while without any trouble at all.\n"
+    rows = [(1, good * 3, "en", "a", None), (1, good * 3, "en", "a", 3), (2, good.lower() * 3, None, None, 1), (3, None, None, "b", 1), (4, "", "en", "a", 1), (None, f"mail x@y.org {good}", "en", "b", 1), (5, "### $$$ " * 5000, "en", "a", 1), (6, good * 4000, "en", "c", 1)]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    more = ["kept_id", "quality_score", "mix_id", "mix_taken", "base", "_row", "_text", "id", "part", "taken", "fp"]
+    docs = spark.createDataFrame([(*r, *["x"] * len(more)) for r in rows], ", ".join([names, *[f"{c} string" for c in more]]))
+    for start in (docs, docs.limit(0)):
+        now = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = common.written(stage(spark, now, SF), "odd")
+            assert now.columns == docs.columns, name
+            assert {r.kept_id for r in now.select("kept_id").distinct().collect()} <= {"x"}
+        tokens = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
+        assert all(r.n_tokens == len(r.ids) > 0 for r in tokens)
+        assert now.where("text like '%x@y.org%'").count() == 0
