@@ -95,23 +95,39 @@ def first_valid(x: Column, order: str, parts: Sequence[str] = ()) -> Column:
     return F.first(x, ignorenulls=True).over(frame)
 
 
-def hac_mean_t(df: DataFrame, keys: Sequence[str], value: str, date: str, lag: Column) -> DataFrame:
-    """keys, hac_t, hac_lag: t of the mean with Bartlett-weighted autocovariances; null values are left out first.
+def hac_mean_t(df: DataFrame, keys: Sequence[str], value: str, date: str, lag: Column, more: dict[str, Column] | None = None) -> DataFrame:
+    """keys, the further aggregates, hac_t, hac_lag, and series, the non-null values by date.
 
-    A group is one number for each date. lag is an aggregate; beyond n - 1 it is cut, and null gives null.
+    hac_t is the t of the mean with Bartlett-weighted autocovariances. A group is one number for each date. lag is an
+    aggregate; beyond n - 1 it is cut, and null gives null.
     """
+    more = more or {}
     series = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(date), F.col(value).alias("x")))))
-    made = df.groupBy(*keys).agg(series.alias("_s"), F.avg(value).alias("_m"), F.count(value).alias("_n"), lag.cast("int").alias("_lag"))
-    made = made.select(*keys, "_m", "_n", F.when(F.col("_lag").isNotNull(), F.least(F.col("_lag"), F.greatest(F.col("_n") - 1, F.lit(0)))).cast("int").alias("_l"), F.transform("_s", lambda s: s["x"] - F.col("_m")).alias("_d"))
+    made = df.groupBy(*keys).agg(series.alias("_s"), F.avg(value).alias("_m"), F.count(value).alias("_n"), lag.cast("int").alias("_lag"), *[c.alias(k) for k, c in more.items()])
+    cut = F.when(F.col("_lag").isNotNull(), F.least(F.col("_lag"), F.greatest(F.col("_n") - 1, F.lit(0)))).cast("int")
+    made = made.select(*keys, *more, "_m", "_n", cut.alias("_l"), F.transform("_s", lambda s: s["x"]).alias("series"), F.transform("_s", lambda s: s["x"] - F.col("_m")).alias("_d"))
 
     def product(k: Column) -> Column:
         pairs = F.zip_with(F.slice("_d", k + 1, F.col("_n").cast("int") - k), F.slice("_d", F.lit(1), F.col("_n").cast("int") - k), lambda a, b: a * b)
         return F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b)
 
     tail = F.when(F.col("_l") >= 1, F.aggregate(F.sequence(F.lit(1), F.col("_l")), F.lit(0.0), lambda a, k: a + 2 * (1 - k / (F.col("_l") + 1).cast("double")) * product(k))).otherwise(0.0)
-    variance = (product(F.lit(0)) + tail) / F.col("_n")
-    t = F.when((F.col("_n") >= 2) & F.col("_l").isNotNull(), F.when(F.try_divide(variance, F.lit(1.0)) > 0, F.col("_m") / F.sqrt(variance / F.col("_n"))))
-    return made.select(*keys, t.alias("hac_t"), F.when(F.col("_n") >= 2, F.col("_l")).when(F.col("_l").isNotNull(), 0).alias("hac_lag"))
+    variance = F.try_divide(product(F.lit(0)) + tail, F.col("_n").cast("double"))
+    t = F.when((F.col("_n") >= 2) & F.col("_l").isNotNull(), F.when(variance > 0, F.col("_m") / F.sqrt(variance / F.col("_n"))))
+    lag_used = F.when(F.col("_n") >= 2, F.col("_l")).when(F.col("_l").isNotNull(), 0)
+    return made.select(*keys, *more, t.alias("hac_t"), lag_used.alias("hac_lag"), "series")
+
+
+def deepest_fall(series: Column) -> Column:
+    """The smallest of nav / highest nav so far - 1, where nav compounds the series and starts after its first value."""
+    start = F.struct(F.lit(1.0).alias("nav"), F.lit(-INF).alias("top"), F.lit(None).cast("double").alias("fall"))
+
+    def step(a: Column, x: Column) -> Column:
+        nav = a["nav"] * (1 + x)
+        top = F.greatest(a["top"], nav)
+        return F.struct(nav.alias("nav"), top.alias("top"), F.least(a["fall"], F.try_divide(nav, top) - 1).alias("fall"))
+
+    return F.aggregate(series, start, step, lambda a: a["fall"])
 
 
 def label_order(label: str) -> tuple[int, int, str]:

@@ -35,13 +35,10 @@ TURNOVER_COLUMNS = ("mean", "std", "mean_over_std", "min", "max", "valid_days")
 
 
 def _with_hac(daily: DataFrame, keys: Sequence[str], value: str, days: dict[str, int | None]) -> DataFrame:
-    """keys, the moments, t_stat_hac, hac_lag, hac_status; the lag is the horizon's days less one."""
-    rows = with_days(daily, days)
-    own = _moments(value)
-    plain = rows.groupBy(*keys).agg(*[c.alias(k) for k, c in own.items()], F.max("days").alias("days"))
-    hac = expr.hac_mean_t(rows, keys, value, "trade_date", F.max("days") - 1)
+    """keys, the moments, t_stat_hac, hac_lag, hac_status, series, in one aggregate; the lag is the days less one."""
+    made = expr.hac_mean_t(with_days(daily, days), keys, value, "trade_date", F.max("days") - 1, _moments(value) | {"days": F.max("days")})
     status = F.when(F.col("days").isNull(), "missing_horizon_days").otherwise("ok")
-    return plain.join(hac, list(keys)).withColumn("hac_status", status).withColumnRenamed("hac_t", "t_stat_hac")
+    return made.withColumn("hac_status", status).withColumnRenamed("hac_t", "t_stat_hac")
 
 
 def ic_stats(daily_ic: DataFrame, days: dict[str, int | None], keys: Sequence[str] = ("horizon",)) -> DataFrame:
@@ -76,7 +73,7 @@ def max_drawdown(spreads: DataFrame, keys: Sequence[str] = ("horizon",), value:
 
 def performance(spreads: DataFrame, days: dict[str, int | None]) -> DataFrame:
     """By horizon: statistics of the spread; a drawdown only for one day, else the reason why not."""
-    s = _with_hac(spreads, ("horizon",), "spread", days).join(max_drawdown(spreads), "horizon", "left")
+    s = _with_hac(spreads, ("horizon",), "spread", days).withColumn("max_drawdown", expr.deepest_fall(F.col("series")))
     one = F.coalesce(F.col("days") == 1, F.lit(False))
     reason = F.when(F.col("days").isNull(), "unknown_horizon_days").when(F.col("days") > 1, "overlapping_forward_returns").otherwise("")
     return s.select(
