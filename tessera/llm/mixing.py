@@ -136,17 +136,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goals = targets(amounts, [weights[i % len(weights)] for i in range(len(totals))], share * sum(amounts), most)
     wanted = [slots_wanted(n, goal, block) for n, goal in zip(amounts, goals, strict=True)]
     of = spark.createDataFrame([(s, i, n, g, -(-n // block)) for i, ((s, n), g) in enumerate(zip(totals, goals, strict=True))], "source string, part int, source_size long, target double, blocks long")
-    parted = sized.join(of.select("source", "part"), sized["source"].eqNullSafe(of["source"])).select("id", "part", "size")
+    # a row for each source, which the driver holds already, is all that is ever broadcast
+    parted = sized.join(F.broadcast(of.select("source", "part")), sized["source"].eqNullSafe(of["source"])).select("id", "part", "size")
     placed = common.written(laid_out(parted, seed), "mix-places")
     block_of = lambda x: F.floor(x / block).cast("long")
     cut = placed.where("size > 0").withColumn("block", F.explode(F.sequence(block_of(F.col("at")), block_of(F.col("at") + F.col("size") - 1))))
     words = F.least((F.col("block") + 1) * block, F.col("at") + F.col("size")) - F.greatest(F.col("block") * block, F.col("at"))
     cut = cut.select("part", "block", "at", words.alias("words"))
-    slots = schedule(spark, goals, wanted).join(of.select("part", "blocks"), "part")
+    slots = schedule(spark, goals, wanted).join(F.broadcast(of.select("part", "blocks")), "part")
     slots = slots.select("part", "slot", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).cast("int").alias("epoch"))
     draws = slots.join(cut.hint("merge"), ["part", "block"])  # both sides grow with the words: neither is ever broadcast
     taken = draws.groupBy("part", "at").agg(F.sum("words").alias("taken")).withColumn("has", F.lit(True))
-    found = placed.withColumn("has", F.col("size") > 0).join(taken, ["part", "at", "has"], "left").join(of, "part")
+    found = placed.withColumn("has", F.col("size") > 0).join(taken, ["part", "at", "has"], "left").join(F.broadcast(of), "part")
     return found.select("id", "source", "size", "source_size", "target", "at", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), draws
 
 
