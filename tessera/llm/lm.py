@@ -1,15 +1,17 @@
 """Language-model scores by a weighted backoff automaton.
 
 Training counts every token of the training texts. A document is its lower-cased words and one end. The automaton's
-states are the start, each of the STATES most frequent words, and a root. A state has an arc for each pair of
-words kept, weighted by the absolutely discounted probability of the second after the first, and a failure arc to
-the root, weighted so that what remains is spread by the root's own probabilities; the root has an arc for every
-word, weighted by its count plus one half. Reading a word takes its arc, or the failure arc and then the root's; the
-next state is the word's, or the root for a word without a state. One pass from left to right adds up the weights.
-
-All pairs between state words are counted over all training texts; those kept are the most frequent, ARCS at
-most, which bounds what workers hold, as do the CORE most frequent words with their counts. The counts of all other
-words stay a table: a pass leaves their occurrences, a join adds their weights, which depend on no state.
+states are the start, each word of the training texts, and a root. A state has an arc for each word that follows it
+in the training texts, weighted by the absolutely discounted probability of the second after the first, and a
+failure arc to the root, weighted so that what remains is spread by the root's own probabilities; the root has an arc
+for every word, weighted by its count plus one half. Reading a word takes its arc, or the failure arc and then the
+root's; the next state is the word's, or the root for a word never trained on.
+
+All pairs of all words are counted, and each is an arc. Workers hold the CORE most frequent words with their counts
+and failure weights, and the most frequent arcs between them, ARCS at most. All else stays tables: a pass leaves the
+other words' occurrences and the pairs without a local arc, and joins add their weights. A weight over the way by the
+root, the arc's gain, depends on the pair alone, so the joined weights are only added up. What is held has no effect
+on scores. The arguments states and arcs make a smaller model: of the most frequent words' pairs seen twice or more.
 
 Defined results: a null or blank text is the end alone; a null id hashes as empty text; rows with equal ids are
 scored one by one; without training texts every token has probability one. Extra columns are ignored.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-CORE, STATES, ARCS = 400_000, 16_384, 1_000_000
+CORE, ARCS = 400_000, 1_000_000
 FLUSH_WORDS, FLUSH_PAIRS = 400_000, 4_000_000
 
 
@@ -70,37 +72,57 @@ class Automaton:
 
     core: list[bytes]
     root: np.ndarray  # log10 weight of each core word's arc at the root, the last that of the end
-    states: int  # words that have a state
-    arcs: np.ndarray  # state * (states + 1) + word, sorted; the end is word number states
-    weights: np.ndarray
+    states: int  # core words that have a state
+    arcs: np.ndarray  # before * (len(core) + 1) + word of the arcs held here, sorted; len(core) is the start or the end
+    gains: np.ndarray  # of each, over the failure arc and the root's
     failure: np.ndarray  # of each state
 
     def index(self) -> dict[bytes, int]:
         return {w: i for i, w in enumerate(self.core)}
 
     def step(self, state: int, word: int) -> tuple[float, int]:
-        """Weight and next state of reading a core word (len(core): the end)."""
-        own = self.states if word == len(self.core) else word if word < self.states else -1
-        key = state * (self.states + 1) + own
-        following = word if word < self.states else -1
-        at = int(np.searchsorted(self.arcs, key))
-        if state >= 0 and own >= 0 and at < len(self.arcs) and self.arcs[at] == key:
-            return float(self.weights[at]), following
-        return (float(self.failure[state]) if state >= 0 else 0.0) + float(self.root[word]), following
-
-    def traverse(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Weights of reading words (-1: one outside the core, whose own root weight is left out) after before.
-
-        The state that a word leads to depends on that word alone, so all steps of a pass are taken at once.
-        """
-        end, size = len(self.core), self.states + 1
-        state = np.where(before == end, self.states, np.where(before < self.states, before, -1)).astype(np.int64)
-        own = np.where(words == end, self.states, np.where(words < self.states, words, -1)).astype(np.int64)
-        key = np.where((state >= 0) & (own >= 0), state * size + own, -1)
-        at = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
-        hit = (self.arcs[at] == key) if len(self.arcs) else np.zeros(len(key), bool)
-        fall = np.where(state >= 0, self.failure[state], 0.0) + np.where(words >= 0, self.root[words], 0.0)
-        return np.where(hit, self.weights[at] if len(self.arcs) else 0.0, fall)
+        """Weight and next state of reading a core word (len(core): the end), by the arcs held here."""
+        end = len(self.core)
+        before = np.array([end if state == self.states else state])
+        weight = self.fall(before)[0] + self.root[word] + self.gain(before, np.array([word]))[0][0]
+        return float(weight), word if word < self.states else -1
+
+    def fall(self, before: np.ndarray) -> np.ndarray:
+        """Weights of the failure arcs (before: core words, len(core) for the start, -1 for others)."""
+        state = np.where(before == len(self.core), self.states, np.where(before < self.states, before, -1))
+        return np.where(state >= 0, self.failure[state], 0.0)
+
+    def gain(self, before: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gains of the arcs held here, 0 for other pairs; and which they are."""
+        key = np.where((before >= 0) & (words >= 0), before * (len(self.core) + 1) + words, -1)
+        if not len(self.arcs):
+            return np.zeros(len(key)), np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+        hit = self.arcs[at] == key
+        return np.where(hit, self.gains[at], 0.0), hit
+
+
+def _packed(keys: np.ndarray) -> pa.Array:
+    """Pairs of core words as bytes: eight, of which the first is 0."""
+    offsets = np.arange(0, 8 * len(keys) + 1, 8, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(keys.astype(">i8"))])
+
+
+def _unpacked(pairs: pa.Array) -> np.ndarray:
+    if not len(pairs):
+        return np.zeros(0, np.int64)
+    _, offsets, data = pairs.buffers()
+    at = np.frombuffer(offsets, np.int32)[pairs.offset]
+    return np.frombuffer(data, ">i8", len(pairs), at).astype(np.int64)
+
+
+def _spelled(words: list[list[bytes]], at: np.ndarray) -> list[bytes]:
+    """Pairs with a word outside the core: 1, the words with a blank between; the start and the end are empty."""
+    flat = [b""]
+    for w in words:
+        flat += w
+        flat.append(b"")
+    return [b"\x01%b %b" % (flat[p], flat[p + 1]) for p in at.tolist()]
 
 
 def _numbered(texts: list[bytes], index: dict[bytes, int], end: int) -> tuple[list[list[bytes]], list[np.ndarray]]:
@@ -122,13 +144,15 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 @dataclass
 class Trained:
     automaton: Automaton
-    rare: DataFrame  # word, n of the words outside the core
+    rare: DataFrame  # word, n, failure of the words outside the core
+    arcs: DataFrame  # pair, gain of the arcs that the automaton doesn't hold
     total: int  # N
     unit: float  # N + 0.5 * (V + 1)
     ends: int
 
 
-def train(rows: DataFrame, core: int = CORE, states: int = STATES, arcs: int = ARCS) -> Trained:
+def train(rows: DataFrame, core: int = CORE, states: int | None = None, arcs: int | None = None, held: int = ARCS) -> Trained:
+    """states, arcs: the most words with a state and the most arcs of a smaller model; held: arcs on each worker."""
     spark = rows.sparkSession
     learned = rows.where("not held_out").select("text")
     counts = common.written(learned.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
@@ -140,41 +164,116 @@ def train(rows: DataFrame, core: int = CORE, states: int = STATES, arcs: int = A
     top = counts.where(F.col("n") >= least).select("word", "n").toArrow()  # core rows at most
     top = top.sort_by([("n", "descending"), ("word", "ascending")])
     words, n = top.column("word").to_pylist(), np.append(top.column("n").to_numpy(), ends).astype(float)
-    share = (n + 0.5) / unit
-    states, end = min(states, len(words)), len(words)
-    index = spark.sparkContext.broadcast({w: i for i, w in enumerate(words[:states])})
+    share, end = (n + 0.5) / unit, len(words)
+    size, whole, stated = end + 1, states is None, end if states is None else min(states, end)
+    shared = spark.sparkContext.broadcast((words, n, share))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        index = {w: i for i, w in enumerate(shared.value[0])}
+        inside, spelled, found = [], Counter(), 0
+
+        def flush() -> pa.RecordBatch:
+            key, many = np.unique(np.concatenate([np.zeros(0, np.int64), *inside]), return_counts=True)
+            both = pa.concat_arrays([_packed(key), pa.array(list(spelled), pa.binary())])
+            times = np.concatenate([many.astype(np.int64), np.fromiter(spelled.values(), np.int64, len(spelled))])
+            inside.clear()
+            spelled.clear()
+            return pa.RecordBatch.from_arrays([both, pa.array(times)], ["pair", "n"])
+
         for batch in common.chunks(batches, 256):
-            _, ids = _numbered(common.texts_of(batch, "text"), index.value, states)
-            before, after = _sequences(ids, states)
-            keys = (before * (states + 1) + after)[(before >= 0) & (after >= 0)]
-            held.append(keys)
-            size += len(keys)
-            if size > FLUSH_PAIRS:
-                key, many = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(many)], ["pair", "n"])
-                held, size = [], 0
-        if held:
-            key, many = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(many)], ["pair", "n"])
-
-    counted = common.written(learned.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "lm-pairs")
+            text, ids = _numbered(common.texts_of(batch, "text"), index, end)
+            before, after = _sequences(ids, end)
+            ours = (before >= 0) & (after >= 0)
+            if whole:
+                spelled.update(_spelled(text, np.flatnonzero(~ours)))
+            else:
+                ours &= ((before < stated) | (before == end)) & ((after < stated) | (after == end))
+            inside.append((before * size + after)[ours])
+            found += len(inside[-1])
+            if found > FLUSH_PAIRS or len(spelled) > FLUSH_WORDS:
+                found = 0
+                yield flush()
+        yield flush()
+
+    counted = common.written(learned.mapInArrow(pairs, "pair binary, n long").groupBy("pair").agg(F.sum("n").alias("n")), "lm-pairs")
     histogram = {r["n"]: r["count"] for r in counted.groupBy("n").count().collect()}
     once, twice = histogram.get(1, 0), histogram.get(2, 0)
     discount = once / (once + 2 * twice) if once and twice else 0.5
-    kept = counted.where(F.col("n") >= max(2, least_kept(histogram, arcs))).toArrow().sort_by("pair")
-    key, many = kept.column("pair").to_numpy(), kept.column("n").to_numpy().astype(float)
-    common.discard(counted)
-    left, right = key // (states + 1), key % (states + 1)
-    after = np.append(n[:states], ends)  # each state is left as often as its word, or the start, occurs
-    inside = (many - discount) / after[left]
-    mass = np.bincount(left, inside, states + 1)
-    covered = np.bincount(left, share[np.where(right == states, end, right)], states + 1)
-    failure = np.log10(np.maximum(1 - mass, 1e-12) / np.maximum(1 - covered, 1e-12))
-    made = Automaton(words, np.log10(share), states, key, np.log10(inside), failure)
-    return Trained(made, counts.where(F.col("n") < least), total, unit, ends)
+    counted = counted if arcs is None else counted.where(F.col("n") >= max(2, least_kept(histogram, arcs)))
+    here = least_kept(histogram, held)  # arcs between core words that occur so often are held; others can't be rarer words'
+    inner = F.substring("pair", 1, 1) == F.lit(b"\x00")
+    close, far = counted.where(inner), counted.where(~inner)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, mass, covered = shared.value[2], np.zeros(size), np.zeros(size)
+        for batch in batches:
+            left, right = np.divmod(_unpacked(batch.column("pair")), size)
+            mass += np.bincount(left, batch.column("n").to_numpy() - discount, size)
+            covered += np.bincount(left, share[right], size)
+        left = np.flatnonzero(covered)
+        for at in range(0, len(left), 1 << 16):
+            part = left[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(mass[part]), pa.array(covered[part])], ["left", "mass", "covered"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, _, share = shared.value
+        index = {w: i for i, w in enumerate([*words, b""])}
+        for batch in batches:
+            both = [x[1:].split(b" ") for x in batch.column("pair").to_pylist()]
+            left, right = [index.get(x) for x, _ in both], [index.get(x) for _, x in both]
+            first = [x if i is None else None for (x, _), i in zip(both, left, strict=True)]
+            then = [x if i is None else None for (_, x), i in zip(both, right, strict=True)]
+            p = [None if i is None else float(share[i]) for i in right]
+            columns = [pa.array(left, pa.int64()), pa.array(first, pa.binary()), pa.array(then, pa.binary()), pa.array(p, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column("pair"), batch.column("n"), *columns], ["pair", "n", "left", "first", "then", "p"])
+
+    rare = counts.where(F.col("n") < least)
+    named = common.written(far.mapInArrow(split, "pair binary, n long, left long, first binary, then binary, p double"), "lm-far")
+    odds = rare.select(F.col("word").alias("then"), ((F.col("n") + 0.5) / unit).alias("p"))
+    columns = ["pair", "n", "left", "first", "p"]  # core words, among them all frequent ones, are never joined
+    named = common.written(named.where("then is null").select(columns).union(named.where("then is not null").drop("p").join(odds, "then").select(columns)), "lm-far-odds")
+    both = (F.sum("mass").alias("mass"), F.sum("covered").alias("covered"))
+    of_arcs = named.select("left", "first", (F.col("n") - discount).alias("mass"), F.col("p").alias("covered"))
+    of_core = close.mapInArrow(sums, "left long, mass double, covered double").union(of_arcs.where("left is not null").drop("first"))
+    of_core = of_core.groupBy("left").agg(*both).toArrow()  # a row for each core word
+    mass, covered = np.zeros(size), np.zeros(size)
+    mass[of_core.column("left").to_numpy()] = of_core.column("mass").to_numpy()
+    covered[of_core.column("left").to_numpy()] = of_core.column("covered").to_numpy()
+    failure = np.log10(np.maximum(1 - mass / np.maximum(n, 1), 1e-12) / np.maximum(1 - covered, 1e-12))
+    if whole:
+        of_rare = of_arcs.where("left is null").groupBy(F.col("first").alias("word")).agg(*both)
+        kept = F.greatest(1 - F.col("mass") / F.col("n"), F.lit(1e-12)) / F.greatest(1 - F.col("covered"), F.lit(1e-12))
+        rare = common.written(rare.join(of_rare, "word").select("word", "n", F.log10(kept).alias("failure")), "lm-rare")
+    else:
+        rare = rare.withColumn("failure", F.lit(0.0))
+    weighed = spark.sparkContext.broadcast(failure)
+
+    def gains(key: np.ndarray, many: np.ndarray, n: np.ndarray, share: np.ndarray, failure: np.ndarray) -> np.ndarray:
+        left, right = np.divmod(key, size)
+        return np.log10((many - discount) / n[left]) - failure[left] - np.log10(share[right])
+
+    def gained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, n, share = shared.value
+        for batch in batches:
+            gain = gains(_unpacked(batch.column("pair")), batch.column("n").to_numpy(), n, share, weighed.value)
+            yield pa.RecordBatch.from_arrays([batch.column("pair"), pa.array(gain)], ["pair", "gain"])
+
+    def lefts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = batch.column("left").to_numpy()
+            columns = [pa.array(shared.value[1][left]), pa.array(weighed.value[left])]
+            yield pa.RecordBatch.from_arrays([batch.column("pair"), batch.column("n"), batch.column("p"), *columns], ["pair", "n", "p", "after", "failure"])
+
+    held_arcs = close.where(F.col("n") >= here).toArrow()
+    key = _unpacked(held_arcs.column("pair").combine_chunks())
+    gain, order = gains(key, held_arcs.column("n").to_numpy(), n, share, failure), np.argsort(key)
+    starts = named.where("left is not null").select("pair", "n", "left", "p").mapInArrow(lefts, "pair binary, n long, p double, after double, failure double")
+    others = named.where("left is null").select("pair", F.col("n").alias("m"), "p", F.col("first").alias("word")).join(rare, "word")
+    others = others.select("pair", F.col("m").alias("n"), "p", F.col("n").cast("double").alias("after"), "failure")
+    of_far = starts.union(others).select("pair", (F.log10((F.col("n") - discount) / F.col("after")) - F.col("failure") - F.log10("p")).alias("gain"))
+    remote = close.where(F.col("n") < here).mapInArrow(gained, "pair binary, gain double").union(of_far)
+    made = Automaton(words, np.log10(share), stated, key[order], gain[order], np.append(failure[:stated], failure[end]))
+    return Trained(made, rare, remote, total, unit, ends)
 
 
 def score(rows: DataFrame, model: Trained) -> DataFrame:
@@ -186,43 +285,53 @@ def score(rows: DataFrame, model: Trained) -> DataFrame:
         made = shared.value
         index, end = made.index(), len(made.core)
         key = TaskContext.get().partitionId() << 40
-        names = ["key", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "n"]
+        names = ["key", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "pairs", "word", "n"]
         for batch in common.chunks(batches, 256):
             words, ids = _numbered(common.texts_of(batch, "text"), index, end)
             before, after = _sequences(ids, end)
             sizes = np.array([len(i) + 1 for i in ids])
             row, rows_ = np.repeat(np.arange(len(ids)), sizes), len(ids)
             known = (after >= 0) & ((after != end) | (ends > 0))
-            base = np.bincount(row, np.where(after >= 0, made.root[after], 0.0), rows_)
-            total = np.bincount(row, made.traverse(before, after), rows_)
+            root = np.where(after >= 0, made.root[after], 0.0)
+            gain, hit = made.gain(before, after)
+            base = np.bincount(row, root, rows_)
+            total = np.bincount(row, root + made.fall(before) + gain, rows_)
+            close = (before >= 0) & (after >= 0)
+            inner, outer = np.flatnonzero(close & ~hit), np.flatnonzero(~close)
+            flat = pa.concat_arrays([_packed((before * (end + 1) + after)[inner]), pa.array(_spelled(words, outer), pa.binary())])
+            of = np.concatenate([row[inner], row[outer]])
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=rows_))]).astype(np.int32)
+            pairs = pa.ListArray.from_arrays(pa.array(offsets), flat.take(pa.array(np.argsort(of, kind="stable"))))
             keys = key + np.arange(rows_)
             none = pa.nulls(rows_, pa.binary())
-            numbers = [pa.array(sizes), pa.array(np.bincount(row, known, rows_).astype(np.int64)), pa.array(base), pa.array(total)]
+            numbers = [pa.array(sizes), pa.array(np.bincount(row, known, rows_).astype(np.int64)), pa.array(base), pa.array(total), pairs]
             yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("id"), batch.column("held_out"), *numbers, none, pa.nulls(rows_, pa.int64())], names)
             rare = [(keys[r], w, c) for r, i in enumerate(ids) for w, c in Counter([words[r][p] for p in np.flatnonzero(i < 0)]).items()]
             if rare:
                 k, w, c = zip(*rare, strict=True)
-                blank = [pa.nulls(len(k), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                blank = [pa.nulls(len(k), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *blank, pa.array(w, pa.binary()), pa.array(c, pa.int64())], names)
             key += rows_
 
-    schema = "key long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, n long"
+    schema = "key long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, pairs array<binary>, word binary, n long"
     passed = common.written(rows.mapInArrow(work, schema), "lm-pass")
     rare = passed.where("word is not null").select("key", "word", F.col("n").alias("times"))
     seen = F.coalesce("n", F.lit(0))
-    rare = rare.join(model.rare, "word", "left").select("key", (F.log10((seen + 0.5) / model.unit) * F.col("times")).alias("w"), F.when(seen > 0, F.col("times")).otherwise(0).alias("k"))
-    rare = rare.groupBy("key").agg(F.sum("w").alias("w"), F.sum("k").alias("k"))
-    found = passed.where("word is null").drop("word", "n").join(rare, "key", "left")
-    more = F.coalesce("w", F.lit(0.0))
+    root, fall = F.log10((seen + 0.5) / model.unit) * F.col("times"), F.coalesce("failure", F.lit(0.0)) * F.col("times")  # each is once before
+    rare = rare.join(model.rare, "word", "left").select("key", root.alias("w"), (root + fall).alias("s"), F.when(seen > 0, F.col("times")).otherwise(0).alias("k"))
+    arcs = passed.where("word is null").select("key", F.explode("pairs").alias("pair")).join(model.arcs, "pair")
+    added = rare.union(arcs.select("key", F.lit(0.0), "gain", F.lit(0)))
+    added = added.groupBy("key").agg(F.sum("w").alias("w"), F.sum("s").alias("s"), F.sum("k").alias("k"))
+    found = passed.where("word is null").drop("word", "n", "pairs").join(added, "key", "left")
     return found.select(
         "id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+        (F.col("base_score") + F.coalesce("w", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
     )
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: int = CORE, states: int = STATES, arcs: int = ARCS) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: int = CORE, states: int | None = None, arcs: int | None = None, held: int = ARCS) -> DataFrame:
     rows = _rows(docs, id_col, text_col)
-    return score(rows, train(rows, core, states, arcs))
+    return score(rows, train(rows, core, states, arcs, held))
 
 
 def op9_lm_scores(spark, sf_dir: str) -> DataFrame:

@@ -90,3 +90,38 @@ def test_empty(spark):
     only_held = next(i for i in range(100) if held(i))
     got = lm.lm_scores(spark.createDataFrame([(only_held, "a b")], "doc_id long, text string")).collect()
     assert tuple(got[0]) == (only_held, True, 3, 0, 0, 0.0, 0.0)
+
+
+def slow_whole(rows):
+    """Every word a state, every pair an arc."""
+    train = [words(t) for k, t in rows if not held(k)]
+    count = Counter(w for ws in train for w in ws)
+    unit = sum(count.values()) + len(train) + 0.5 * (len(count) + bool(train) + 1)
+    p = lambda w: ((len(train) if w is None else count[w]) + 0.5) / unit
+    pairs = Counter(x for ws in train for x in zip([0, *ws], [*ws, None]))
+    hist = Counter(pairs.values())
+    d = hist[1] / (hist[1] + 2 * hist[2])
+    after = Counter()
+    mass, covered = Counter(), Counter()
+    for (a, b), c in pairs.items():
+        after[a] += c
+        mass[a] += c - d
+        covered[a] += p(b)
+    out = {}
+    for k, t in rows:
+        total = 0.0
+        for a, b in zip([0, *words(t)], [*words(t), None]):
+            if (a, b) in pairs:
+                total += math.log10((pairs[a, b] - d) / after[a])
+            else:
+                total += math.log10(p(b)) + (math.log10((1 - mass[a] / after[a]) / (1 - covered[a])) if a in after else 0)
+        out[k] = total
+    return out
+
+
+@pytest.mark.parametrize("core,held", [(400000, 1000000), (50, 20), (1, 0)])
+def test_every_pair_is_an_arc_whatever_is_held(spark, core, held):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())[:80] + [(1000001, "zzz Unseen zzz of the"), (1000002, "")]
+    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), core=core, held=held).collect()
+    assert {r["id"]: r["score"] for r in got} == pytest.approx(slow_whole(rows), abs=1e-6)
