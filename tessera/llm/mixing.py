@@ -35,6 +35,8 @@ SEED = "mix-1"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 GOLDEN = (math.sqrt(5) - 1) / 2
 CHUNK = 1 << 16
+MOST_SLOTS = 1 << 40
+STRAY = lambda n: 2 * (3 + math.log(n) / math.log(1 / GOLDEN))
 BUCKET_DIGITS = 3  # of a hexadecimal hash: 4096 buckets
 
 
@@ -69,13 +71,17 @@ def points(first: int, n: int) -> np.ndarray:
 
 
 def schedule(spark: SparkSession, shares: list[float], wanted: list[int]) -> DataFrame:
-    """slot, part, rank: the part (an index into shares) of each slot and its rank there, from 0."""
+    """slot, part, rank: the part (an index into shares) of each slot and its rank there, from 0.
+
+    Slots are added until each part has the ranks wanted. At n slots a part of share p has n * p of them but for
+    less than STRAY(n) (the discrepancy of the golden ratio, once for either edge); one that strays farther is an error.
+    """
     total = sum(shares)
     if not total:
         return spark.createDataFrame([], "slot long, part int, rank long")
     edges = np.cumsum(shares) / total
     need = max((w * total / s for w, s in zip(wanted, shares, strict=True) if s), default=0)
-    chunks = -(-int(need + 64 * (len(shares) + 1)) // CHUNK)  # a share's slots stray from their number by few
+    chunks = int(need) // CHUNK + 1
 
     def parts(chunk: int) -> np.ndarray:
         return np.minimum(np.searchsorted(edges, points(chunk * CHUNK, CHUNK), "right"), len(edges) - 1)
@@ -102,7 +108,18 @@ def schedule(spark: SparkSession, shares: list[float], wanted: list[int]) -> Dat
                 slots = np.arange(CHUNK, dtype=np.int64)[keep] + row["chunk"] * CHUNK
                 yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(here[keep].astype(np.int32)), pa.array(ranks[keep])], ["slot", "part", "rank"])
 
-    counted = spark.range(chunks).mapInArrow(count, "chunk long, part int, n long")
+    while True:
+        slots = chunks * CHUNK
+        if slots > MOST_SLOTS:
+            raise ValueError(f"{slots} slots are more than points() tells apart: a source's share is too small")
+        counted = spark.range(chunks).mapInArrow(count, "chunk long, part int, n long")
+        have = {r["part"]: r["n"] for r in counted.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row for each source
+        short = [(i, w - have.get(i, 0)) for i, w in enumerate(wanted) if w > have.get(i, 0)]
+        if not short:
+            break
+        if lost := [i for i, _ in short if not shares[i] or slots * shares[i] / total - wanted[i] > STRAY(slots)]:
+            raise ValueError(f"of {slots} slots, parts {lost} have fewer than they want")
+        chunks += max(int(missing * total / shares[i]) // CHUNK + 1 for i, missing in short)
     before = F.sum("n").over(Window.partitionBy("part").orderBy("chunk")) - F.col("n")
     bases = counted.withColumn("n", before).groupBy("chunk").agg(F.collect_list(F.struct("part", "n")).alias("before"))
     return bases.mapInArrow(rank, "slot long, part int, rank long")

@@ -317,3 +317,19 @@ def test_pipeline_on_awkward_documents(spark):
         tokens = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
         assert all(r.n_tokens == len(r.ids) > 0 for r in tokens)
         assert now.where("text like '%x@y.org%'").count() == 0
+
+
+@pytest.mark.parametrize("last", [85, 245, 32])
+def test_a_tiny_source_gets_every_rank(spark, last):
+    sizes = [60_000_000, 40_000_000, 20_000_000, last]
+    goals = mixing.targets(sizes, [5, 2, 1, 5], 1.5 * sum(sizes))
+    wanted = [mixing.slots_wanted(n, goal) for n, goal in zip(sizes, goals, strict=True)]
+    got = mixing.schedule(spark, goals, wanted).groupBy("part").count().collect()
+    assert {r["part"]: r["count"] for r in got} == dict(enumerate(wanted))
+
+
+def test_a_share_too_small_fails(spark):
+    with pytest.raises(ValueError, match="too small"):
+        mixing.schedule(spark, [1.0, 1e-30], [1, 1])
+    with pytest.raises(ValueError, match="fewer than they want"):
+        mixing.schedule(spark, [1.0, 0.0], [1, 1])
