@@ -31,6 +31,8 @@ from tessera.llm import common
 from tessera.llm.components import components
 
 SHINGLE_WORDS, MOST_BITS, SEED = 4, 4, 42
+#: Of the pipeline's stage: words of a shingle; common shingles that workers know, which bear on speed alone.
+SET_WORDS, COMMON_HELD, SLOTS = 5, 200_000, 1 << 22
 #: Fingerprints in a cell beyond which it is taken for dense; either way is exact.
 DENSE_CELL = 64
 HALF_ONES = 0x5555555555555555
@@ -144,12 +146,124 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("id", "fp", "component_id")
 
 
+def shingle_set(text: bytes, size: int = SET_WORDS) -> np.ndarray:
+    """The distinct hashes of the word shingles, sorted."""
+    words = text.lower().split()
+    size = min(size, len(words))
+    if not size:
+        return np.zeros(0, np.uint64)
+    joined, lengths = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+    firsts, lasts = starts[: len(words) - size + 1].tolist(), (starts + lengths)[size - 1 :].tolist()
+    found = b"".join([xxhash.xxh64_digest(joined[s:e], SEED) for s, e in zip(firsts, lasts, strict=True)])
+    return np.unique(np.frombuffer(found, ">u8").astype(np.uint64))
+
+
+def prefix(hashes: np.ndarray, common_: np.ndarray) -> np.ndarray:
+    """The first hashes of a set, the common ones last: sets of Jaccard similarity 4/5 or more share one of them."""
+    if not len(hashes):
+        return hashes
+    at = np.searchsorted(common_, hashes)
+    usual = (common_[np.minimum(at, len(common_) - 1)] == hashes) if len(common_) else np.zeros(len(hashes), bool)
+    return hashes[np.argsort(usual, kind="stable")][: len(hashes) + (-4 * len(hashes) // 5) + 1]
+
+
+def _common(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """Shingles of many documents, as a part of them shows. Which these are has no effect on what is linked."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.chunks(batches):
+            sets = [shingle_set(x) for x in common.texts_of(batch, "text")]
+            found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    part = common.bounded(docs).where(common.id_crc(F.col(id_col).cast("long"), 8) == 0).select(F.col(text_col).alias("text"))
+    often = part.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n")).limit(COMMON_HELD)
+    return np.sort(often.select("h").toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, component_id: of every row the smallest id linked to it by sets of five-word shingles alike to 4/5 or more.
+
+    Every such pair of sets shares a shingle of both prefixes, so what shares one is compared, set by set. Equal sets
+    fall together before that. Where many share a shingle, each is first compared with the least of them; then only
+    those outside the largest group so linked are compared with the rest.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, id_col, text_col))
+
+    def sets_of(batch: pa.RecordBatch) -> tuple[list[np.ndarray], pa.Array]:
+        sets = [shingle_set(x) for x in common.texts_of(batch, "text")]
+        return sets, pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64))
+
+    def listed(parts: list[np.ndarray]) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.chunks(batches, 256):
+            sets, fp = sets_of(batch)
+            sizes = pa.array([len(x) for x in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), fp, sizes, listed([prefix(x, shared.value) for x in sets])], ["id", "fp", "size", "prefix"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.chunks(batches, 256):
+            sets, fp = sets_of(batch)
+            yield pa.RecordBatch.from_arrays([fp, listed(sets)], ["fp", "hashes"])
+
+    rows = common.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    prints = common.written(rows.mapInArrow(prefixes, "id long, fp long, size int, prefix array<long>"), "sets-prints")
+    distinct = common.written(prints.groupBy("fp").agg(F.min("id").alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "sets-distinct")
+    cells = distinct.select("fp", "size", F.explode("prefix").alias("cell"))
+    shared_cells = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
+    cells = common.written(cells.join(shared_cells, "cell"), "sets-cells")
+    def fits(a: str, b: str):
+        return (5 * F.least(a, b)) >= (4 * F.greatest(a, b))
+
+    few, many = cells.where(F.col("n") <= DENSE_CELL), cells.where(F.col("n") > DENSE_CELL)
+    other = few.select("cell", F.col("fp").alias("v"), F.col("size").alias("size_v"))
+    plain = few.select("cell", F.col("fp").alias("u"), "size").join(other, "cell").where(F.col("u") < F.col("v")).where(fits("size", "size_v")).select("u", "v")
+    stars = many.select(F.col("least").alias("u"), F.col("fp").alias("v")).where("u <> v")
+    pairs = common.written(plain.union(stars).distinct(), "sets-pairs")
+    asked = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct().join(distinct.select("fp", "first"), "fp")
+    slot = F.pmod(F.xxhash64("first"), F.lit(SLOTS))
+    marked = np.zeros(SLOTS, bool)  # a text whose slot isn't marked is in no pair
+    marked[asked.where("first is not null").select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
+    slots = docs.sparkSession.sparkContext.broadcast(marked)
+
+    def marked_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.flatnonzero(slots.value[batch.column("slot").to_numpy()])
+            yield from whole([batch.take(pa.array(at))])
+
+    texts = rows.where("id is not null").withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(SLOTS)))
+    unnamed = rows.where("id is null").mapInArrow(whole, "fp long, hashes array<long>").dropDuplicates(["fp"])
+    sets = common.written(texts.mapInArrow(marked_only, "fp long, hashes array<long>").union(unnamed), "sets-whole")
+
+    def alike(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs (u, v) that are similar."""
+        both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b")), "v")
+        return common.written(both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), name)
+
+    found = alike(pairs, "sets-links")
+    if many.head(1):
+        named = many.join(components(found).withColumnRenamed("node", "fp"), "fp", "left").select("cell", "fp", "size", F.coalesce("root", "fp").alias("g"))
+        named = common.written(named, "sets-dense")
+        sizes = named.groupBy("cell", "g").agg(F.count("*").alias("n"))
+        mains = sizes.groupBy("cell").agg(F.max_by("g", F.struct("n", "g")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+        others = named.join(mains, "cell").where("g <> main").select("cell", F.col("fp").alias("x"), F.col("size").alias("size_x"), F.col("g").alias("gx"))
+        across = others.join(named, "cell").where("g <> gx").where(fits("size", "size_x")).select(F.least("x", "fp").alias("u"), F.greatest("x", "fp").alias("v")).distinct()
+        found = found.union(alike(across, "sets-across"))
+    named = common.written(distinct.select("fp", "first").join(components(found).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "sets-named")
+    firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.select("id", "fp").join(named.join(firsts, "root").select("fp", "component_id"), "fp").select("id", "component_id")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose component has a smaller id; of rows with equal ids one stays.
+    """docs without the rows whose component (of similar()) has a smaller id; of rows with equal ids one stays.
 
     A row with a null id can't be told from another by it, and stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = similar(docs, id_col, text_col)
     own = common.fresh(docs, "kept_id")
     kept = found.where(F.col("id") == F.col("component_id")).groupBy(F.col("id").alias(own)).count()
     stays = docs.join(kept.select(own), F.col(id_col) == F.col(own), "left_semi")

@@ -83,3 +83,33 @@ def test_components_of_a_chain_and_hub(spark):
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def slow_set(text):
+    words = text.lower().split()
+    size = min(5, len(words))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
+
+
+@pytest.mark.parametrize("dense", [2, 64])
+def test_stage_keeps_one_of_all_alike_to_four_fifths(spark, monkeypatch, dense):
+    monkeypatch.setattr(simhash, "DENSE_CELL", dense)
+    rng = np.random.default_rng(dense)
+    rows = []
+    for group in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 120)] + ["one", "line", "that", "all", "of", "them", "have"]
+        for _ in range(12):
+            words = list(base)
+            for at in rng.choice(120, rng.integers(0, 6), replace=False):
+                words[at] = f"v{rng.integers(0, 5000)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [slow_set(x) for _, x in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(root))
+    assert len(kept) < len(rows) / 2
