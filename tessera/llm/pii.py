@@ -146,7 +146,7 @@ def searched(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame
     none = F.array().cast(SPANS)
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     rows = rows.withColumns({"_at": F.coalesce(F.instr("_text", "@") > 0, F.lit(False)), "_digit": text.rlike("[0-9]")})
-    rows = rows.withColumns({"_plus": F.col("_digit") & (F.instr(text, "+") > 0), "_mail": F.col("_at") | (text.contains("dot") & text.rlike(r"\bat\b"))})
+    rows = rows.withColumns({"_plus": F.col("_digit") & (F.instr(text, "+") > 0), "_mail": F.col("_at") | text.rlike(_AT)})
     when = {"email": F.col("_at"), "ip": F.col("_digit"), "card": F.col("_digit"), "phone": F.col("_plus")}
     rows = rows.withColumns({f"_{k}": F.when(when[k], matches(text, BASE[k])).otherwise(none) for k in KINDS})
     span = lambda i: lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"))

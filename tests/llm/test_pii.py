@@ -77,3 +77,10 @@ def test_query_over_documents(spark, sf):
         assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
         assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))
         assert sum(r[f"n_{k}"] for k in PATTERNS) == len(list(filter(None, base.split(","))))
+
+
+@pytest.mark.parametrize("mail", ["jane [at] example.com", "jane(at)example.com", "jane at example.com", "jane at example dot com"])
+def test_proposals_need_nothing_elsewhere_in_the_text(spark, mail):
+    docs = spark.createDataFrame([(1, f"write {mail} now"), (2, f"write {mail} now, a @ b")], "doc_id long, text string")
+    found = {r["doc_id"]: [(x["start"], x["end"]) for x in r["proposals"]] for r in pii.searched(docs, "text", ("doc_id",)).collect()}
+    assert found[1] == found[2] and len(found[1]) == 1
