@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from tessera.functions.ship import ship
 #: Bytes of Arrow data that a Python worker gets at once; a longer single row still comes whole.
 BATCH_BYTES = 8 << 20
 ROWS_AT_ONCE = 2000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Folders of our own, by application; only where the session names none.
 _OWN: dict[str, str] = {}
@@ -34,10 +37,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and a lost executor costs nothing but a read."""
+    """df as a table in the shared folder: lineage ends there, and a lost executor costs nothing but a read.
+
+    The shuffles that made it are let go once it is written.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,6 +88,27 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], name: str, most_bytes: int = 1 << 20, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, and so many bytes in a string column unless one row alone has more."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist()
+        first = held = 0
+        for at, n in enumerate(size):
+            if at > first and (at - first == rows or held + n > most_bytes):
+                yield batch.slice(first, at - first)
+                first, held = at, 0
+            held += n
+        if first < len(size):
+            yield batch.slice(first)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, as far as its C library can."""
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
