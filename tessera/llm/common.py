@@ -17,6 +17,8 @@ from tessera.functions.ship import ship
 #: Bytes of Arrow data that a Python worker gets at once; a longer single row still comes whole.
 BATCH_BYTES = 8 << 20
 ROWS_AT_ONCE = 2000
+#: For rows of megabytes: pages and row groups are closed by size after every row, and not only after a hundred.
+LONG_ROWS = {f"parquet.{kind}.row.check.{end}": "1" for kind in ("page.size", "block.size") for end in ("min", "max")} | {"parquet.block.size": str(16 << 20)}
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Folders of our own, by application; only where the session names none.
@@ -36,17 +38,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and a lost executor costs nothing but a read.
 
-    The shuffles that made it are let go once it is written.
+    The shuffles that made it are let go once it is written. options go to the writer.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**{"compression": "zstd"} | options).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,28 +1,34 @@
-"""Language-model scores by a weighted backoff automaton.
+"""Language-model scores by a weighted backoff automaton of order three.
 
-Training counts every token of the training texts. A document is its lower-cased words and one end. The automaton's
-states are the start, each word of the training texts, and a root. A state has an arc for each word that follows it
-in the training texts, weighted by the absolutely discounted probability of the second after the first, and a
-failure arc to the root, weighted so that what remains is spread by the root's own probabilities; the root has an arc
-for every word, weighted by its count plus one half. Reading a word takes its arc, or the failure arc and then the
-root's; the next state is the word's, or the root for a word never trained on.
+Training counts every word, pair and triple of the training texts, each text between a start and an end. The
+automaton's states are the start, each word, and each pair of neighbours of the training texts, and a root. A state
+has an arc for each token that follows it there, weighted by its smoothed probability; a failure arc leads from a
+pair to its second word, and from a word or the start to the root, which has an arc for every token. With c a count,
+h a state, h' where its failure arc leads, and K the strength of its order (Dirichlet smoothing):
 
-All pairs of all words are counted, and each is an arc. Workers hold the CORE most frequent words with their counts
-and failure weights, and the most frequent arcs between them, ARCS at most. All else stays tables: a pass leaves the
-other words' occurrences and the pairs without a local arc, and joins add their weights. A weight over the way by the
-root, the arc's gain, depends on the pair alone, so the joined weights are only added up. What is held has no effect
-on scores. The arguments states and arcs make a smaller model: of the most frequent words' pairs seen twice or more.
+    root     p(w)   = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    arc      p(w|h) = (c(hw) + K p(w|h')) / (c(h) + K)
+    failure           K / (c(h) + K)
+
+so that every state's probabilities add up to one. Reading a token takes the state's arc, or failure arcs until a
+state has one; the state carried on is the longest of the last two tokens that the automaton has.
+
+No model fits one machine, and none is held. Texts are written in blocks. A block asks for the counts of the distinct
+n-grams that it has, by 64-bit hashes, and says how often its own training texts have them; hash ranges add these up
+over all blocks and answer each. With the answers a block has every state and arc that its texts can meet, and its
+texts are traversed. An n-gram goes to its range once a block, however often it occurs, so no word, pair or passage is
+ever dense. Nothing is cut off or left out: words seen once are states, triples seen once are arcs.
 
 Defined results: a null or blank text is the end alone; a null id hashes as empty text; rows with equal ids are
-scored one by one; without training texts every token has probability one. Extra columns are ignored.
+scored one by one; without training texts every token has probability one. Extra columns are ignored. Different
+n-grams whose hashes are equal count as one: of 10^8 that happens with a chance of 3 in 10,000.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,306 +38,294 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-CORE, ARCS = 400_000, 1_000_000
-FLUSH_WORDS, FLUSH_PAIRS = 400_000, 4_000_000
-
-
-def tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-        seen.clear()
-        return out
-
-    for batch in common.chunks(batches, 256):
-        for text in common.texts_of(batch, "text"):
-            seen.update(tokens(text))
-        if len(seen) > FLUSH_WORDS:
-            yield flush()
-    yield flush()
-
-
-def least_kept(histogram: dict[int, int], most: int) -> int:
-    """The smallest count such that no more than most things have it or a larger one."""
-    kept = 0
-    for count in sorted(histogram, reverse=True):
-        kept += histogram[count]
-        if kept > most:
-            return count + 1
-    return 1
+ORDER = 3
+#: Strengths of the pairs' and triples' smoothing.
+STRENGTH = (200.0, 10.0)
+#: Bytes of text in a block, and for each range of hashes: memory of one task, with no bearing on results.
+BLOCK_BYTES, RANGE_BYTES = 4 << 20, 4 << 20
+PART_BYTES = 1 << 20
+
+_DICE = np.random.default_rng(9)
+_PLACE = _DICE.integers(1, 2**63, 64 * 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+START, END, *_ORDERS = _DICE.integers(1, 2**63, 2 + ORDER + 1, dtype=np.uint64)
+_SOLID = np.ones(256, bool)
+_SOLID[[0x20, *range(0x09, 0x0E)]] = False
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scrambling of 64 bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def joined(before: np.ndarray, after: np.ndarray, order: int) -> np.ndarray:
+    """The hash of an n-gram from that of its first tokens and that of its last."""
+    return mixed(before * np.uint64(0x9E3779B97F4A7C15) + after + _ORDERS[order])
+
+
+def _words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and where each begins."""
+    data = np.frombuffer(raw, np.uint8)
+    solid = _SOLID[data]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    heads = np.flatnonzero(first)
+    if not len(heads):
+        return np.zeros(0, np.uint64), heads
+    place = np.arange(heads[0], len(data)) - np.repeat(heads, np.diff(np.append(heads, len(data))))
+    data, solid = data[heads[0] :], solid[heads[0] :]
+    value = _PLACE[((place & 63) << 8) + data]
+    if int(place.max()) > 63:
+        value *= (place >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    value[~solid] = 0
+    return mixed(np.add.reduceat(value, heads - heads[0])), heads
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z as a-z, in order; and the number of words of each text."""
+    raw = b"\n".join(texts).lower()
+    starts = np.cumsum([0, *(len(x) + 1 for x in texts)])
+    found, at = [], 0
+    counts = np.zeros(len(texts), np.int64)
+    while at < len(raw):  # in parts that end at a blank, for bounded memory
+        end = at + PART_BYTES
+        cut = _BLANK.search(raw, end) if end < len(raw) else None
+        end = cut.start() if cut else len(raw)
+        hashes, heads = _words_of(raw[at:end])
+        found.append(hashes)
+        counts += np.bincount(np.searchsorted(starts, heads + at, "right") - 1, minlength=len(texts) + 1)[: len(texts)]
+        at = end
+    return np.concatenate([np.zeros(0, np.uint64), *found]), counts
 
 
 @dataclass
-class Automaton:
-    """Words by id, the most frequent first; states are the first words' ids, then the start; -1 is the root."""
+class Grams:
+    """The n-grams that end at each token of several texts; ends are tokens."""
+
+    counts: np.ndarray  # tokens of each text, the end included
+    keys: list[np.ndarray]  # by order, of each token; 0 where the text has none
+    first: np.ndarray  # whether a token is its text's first
+
+
+def grams_of(texts: list[bytes], orders: tuple[int, ...] = (1, 2, 3)) -> Grams:
+    words, n = word_hashes(texts)
+    size = n + 1
+    ends = np.cumsum(size) - 1
+    token = np.full(int(size.sum()), END, np.uint64)
+    is_word = np.ones(len(token), bool)
+    is_word[ends] = False
+    token[is_word] = words
+    first = np.zeros(len(token), bool)
+    first[ends + 1 - size] = True
+    before = np.concatenate([token[:1], token[:-1]])
+    before[first] = START
+    pair = joined(before, token, 2)
+    keys = [token, pair, np.zeros(0, np.uint64)]
+    if 3 in orders:
+        keys[2] = np.zeros(len(token), np.uint64)
+        later = np.flatnonzero(~first)
+        keys[2][later] = joined(pair[later - 1], token[later], 3)
+    return Grams(size, keys, first)
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(n, -1)
+    return out.view("<u8").ravel().astype(np.uint64)
 
-    core: list[bytes]
-    root: np.ndarray  # log10 weight of each core word's arc at the root, the last that of the end
-    states: int  # core words that have a state
-    arcs: np.ndarray  # before * (len(core) + 1) + word of the arcs held here, sorted; len(core) is the start or the end
-    gains: np.ndarray  # of each, over the failure arc and the root's
-    failure: np.ndarray  # of each state
 
-    def index(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.core)}
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    one = F.col(id_col).cast("long")
+    return common.bounded(docs).select(one.alias("id"), (common.id_crc(one, 5) == 1).alias("held_out"), F.col(text_col).alias("text"))
 
-    def step(self, state: int, word: int) -> tuple[float, int]:
-        """Weight and next state of reading a core word (len(core): the end), by the arcs held here."""
-        end = len(self.core)
-        before = np.array([end if state == self.states else state])
-        weight = self.fall(before)[0] + self.root[word] + self.gain(before, np.array([word]))[0][0]
-        return float(weight), word if word < self.states else -1
 
-    def fall(self, before: np.ndarray) -> np.ndarray:
-        """Weights of the failure arcs (before: core words, len(core) for the start, -1 for others)."""
-        state = np.where(before == len(self.core), self.states, np.where(before < self.states, before, -1))
-        return np.where(state >= 0, self.failure[state], 0.0)
+BLOCKS = "block long, bytes long, tokens long, texts long, ids array<long>, held array<boolean>, text array<binary>"
 
-    def gain(self, before: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gains of the arcs held here, 0 for other pairs; and which they are."""
-        key = np.where((before >= 0) & (words >= 0), before * (len(self.core) + 1) + words, -1)
-        if not len(self.arcs):
-            return np.zeros(len(key)), np.zeros(len(key), bool)
-        at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-        hit = self.arcs[at] == key
-        return np.where(hit, self.gains[at], 0.0), hit
 
+def blocks_of(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The texts in blocks of a bounded size (a longer text alone), written, so that all later steps see the same ones.
 
-def _packed(keys: np.ndarray) -> pa.Array:
-    """Pairs of core words as bytes: eight, of which the first is 0."""
-    offsets = np.arange(0, 8 * len(keys) + 1, 8, dtype=np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(keys.astype(">i8"))])
+    tokens and texts count those of the training texts.
+    """
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, held, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
 
-def _unpacked(pairs: pa.Array) -> np.ndarray:
-    if not len(pairs):
-        return np.zeros(0, np.int64)
-    _, offsets, data = pairs.buffers()
-    at = np.frombuffer(offsets, np.int32)[pairs.offset]
-    return np.frombuffer(data, ">i8", len(pairs), at).astype(np.int64)
+        def flush() -> pa.RecordBatch:
+            learned = [x for x, h in zip(texts, held, strict=True) if not h]
+            row = {"block": block, "bytes": size, "tokens": sum(len(x.split()) + 1 for x in learned), "texts": len(learned), "ids": ids, "held": held, "text": texts}
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row.values(), kinds, strict=True)], list(row))
 
+        for batch in batches:
+            for i, h, x in zip(batch.column("id").to_pylist(), batch.column("held_out").to_pylist(), common.texts_of(batch, "text"), strict=True):
+                if texts and size + len(x) > block_bytes:
+                    yield flush()
+                    block, ids, held, texts, size = block + 1, [], [], [], 0
+                ids.append(i)
+                held.append(h)
+                texts.append(x)
+                size += len(x)
+        if texts:
+            yield flush()
 
-def _spelled(words: list[list[bytes]], at: np.ndarray) -> list[bytes]:
-    """Pairs with a word outside the core: 1, the words with a blank between; the start and the end are empty."""
-    flat = [b""]
-    for w in words:
-        flat += w
-        flat.append(b"")
-    return [b"\x01%b %b" % (flat[p], flat[p + 1]) for p in at.tolist()]
+    return common.written(rows.mapInArrow(work, BLOCKS), "lm-blocks", **common.LONG_ROWS)
 
 
-def _numbered(texts: list[bytes], index: dict[bytes, int], end: int) -> tuple[list[list[bytes]], list[np.ndarray]]:
-    words = [tokens(x) for x in texts]
-    return words, [np.fromiter(map(index.get, w, repeat(-1)), np.int64, len(w)) for w in words]
+def answered(blocks: DataFrame, orders: tuple[int, ...], ranges: int) -> DataFrame:
+    """block, order, span, n, counts: how often the training texts have the block's distinct n-grams, in order of hash.
 
+    block -1 has, for words, how many of the range the training texts have.
+    """
+    shift = np.uint64(64 - (ranges - 1).bit_length()) if ranges > 1 else None
 
-def _sequences(ids: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
-    """What stands before each token (end: the start), and the tokens with their ends."""
-    edge = np.array([end])
-    return np.concatenate([x for i in ids for x in (edge, i)]), np.concatenate([x for i in ids for x in (i, edge)])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, held, texts in zip(batch.column("block").to_pylist(), batch.column("held").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = grams_of(texts, orders)
+                learned = np.repeat(~np.array(held, bool), found.counts)
+                out = []
+                for order in orders:
+                    use = ~found.first if order == 3 else slice(None)
+                    key, at = np.unique(found.keys[order - 1][use], return_inverse=True)
+                    n = np.bincount(at[learned[use]], minlength=len(key))
+                    edges = np.flatnonzero(np.diff((key >> shift).astype(np.int64), prepend=-1)) if shift is not None else np.zeros(min(1, len(key)), np.int64)
+                    for a, b in zip(edges, [*edges[1:], len(key)][: len(edges)], strict=True):
+                        out.append((block, order, int(key[a] >> shift) if shift is not None else 0, int(b - a), _narrow(np.diff(key[a:b], prepend=key[a])), int(key[a].view(np.int64)), _narrow(n[a:b])))
+                if not out:  # texts without a pair of words have no triples
+                    continue
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "order", "span", "n", "steps", "least", "counts"])
+
+    def answer(key: tuple, rows: pa.Table) -> pa.Table:
+        order, n = key[0].as_py(), rows.column("n").to_pylist()
+        steps, least, counts = (rows.column(c).to_pylist() for c in ("steps", "least", "counts"))
+        keys = np.concatenate([np.cumsum(_wide(s, k)) + np.int64(x).view(np.uint64) for s, x, k in zip(steps, least, n, strict=True)])
+        distinct, at = np.unique(keys, return_inverse=True)
+        total = np.bincount(at, np.concatenate([_wide(c, k) for c, k in zip(counts, n, strict=True)]).astype(np.float64), len(distinct)).astype(np.int64)
+        edges = np.cumsum([0, *n])
+        back = [_narrow(total[at[a:b]]) for a, b in zip(edges, edges[1:])]
+        blocks, spans = rows.column("block").to_pylist(), rows.column("span").to_pylist()
+        if order == 1:
+            blocks, spans, n, back = [*blocks, -1], [*spans, spans[0]], [*n, int((total > 0).sum())], [*back, b""]
+        return pa.table({"block": pa.array(blocks, pa.int64()), "order": pa.array([order] * len(n), pa.int32()), "span": pa.array(spans, pa.int64()), "n": pa.array(n, pa.int64()), "counts": pa.array(back, pa.binary())})
+
+    asked = blocks.select("block", "held", "text").mapInArrow(ask, "block long, order int, span long, n long, steps binary, least long, counts binary")
+    return common.written(asked.groupBy("order", "span").applyInArrow(answer, "block long, order int, span long, n long, counts binary"), "lm-answers")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    one = F.col(id_col).cast("long")
-    return common.bounded(docs).select(one.alias("id"), (common.id_crc(one, 5) == 1).alias("held_out"), F.col(text_col).alias("text"))
+@dataclass
+class Automaton:
+    """The part of the automaton that some texts can meet: by token, what the n-grams that end there count.
+
+    A state's number is 0 for the root, 1 for the state of the last token, 2 for that of the last two.
+    """
+
+    counts: list[np.ndarray]  # by order, of the n-gram that ends at each token
+    first: np.ndarray
+    texts: float  # training texts
+    unit: float  # N + 0.5 (V + 1)
+    strength: tuple[float, float] = STRENGTH
+
+    def __post_init__(self) -> None:
+        c1, c2, c3 = (c.astype(np.float64) for c in self.counts)
+        at = [np.where(self.first, self.texts, np.concatenate([c1[:1], c1[:-1]])), np.concatenate([c2[:1], c2[:-1]])]  # of the states before
+        k2, k3 = self.strength
+        root = (c1 + 0.5) / self.unit
+        two = (c2 + k2 * root) / (at[0] + k2)
+        three = (c3 + k3 * two) / (at[1] + k3)
+        with np.errstate(divide="ignore"):
+            #: by state, then token: the arc's weight, nan where there is none; and the failure arc's
+            self.arcs = [np.log10(root), np.where(c2 > 0, np.log10(two), np.nan), np.where((c3 > 0) & ~self.first, np.log10(three), np.nan)]
+            self.failure = [np.full(len(c1), np.nan), np.log10(k2 / (at[0] + k2)), np.log10(k3 / (at[1] + k3))]
+        #: the state that reading each token leads to
+        self.goto = np.where((c2 > 0), 2, np.where(c1 > 0, 1, 0))
+        self.begin = 1 if self.texts else 0
+
+    def traverse(self) -> np.ndarray:
+        """The weight of reading each token, left to right, with the state carried on from the token before.
+
+        Where a token's arc leads depends on the last two tokens alone, so all steps are taken at once: first each from
+        the state that the step before leads to, then those that found no arc from where the failure arc leads.
+        """
+        state = np.concatenate([self.goto[:1], self.goto[:-1]])
+        state[self.first] = self.begin
+        weight, left = np.zeros(len(state)), np.arange(len(state))
+        for here in (2, 1, 0):
+            at = left[state[left] == here]
+            arc = self.arcs[here][at]
+            found = ~np.isnan(arc)
+            weight[at[found]] += arc[found]
+            missed = at[~found]
+            weight[missed] += self.failure[here][missed]
+            state[missed] = here - 1
+            state[at[found]] = -1
+        return weight
 
 
 @dataclass
 class Trained:
-    automaton: Automaton
-    rare: DataFrame  # word, n, failure of the words outside the core
-    arcs: DataFrame  # pair, gain of the arcs that the automaton doesn't hold
+    blocks: DataFrame
+    answers: DataFrame
     total: int  # N
-    unit: float  # N + 0.5 * (V + 1)
-    ends: int
-
-
-def train(rows: DataFrame, core: int = CORE, states: int | None = None, arcs: int | None = None, held: int = ARCS) -> Trained:
-    """states, arcs: the most words with a state and the most arcs of a smaller model; held: arcs on each worker."""
-    spark = rows.sparkSession
-    learned = rows.where("not held_out").select("text")
-    counts = common.written(learned.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    ends = learned.count()
-    of_counts = {r["n"]: r["count"] for r in counts.groupBy("n").count().collect()}
-    total = sum(n * c for n, c in of_counts.items()) + ends
-    unit = total + 0.5 * (sum(of_counts.values()) + (ends > 0) + 1)
-    least = least_kept(of_counts, core)
-    top = counts.where(F.col("n") >= least).select("word", "n").toArrow()  # core rows at most
-    top = top.sort_by([("n", "descending"), ("word", "ascending")])
-    words, n = top.column("word").to_pylist(), np.append(top.column("n").to_numpy(), ends).astype(float)
-    share, end = (n + 0.5) / unit, len(words)
-    size, whole, stated = end + 1, states is None, end if states is None else min(states, end)
-    shared = spark.sparkContext.broadcast((words, n, share))
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {w: i for i, w in enumerate(shared.value[0])}
-        inside, spelled, found = [], Counter(), 0
+    distinct: int  # V
+    texts: int
 
-        def flush() -> pa.RecordBatch:
-            key, many = np.unique(np.concatenate([np.zeros(0, np.int64), *inside]), return_counts=True)
-            both = pa.concat_arrays([_packed(key), pa.array(list(spelled), pa.binary())])
-            times = np.concatenate([many.astype(np.int64), np.fromiter(spelled.values(), np.int64, len(spelled))])
-            inside.clear()
-            spelled.clear()
-            return pa.RecordBatch.from_arrays([both, pa.array(times)], ["pair", "n"])
-
-        for batch in common.chunks(batches, 256):
-            text, ids = _numbered(common.texts_of(batch, "text"), index, end)
-            before, after = _sequences(ids, end)
-            ours = (before >= 0) & (after >= 0)
-            if whole:
-                spelled.update(_spelled(text, np.flatnonzero(~ours)))
-            else:
-                ours &= ((before < stated) | (before == end)) & ((after < stated) | (after == end))
-            inside.append((before * size + after)[ours])
-            found += len(inside[-1])
-            if found > FLUSH_PAIRS or len(spelled) > FLUSH_WORDS:
-                found = 0
-                yield flush()
-        yield flush()
-
-    counted = common.written(learned.mapInArrow(pairs, "pair binary, n long").groupBy("pair").agg(F.sum("n").alias("n")), "lm-pairs")
-    histogram = {r["n"]: r["count"] for r in counted.groupBy("n").count().collect()}
-    once, twice = histogram.get(1, 0), histogram.get(2, 0)
-    discount = once / (once + 2 * twice) if once and twice else 0.5
-    counted = counted if arcs is None else counted.where(F.col("n") >= max(2, least_kept(histogram, arcs)))
-    here = least_kept(histogram, held)  # arcs between core words that occur so often are held; others can't be rarer words'
-    inner = F.substring("pair", 1, 1) == F.lit(b"\x00")
-    close, far = counted.where(inner), counted.where(~inner)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share, mass, covered = shared.value[2], np.zeros(size), np.zeros(size)
-        for batch in batches:
-            left, right = np.divmod(_unpacked(batch.column("pair")), size)
-            mass += np.bincount(left, batch.column("n").to_numpy() - discount, size)
-            covered += np.bincount(left, share[right], size)
-        left = np.flatnonzero(covered)
-        for at in range(0, len(left), 1 << 16):
-            part = left[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(mass[part]), pa.array(covered[part])], ["left", "mass", "covered"])
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, _, share = shared.value
-        index = {w: i for i, w in enumerate([*words, b""])}
-        for batch in batches:
-            both = [x[1:].split(b" ") for x in batch.column("pair").to_pylist()]
-            left, right = [index.get(x) for x, _ in both], [index.get(x) for _, x in both]
-            first = [x if i is None else None for (x, _), i in zip(both, left, strict=True)]
-            then = [x if i is None else None for (_, x), i in zip(both, right, strict=True)]
-            p = [None if i is None else float(share[i]) for i in right]
-            columns = [pa.array(left, pa.int64()), pa.array(first, pa.binary()), pa.array(then, pa.binary()), pa.array(p, pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column("pair"), batch.column("n"), *columns], ["pair", "n", "left", "first", "then", "p"])
-
-    rare = counts.where(F.col("n") < least)
-    named = common.written(far.mapInArrow(split, "pair binary, n long, left long, first binary, then binary, p double"), "lm-far")
-    odds = rare.select(F.col("word").alias("then"), ((F.col("n") + 0.5) / unit).alias("p"))
-    columns = ["pair", "n", "left", "first", "p"]  # core words, among them all frequent ones, are never joined
-    named = common.written(named.where("then is null").select(columns).union(named.where("then is not null").drop("p").join(odds, "then").select(columns)), "lm-far-odds")
-    both = (F.sum("mass").alias("mass"), F.sum("covered").alias("covered"))
-    of_arcs = named.select("left", "first", (F.col("n") - discount).alias("mass"), F.col("p").alias("covered"))
-    of_core = close.mapInArrow(sums, "left long, mass double, covered double").union(of_arcs.where("left is not null").drop("first"))
-    of_core = of_core.groupBy("left").agg(*both).toArrow()  # a row for each core word
-    mass, covered = np.zeros(size), np.zeros(size)
-    mass[of_core.column("left").to_numpy()] = of_core.column("mass").to_numpy()
-    covered[of_core.column("left").to_numpy()] = of_core.column("covered").to_numpy()
-    failure = np.log10(np.maximum(1 - mass / np.maximum(n, 1), 1e-12) / np.maximum(1 - covered, 1e-12))
-    if whole:
-        of_rare = of_arcs.where("left is null").groupBy(F.col("first").alias("word")).agg(*both)
-        kept = F.greatest(1 - F.col("mass") / F.col("n"), F.lit(1e-12)) / F.greatest(1 - F.col("covered"), F.lit(1e-12))
-        rare = common.written(rare.join(of_rare, "word").select("word", "n", F.log10(kept).alias("failure")), "lm-rare")
-    else:
-        rare = rare.withColumn("failure", F.lit(0.0))
-    weighed = spark.sparkContext.broadcast(failure)
-
-    def gains(key: np.ndarray, many: np.ndarray, n: np.ndarray, share: np.ndarray, failure: np.ndarray) -> np.ndarray:
-        left, right = np.divmod(key, size)
-        return np.log10((many - discount) / n[left]) - failure[left] - np.log10(share[right])
-
-    def gained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, n, share = shared.value
-        for batch in batches:
-            gain = gains(_unpacked(batch.column("pair")), batch.column("n").to_numpy(), n, share, weighed.value)
-            yield pa.RecordBatch.from_arrays([batch.column("pair"), pa.array(gain)], ["pair", "gain"])
 
-    def lefts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left = batch.column("left").to_numpy()
-            columns = [pa.array(shared.value[1][left]), pa.array(weighed.value[left])]
-            yield pa.RecordBatch.from_arrays([batch.column("pair"), batch.column("n"), batch.column("p"), *columns], ["pair", "n", "p", "after", "failure"])
-
-    held_arcs = close.where(F.col("n") >= here).toArrow()
-    key = _unpacked(held_arcs.column("pair").combine_chunks())
-    gain, order = gains(key, held_arcs.column("n").to_numpy(), n, share, failure), np.argsort(key)
-    starts = named.where("left is not null").select("pair", "n", "left", "p").mapInArrow(lefts, "pair binary, n long, p double, after double, failure double")
-    others = named.where("left is null").select("pair", F.col("n").alias("m"), "p", F.col("first").alias("word")).join(rare, "word")
-    others = others.select("pair", F.col("m").alias("n"), "p", F.col("n").cast("double").alias("after"), "failure")
-    of_far = starts.union(others).select("pair", (F.log10((F.col("n") - discount) / F.col("after")) - F.col("failure") - F.log10("p")).alias("gain"))
-    remote = close.where(F.col("n") < here).mapInArrow(gained, "pair binary, gain double").union(of_far)
-    made = Automaton(words, np.log10(share), stated, key[order], gain[order], np.append(failure[:stated], failure[end]))
-    return Trained(made, rare, remote, total, unit, ends)
-
-
-def score(rows: DataFrame, model: Trained) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark, ends = rows.sparkSession, model.ends
-    shared = spark.sparkContext.broadcast(model.automaton)
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> Trained:
+    blocks = blocks_of(_rows(docs, id_col, text_col), block_bytes)
+    facts = blocks.agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts")).first()
+    ranges = max(1, -(-(facts["bytes"] or 0) // range_bytes))
+    answers = [answered(blocks, orders, ranges) for orders in ((1, 2), (3,))]  # one after the other: half the disk
+    distinct = answers[0].where("block = -1").agg(F.sum("n")).first()[0] or 0
+    return Trained(blocks, answers[0].union(answers[1]).where("block >= 0"), facts["tokens"] or 0, distinct, facts["texts"] or 0)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = shared.value
-        index, end = made.index(), len(made.core)
-        key = TaskContext.get().partitionId() << 40
-        names = ["key", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "pairs", "word", "n"]
-        for batch in common.chunks(batches, 256):
-            words, ids = _numbered(common.texts_of(batch, "text"), index, end)
-            before, after = _sequences(ids, end)
-            sizes = np.array([len(i) + 1 for i in ids])
-            row, rows_ = np.repeat(np.arange(len(ids)), sizes), len(ids)
-            known = (after >= 0) & ((after != end) | (ends > 0))
-            root = np.where(after >= 0, made.root[after], 0.0)
-            gain, hit = made.gain(before, after)
-            base = np.bincount(row, root, rows_)
-            total = np.bincount(row, root + made.fall(before) + gain, rows_)
-            close = (before >= 0) & (after >= 0)
-            inner, outer = np.flatnonzero(close & ~hit), np.flatnonzero(~close)
-            flat = pa.concat_arrays([_packed((before * (end + 1) + after)[inner]), pa.array(_spelled(words, outer), pa.binary())])
-            of = np.concatenate([row[inner], row[outer]])
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=rows_))]).astype(np.int32)
-            pairs = pa.ListArray.from_arrays(pa.array(offsets), flat.take(pa.array(np.argsort(of, kind="stable"))))
-            keys = key + np.arange(rows_)
-            none = pa.nulls(rows_, pa.binary())
-            numbers = [pa.array(sizes), pa.array(np.bincount(row, known, rows_).astype(np.int64)), pa.array(base), pa.array(total), pairs]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("id"), batch.column("held_out"), *numbers, none, pa.nulls(rows_, pa.int64())], names)
-            rare = [(keys[r], w, c) for r, i in enumerate(ids) for w, c in Counter([words[r][p] for p in np.flatnonzero(i < 0)]).items()]
-            if rare:
-                k, w, c = zip(*rare, strict=True)
-                blank = [pa.nulls(len(k), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))]
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *blank, pa.array(w, pa.binary()), pa.array(c, pa.int64())], names)
-            key += rows_
-
-    schema = "key long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, pairs array<binary>, word binary, n long"
-    passed = common.written(rows.mapInArrow(work, schema), "lm-pass")
-    rare = passed.where("word is not null").select("key", "word", F.col("n").alias("times"))
-    seen = F.coalesce("n", F.lit(0))
-    root, fall = F.log10((seen + 0.5) / model.unit) * F.col("times"), F.coalesce("failure", F.lit(0.0)) * F.col("times")  # each is once before
-    rare = rare.join(model.rare, "word", "left").select("key", root.alias("w"), (root + fall).alias("s"), F.when(seen > 0, F.col("times")).otherwise(0).alias("k"))
-    arcs = passed.where("word is null").select("key", F.explode("pairs").alias("pair")).join(model.arcs, "pair")
-    added = rare.union(arcs.select("key", F.lit(0.0), "gain", F.lit(0)))
-    added = added.groupBy("key").agg(F.sum("w").alias("w"), F.sum("s").alias("s"), F.sum("k").alias("k"))
-    found = passed.where("word is null").drop("word", "n", "pairs").join(added, "key", "left")
-    return found.select(
-        "id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("w", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
-    )
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: int = CORE, states: int | None = None, arcs: int | None = None, held: int = ARCS) -> DataFrame:
-    rows = _rows(docs, id_col, text_col)
-    return score(rows, train(rows, core, states, arcs, held))
+
+def score(model: Trained, strength: tuple[float, float] = STRENGTH) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    total, texts, unit = model.total, model.texts, model.total + 0.5 * (model.distinct + 1)
+
+    def work(block: pa.Table, answers: pa.Table) -> pa.Table:
+        columns: list[list] = [[] for _ in range(7)]
+        for ids, held, raw in zip(block.column("ids").to_pylist(), block.column("held").to_pylist(), block.column("text").to_pylist(), strict=True):
+            found = grams_of(raw)
+            spans: dict[int, list] = {1: [], 2: [], 3: []}
+            for row in sorted(zip(*(answers.column(c).to_pylist() for c in ("order", "span", "n", "counts")), strict=True)):
+                spans[row[0]].append(_wide(row[3], row[2]))
+            counts = []
+            for order in (1, 2, 3):
+                use = ~found.first if order == 3 else slice(None)
+                known = np.concatenate([np.zeros(0, np.uint64), *spans[order]]).astype(np.int64)
+                key, at = np.unique(found.keys[order - 1][use], return_inverse=True)
+                if len(key) != len(known):
+                    raise ValueError(f"{len(known)} answers for {len(key)} n-grams")
+                own = np.zeros(len(found.first), np.int64)
+                own[use] = known[at]
+                counts.append(own)
+            made = Automaton(counts, found.first, float(texts), unit, strength)
+            heads = np.flatnonzero(found.first)
+            parts = (found.counts, np.add.reduceat(counts[0] > 0, heads, dtype=np.int64), np.full(len(heads), total), np.add.reduceat(made.arcs[0], heads), np.add.reduceat(made.traverse(), heads))
+            for column, values in zip(columns, (ids, held, *(p.tolist() for p in parts)), strict=True):
+                column += values
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        return pa.table({name: pa.array(x, t) for name, x, t in zip(names, columns, kinds, strict=True)})
+
+    schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return model.blocks.select("block", "ids", "held", "text").groupBy("block").cogroup(model.answers.groupBy("block")).applyInArrow(work, schema)
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: tuple[float, float] = STRENGTH, **how) -> DataFrame:
+    return score(train(docs, id_col, text_col, **how), strength)
 
 
 def op9_lm_scores(spark, sf_dir: str) -> DataFrame:

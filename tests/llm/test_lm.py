@@ -1,13 +1,17 @@
-"""Scores against a plain, one-token-at-a-time reading of the definitions."""
+"""Scores against a walk over the automaton, arc by arc, built plainly from the definitions."""
 
 import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tessera.llm import lm
 
+SF = "/root/testdata/sf0.001/documents.parquet"
+BEGIN, CLOSE = 0, 1  # no word is a number
+
 
 def words(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
@@ -20,68 +24,89 @@ def held(k):
     return zlib.crc32(("" if k is None else str(k)).encode()) % 5 == 1
 
 
-def slow(rows, core, states, arcs):
-    train = [words(t) for k, t in rows if not held(k)]
-    count = Counter(w for ws in train for w in ws)
-    n, v = sum(count.values()) + len(train), len(count) + bool(train)
-    unit = n + 0.5 * (v + 1)
-    p = lambda w: ((len(train) if w is None else count[w]) + 0.5) / unit
-    top = sorted(count.items(), key=lambda x: (-x[1], x[0].encode()))
-    least = lm.least_kept(Counter(count.values()), core)
-    known = [w for w, c in top if c >= least]
-    vocab = set(known[:states])
-    pairs = Counter()
-    for ws in train:
-        for a, b in zip([0, *ws], [*ws, None]):
-            if (a == 0 or a in vocab) and (b is None or b in vocab):
-                pairs[a, b] += 1
-    hist = Counter(pairs.values())
-    d = hist[1] / (hist[1] + 2 * hist[2]) if hist[1] and hist[2] else 0.5
-    low = max(2, lm.least_kept(hist, arcs))
-    kept = {k: c for k, c in pairs.items() if c >= low}
-    after = lambda a: len(train) if a == 0 else count[a]
-    bow = {}
-    for a in [0, *vocab]:
-        own = [(b, c) for (x, b), c in kept.items() if x == a]
-        bow[a] = (1 - sum((c - d) / after(a) for _, c in own)) / (1 - sum(p(b) for b, _ in own)) if after(a) else 1.0
-    out = []
-    for k, t in rows:
-        ws = words(t)
-        base = score = 0.0
-        for a, b in zip([0, *ws], [*ws, None]):
-            base += math.log10(p(b))
-            if (a, b) in kept:
-                score += math.log10((kept[a, b] - d) / after(a))
-            else:
-                score += math.log10(p(b)) + (math.log10(bow[a]) if a in bow else 0)
-        out.append((k, held(k), len(ws) + 1, sum(count[w] > 0 for w in ws) + bool(train), n, base, score))
-    return out
-
-
-@pytest.mark.parametrize("core,states,arcs", [(400, 60, 500), (5000, 2000, 100000), (3, 3, 2)])
-def test_against_plain_reading(spark, core, states, arcs):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+class Plain:
+    """States are tuples of the last tokens; () is the root."""
+
+    def __init__(self, rows, strength):
+        self.k, self.grams, texts = strength, Counter(), 0
+        for key, text in rows:
+            if not held(key):
+                texts += 1
+                tokens = [BEGIN, *words(text), CLOSE]
+                for i in range(1, len(tokens)):
+                    for size in (1, 2, 3):
+                        if size <= i + 1:
+                            self.grams[tuple(tokens[i + 1 - size : i + 1])] += 1
+        self.count = lambda h: texts if h == (BEGIN,) else self.grams[h]
+        self.total = sum(c for g, c in self.grams.items() if len(g) == 1)
+        self.unit = self.total + 0.5 * (sum(len(g) == 1 for g in self.grams) + 1)
+        self.states = {(), *((BEGIN,) * bool(texts),), *(g for g in self.grams if len(g) < 3 and CLOSE not in g)}
+
+    def p(self, h, w):
+        if not h:
+            return (self.grams[w,] + 0.5) / self.unit
+        k = self.k[len(h) - 1]
+        return (self.grams[(*h, w)] + k * self.p(h[1:], w)) / (self.count(h) + k)
+
+    def failure(self, h):
+        k = self.k[len(h) - 1]
+        return k / (self.count(h) + k)
+
+    def read(self, text):
+        tokens, state, total, base = [*words(text), CLOSE], (BEGIN,) if (BEGIN,) in self.states else (), 0.0, 0.0
+        history = [BEGIN]
+        for w in tokens:
+            while state and not self.grams[(*state, w)]:
+                total += math.log10(self.failure(state))
+                state = state[1:]
+            total += math.log10(self.p(state, w))
+            base += math.log10(self.p((), w))
+            history = [*history[-1:], w]
+            state = next(s for s in (tuple(history), tuple(history[1:]), ()) if s in self.states)
+        return len(tokens), sum(self.grams[w,] > 0 for w in tokens), base, total
+
+
+@pytest.mark.parametrize("strength,how", [((2.0, 1.0), {}), ((0.3, 7.0), {"block_bytes": 2000, "range_bytes": 5000}), ((9.0, 0.1), {"block_bytes": 1, "range_bytes": 300})])
+def test_against_a_walk_over_the_automaton(spark, strength, how):
+    docs = spark.read.parquet(SF).select("doc_id", "text")
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())[:120]
-    rows += [(None, "Of The of THE"), (None, None), (7, ""), (7, "  zzz unseen\tzzz ")]
-    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), core=core, states=states, arcs=arcs).collect()
+    rows += [(None, "Of The of THE"), (None, None), (7, ""), (7, "  zzz unseen\tzzz "), (7, "the of"), (8, "a " * 5000)]
+    plain = Plain(rows, strength)
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, block string, score int").repartition(3)
+    got = lm.lm_scores(table, strength=strength, **how).collect()
+    want = [(k, held(k), *plain.read(t)[:2], plain.total, *plain.read(t)[2:]) for k, t in rows]
     key = lambda r: (str(r[0]), r[2], round(r[5], 6))
-    got, want = sorted(map(tuple, got), key=key), sorted(slow(rows, core, states, arcs), key=key)
+    got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
-    for g, w in zip(got, want):
+    for g, w in zip(got, want, strict=True):
         assert g[5:] == pytest.approx(w[5:], abs=1e-6)
 
 
-def test_arcs_of_a_state_sum_to_one(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = lm._rows(docs, "doc_id", "text")
-    made = lm.train(rows, core=100000)
-    a = made.automaton
-    unseen = 0.5 / made.unit
-    rare = sum((r["n"] + 0.5) / made.unit for r in made.rare.collect())
-    for state in (0, 5, a.states, -1):
-        total = sum(10 ** a.step(state, w)[0] for w in range(len(a.core) + 1))
-        total += (rare + unseen) * (10 ** a.failure[state] if state >= 0 else 1)
-        assert total == pytest.approx(1, abs=1e-6)
+def test_arcs_and_failure_of_a_state_sum_to_one():
+    plain = Plain([(0, "a b a b c"), (2, "b c"), (3, "")], (2.0, 1.0))
+    vocabulary = [g[0] for g in plain.grams if len(g) == 1]
+    for state in plain.states:
+        unseen = 0.5 / plain.unit
+        for at in range(len(state)):
+            unseen *= plain.failure(state[at:])
+        assert sum(plain.p(state, w) for w in vocabulary) + unseen == pytest.approx(1)
+
+
+def test_long_words_and_texts():
+    base = "x" * 64
+    texts = [f"{base}a {base}b {'y' * 300}", f"a{base} b{base}", "é\x1cÉ q" + "\xa0z", "", " \t\n"]
+    raw = [t.encode() for t in texts]
+    hashes, counts = lm.word_hashes(raw)
+    assert counts.tolist() == [len(words(t)) for t in texts] and len(set(hashes.tolist())) == sum(counts)
+    long = ("The cat sat on " * 200_000).encode()  # cut in several parts
+    hashes, counts = lm.word_hashes([long, b"the"])
+    assert counts.tolist() == [800_000, 1] and len(set(hashes.tolist())) == 4 and hashes[0] == hashes[-1]
+
+
+def test_numbers_are_narrow():
+    for x in ([], [0, 0], [255, 3], [2**40, 1], [2**64 - 1, 0]):
+        x = np.array(x, np.uint64)
+        assert (lm._wide(lm._narrow(x), len(x)) == x).all()
 
 
 def test_empty(spark):
@@ -90,38 +115,3 @@ def test_empty(spark):
     only_held = next(i for i in range(100) if held(i))
     got = lm.lm_scores(spark.createDataFrame([(only_held, "a b")], "doc_id long, text string")).collect()
     assert tuple(got[0]) == (only_held, True, 3, 0, 0, 0.0, 0.0)
-
-
-def slow_whole(rows):
-    """Every word a state, every pair an arc."""
-    train = [words(t) for k, t in rows if not held(k)]
-    count = Counter(w for ws in train for w in ws)
-    unit = sum(count.values()) + len(train) + 0.5 * (len(count) + bool(train) + 1)
-    p = lambda w: ((len(train) if w is None else count[w]) + 0.5) / unit
-    pairs = Counter(x for ws in train for x in zip([0, *ws], [*ws, None]))
-    hist = Counter(pairs.values())
-    d = hist[1] / (hist[1] + 2 * hist[2])
-    after = Counter()
-    mass, covered = Counter(), Counter()
-    for (a, b), c in pairs.items():
-        after[a] += c
-        mass[a] += c - d
-        covered[a] += p(b)
-    out = {}
-    for k, t in rows:
-        total = 0.0
-        for a, b in zip([0, *words(t)], [*words(t), None]):
-            if (a, b) in pairs:
-                total += math.log10((pairs[a, b] - d) / after[a])
-            else:
-                total += math.log10(p(b)) + (math.log10((1 - mass[a] / after[a]) / (1 - covered[a])) if a in after else 0)
-        out[k] = total
-    return out
-
-
-@pytest.mark.parametrize("core,held", [(400000, 1000000), (50, 20), (1, 0)])
-def test_every_pair_is_an_arc_whatever_is_held(spark, core, held):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())[:80] + [(1000001, "zzz Unseen zzz of the"), (1000002, "")]
-    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), core=core, held=held).collect()
-    assert {r["id"]: r["score"] for r in got} == pytest.approx(slow_whole(rows), abs=1e-6)
