@@ -43,7 +43,7 @@ ORDER = 3
 STRENGTH = (200.0, 10.0)
 #: Bytes of text in a block, and for each range of hashes: memory of one task, with no bearing on results.
 BLOCK_BYTES, RANGE_BYTES = 4 << 20, 4 << 20
-PART_BYTES = 1 << 20
+PART_BYTES, RANGES_EACH = 1 << 20, 4
 
 _DICE = np.random.default_rng(9)
 _PLACE = _DICE.integers(1, 2**63, 64 * 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -181,6 +181,11 @@ def blocks_of(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return common.written(rows.mapInArrow(work, BLOCKS), "lm-blocks", **common.LONG_ROWS)
 
 
+def _parts(blocks: DataFrame, ranges: int) -> int:
+    """Partitions that hold a few ranges, or a few blocks, each."""
+    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ranges // RANGES_EACH))
+
+
 def answered(blocks: DataFrame, orders: tuple[int, ...], ranges: int) -> DataFrame:
     """block, order, span, n, counts: how often the training texts have the block's distinct n-grams, in order of hash.
 
@@ -220,6 +225,7 @@ def answered(blocks: DataFrame, orders: tuple[int, ...], ranges: int) -> DataFra
         return pa.table({"block": pa.array(blocks, pa.int64()), "order": pa.array([order] * len(n), pa.int32()), "span": pa.array(spans, pa.int64()), "n": pa.array(n, pa.int64()), "counts": pa.array(back, pa.binary())})
 
     asked = blocks.select("block", "held", "text").mapInArrow(ask, "block long, order int, span long, n long, steps binary, least long, counts binary")
+    asked = asked.repartition(_parts(blocks, ranges), "order", "span")
     return common.written(asked.groupBy("order", "span").applyInArrow(answer, "block long, order int, span long, n long, counts binary"), "lm-answers")
 
 
@@ -279,6 +285,7 @@ class Trained:
     total: int  # N
     distinct: int  # V
     texts: int
+    parts: int  # to deal the blocks to
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> Trained:
@@ -287,7 +294,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     ranges = max(1, -(-(facts["bytes"] or 0) // range_bytes))
     answers = [answered(blocks, orders, ranges) for orders in ((1, 2), (3,))]  # one after the other: half the disk
     distinct = answers[0].where("block = -1").agg(F.sum("n")).first()[0] or 0
-    return Trained(blocks, answers[0].union(answers[1]).where("block >= 0"), facts["tokens"] or 0, distinct, facts["texts"] or 0)
+    return Trained(blocks, answers[0].union(answers[1]).where("block >= 0"), facts["tokens"] or 0, distinct, facts["texts"] or 0, _parts(blocks, ranges))
 
 
 def score(model: Trained, strength: tuple[float, float] = STRENGTH) -> DataFrame:
@@ -321,7 +328,8 @@ def score(model: Trained, strength: tuple[float, float] = STRENGTH) -> DataFrame
         return pa.table({name: pa.array(x, t) for name, x, t in zip(names, columns, kinds, strict=True)})
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return model.blocks.select("block", "ids", "held", "text").groupBy("block").cogroup(model.answers.groupBy("block")).applyInArrow(work, schema)
+    blocks, answers = (x.repartition(model.parts, "block") for x in (model.blocks.select("block", "ids", "held", "text"), model.answers))
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, schema)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: tuple[float, float] = STRENGTH, **how) -> DataFrame:
