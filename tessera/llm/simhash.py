@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from tessera.llm import common
 from tessera.llm.components import components
@@ -146,129 +147,164 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("id", "fp", "component_id")
 
 
-def shingle_set(text: bytes, size: int = SET_WORDS) -> np.ndarray:
-    """The distinct hashes of the word shingles, sorted."""
+def shingle_set(text: bytes, common_: np.ndarray, size: int = SET_WORDS) -> np.ndarray:
+    """The distinct word shingles as 62 bits of their hashes, sorted; bit 62 marks and puts last the common ones."""
     words = text.lower().split()
     size = min(size, len(words))
     if not size:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64)
     joined, lengths = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
     firsts, lasts = starts[: len(words) - size + 1].tolist(), (starts + lengths)[size - 1 :].tolist()
     found = b"".join([xxhash.xxh64_digest(joined[s:e], SEED) for s, e in zip(firsts, lasts, strict=True)])
-    return np.unique(np.frombuffer(found, ">u8").astype(np.uint64))
+    hashes = np.unique(np.frombuffer(found, ">u8").astype(np.uint64) >> np.uint64(2)).astype(np.int64)
+    if len(common_):
+        usual = common_[np.minimum(np.searchsorted(common_, hashes), len(common_) - 1)] == hashes
+        hashes = np.concatenate([hashes[~usual], hashes[usual] | (1 << 62)])
+    return hashes
 
 
-def prefix(hashes: np.ndarray, common_: np.ndarray) -> np.ndarray:
-    """The first hashes of a set, the common ones last: sets of Jaccard similarity 4/5 or more share one of them."""
-    if not len(hashes):
-        return hashes
-    at = np.searchsorted(common_, hashes)
-    usual = (common_[np.minimum(at, len(common_) - 1)] == hashes) if len(common_) else np.zeros(len(hashes), bool)
-    return hashes[np.argsort(usual, kind="stable")][: len(hashes) + (-4 * len(hashes) // 5) + 1]
+def prefix(hashes: np.ndarray) -> np.ndarray:
+    """The first of a sorted set: sets of Jaccard similarity 4/5 or more share one of them."""
+    return hashes[: len(hashes) + (-4 * len(hashes) // 5) + 1] if len(hashes) else hashes
 
 
-def _common(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+def _common(rows: DataFrame) -> np.ndarray:
     """Shingles of many documents, as a part of them shows. Which these are has no effect on what is linked."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):
-            sets = [shingle_set(x) for x in common.texts_of(batch, "text")]
-            found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+            sets = [shingle_set(x, np.zeros(0, np.int64)) for x in common.texts_of(batch, "text")]
+            found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    part = common.bounded(docs).where(common.id_crc(F.col(id_col).cast("long"), 8) == 0).select(F.col(text_col).alias("text"))
+    part = rows.where(common.id_crc(F.col("id"), 8) == 0).select("text")
     often = part.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n")).limit(COMMON_HELD)
-    return np.sort(often.select("h").toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64))
+    return np.sort(often.select("h").toArrow().column("h").to_numpy().astype(np.int64))
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, component_id: of every row the smallest id linked to it by sets of five-word shingles alike to 4/5 or more.
+def _least_overlap(a: str, b: str):
+    """9 times the shingles that sets of these sizes must share to be alike to 4/5."""
+    return 4 * (F.col(a) + F.col(b))
 
-    Every such pair of sets shares a shingle of both prefixes, so what shares one is compared, set by set. Equal sets
-    fall together before that. Where many share a shingle, each is first compared with the least of them; then only
-    those outside the largest group so linked are compared with the rest.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, id_col, text_col))
 
-    def sets_of(batch: pa.RecordBatch) -> tuple[list[np.ndarray], pa.Array]:
-        sets = [shingle_set(x) for x in common.texts_of(batch, "text")]
-        return sets, pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64))
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, sum (the text's hash), root, component_id: rows linked by sets of five-word shingles alike to 4/5 or more
+    have the same root, and the smallest of their ids as component_id.
+
+    Fingerprints don't do here: at a similarity of 4/5 they differ by ten bits of 64, and at that distance the grid
+    would compare all with all. So sets are joined, exactly. Every such pair of sets shares a shingle of both
+    prefixes; those that do are first held against each other by prefix (a shingle of one prefix that the other's
+    order passes over isn't in the other set), and what that can't exclude is compared whole. Equal sets fall
+    together before that. Where many share a shingle, each is first compared with the least of them; then only those
+    outside the largest group so linked are compared with the rest.
+    """
+    rows = common.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("sum", F.xxhash64("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(_common(rows))
 
     def listed(parts: list[np.ndarray]) -> pa.Array:
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+
+    def sets_of(batch: pa.RecordBatch) -> tuple[list[np.ndarray], pa.Array]:
+        sets = [shingle_set(x, shared.value) for x in common.texts_of(batch, "text")]
+        return sets, pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.chunks(batches, 256):
+        for batch in common.slices(batches, "text"):
             sets, fp = sets_of(batch)
             sizes = pa.array([len(x) for x in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), fp, sizes, listed([prefix(x, shared.value) for x in sets])], ["id", "fp", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sum"), fp, sizes, listed([prefix(x) for x in sets])], ["id", "sum", "fp", "size", "prefix"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.chunks(batches, 256):
-            sets, fp = sets_of(batch)
-            yield pa.RecordBatch.from_arrays([fp, listed(sets)], ["fp", "hashes"])
-
-    rows = common.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = common.written(rows.mapInArrow(prefixes, "id long, fp long, size int, prefix array<long>"), "sets-prints")
-    distinct = common.written(prints.groupBy("fp").agg(F.min("id").alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "sets-distinct")
+        for batch in batches:
+            asked = batch.filter(pa.array(slots.value[batch.column("slot").to_numpy()]))
+            for part in common.slices([asked], "text"):
+                sets, fp = sets_of(part)
+                yield pa.RecordBatch.from_arrays([fp, listed(sets)], ["fp", "hashes"])
+
+    prints = common.written(rows.mapInArrow(prefixes, "id long, sum long, fp long, size int, prefix array<long>"), "sets-prints")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sum")).alias("least")
+    distinct = common.written(prints.groupBy("fp").agg(least, F.first("size").alias("size"), F.first("prefix").alias("prefix")), "sets-distinct")
     cells = distinct.select("fp", "size", F.explode("prefix").alias("cell"))
     shared_cells = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
     cells = common.written(cells.join(shared_cells, "cell"), "sets-cells")
+
     def fits(a: str, b: str):
         return (5 * F.least(a, b)) >= (4 * F.greatest(a, b))
 
+    def both(pairs: DataFrame, table: DataFrame, *names: str) -> DataFrame:
+        """pairs (u, v) with these columns of both."""
+        for end in ("u", "v"):
+            pairs = pairs.join(table.select(F.col("fp").alias(end), *[F.col(x).alias(f"{x}_{end}") for x in names]), end)
+        return pairs
+
+    def possible(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs (u, v) that prefixes don't exclude."""
+        found = both(pairs, distinct, "size", "prefix")
+        only = lambda a, b: 9 * F.size(F.filter(F.array_except(f"prefix_{a}", f"prefix_{b}"), lambda x: x < F.array_max(f"prefix_{b}")))
+        may = lambda a: 9 * F.col(f"size_{a}") - _least_overlap("size_u", "size_v")
+        return common.written(found.where((only("u", "v") <= may("u")) & (only("v", "u") <= may("v"))).select("u", "v"), name)
+
     few, many = cells.where(F.col("n") <= DENSE_CELL), cells.where(F.col("n") > DENSE_CELL)
     other = few.select("cell", F.col("fp").alias("v"), F.col("size").alias("size_v"))
     plain = few.select("cell", F.col("fp").alias("u"), "size").join(other, "cell").where(F.col("u") < F.col("v")).where(fits("size", "size_v")).select("u", "v")
     stars = many.select(F.col("least").alias("u"), F.col("fp").alias("v")).where("u <> v")
-    pairs = common.written(plain.union(stars).distinct(), "sets-pairs")
-    asked = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct().join(distinct.select("fp", "first"), "fp")
-    slot = F.pmod(F.xxhash64("first"), F.lit(SLOTS))
-    marked = np.zeros(SLOTS, bool)  # a text whose slot isn't marked is in no pair
-    marked[asked.where("first is not null").select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
+    # in dense cells any of them may yet be asked for
+    pairs = possible(plain.union(stars).distinct(), "sets-pairs")
+    dense = bool(many.head(1))
+    asked = pairs.select(F.col("u").alias("fp")).union(pairs.select("v"))
+    asked = asked.union(many.select("fp")) if dense else asked
+    slot = lambda one, sum_: F.pmod(F.xxhash64(one, sum_), F.lit(SLOTS))
+    marked = np.zeros(SLOTS, bool)  # a row whose slot isn't marked is in no pair
+    named = asked.distinct().join(distinct.select("fp", "least"), "fp").select(slot(F.col("least.id"), F.col("least.sum")).alias("slot")).distinct()
+    marked[named.toArrow().column("slot").to_numpy()] = True
     slots = docs.sparkSession.sparkContext.broadcast(marked)
-
-    def marked_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.flatnonzero(slots.value[batch.column("slot").to_numpy()])
-            yield from whole([batch.take(pa.array(at))])
-
-    texts = rows.where("id is not null").withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(SLOTS)))
-    unnamed = rows.where("id is null").mapInArrow(whole, "fp long, hashes array<long>").dropDuplicates(["fp"])
-    sets = common.written(texts.mapInArrow(marked_only, "fp long, hashes array<long>").union(unnamed), "sets-whole")
+    sets = rows.withColumn("slot", slot("id", "sum")).select("text", "slot").mapInArrow(whole, "fp long, hashes array<long>")
+    sets = common.written(sets.groupBy("fp").agg(F.first("hashes").alias("hashes")), "sets-whole")
 
     def alike(pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs (u, v) that are similar."""
-        both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b")), "v")
-        return common.written(both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), name)
+        found = both(pairs, sets.withColumn("n", F.size("hashes")), "n", "hashes")
+        return common.written(found.where(9 * F.size(F.array_intersect("hashes_u", "hashes_v")) >= _least_overlap("n_u", "n_v")).select("u", "v"), name)
 
     found = alike(pairs, "sets-links")
-    if many.head(1):
-        named = many.join(components(found).withColumnRenamed("node", "fp"), "fp", "left").select("cell", "fp", "size", F.coalesce("root", "fp").alias("g"))
-        named = common.written(named, "sets-dense")
-        sizes = named.groupBy("cell", "g").agg(F.count("*").alias("n"))
+    if dense:
+        grouped = many.join(components(found).withColumnRenamed("node", "fp"), "fp", "left").select("cell", "fp", "size", F.coalesce("root", "fp").alias("g"))
+        grouped = common.written(grouped, "sets-dense")
+        sizes = grouped.groupBy("cell", "g").agg(F.count("*").alias("n"))
         mains = sizes.groupBy("cell").agg(F.max_by("g", F.struct("n", "g")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-        others = named.join(mains, "cell").where("g <> main").select("cell", F.col("fp").alias("x"), F.col("size").alias("size_x"), F.col("g").alias("gx"))
-        across = others.join(named, "cell").where("g <> gx").where(fits("size", "size_x")).select(F.least("x", "fp").alias("u"), F.greatest("x", "fp").alias("v")).distinct()
-        found = found.union(alike(across, "sets-across"))
-    named = common.written(distinct.select("fp", "first").join(components(found).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "sets-named")
-    firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.select("id", "fp").join(named.join(firsts, "root").select("fp", "component_id"), "fp").select("id", "component_id")
+        others = grouped.join(mains, "cell").where("g <> main").select("cell", F.col("fp").alias("x"), F.col("size").alias("size_x"), F.col("g").alias("gx"))
+        across = others.join(grouped, "cell").where("g <> gx").where(fits("size", "size_x")).select(F.least("x", "fp").alias("u"), F.greatest("x", "fp").alias("v")).distinct()
+        found = found.union(alike(possible(across, "sets-near"), "sets-across"))
+    common.discard(cells, sets)
+    named = distinct.select("fp", "least").join(components(found).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = common.written(named, "sets-named")
+    firsts = named.groupBy("root").agg(F.min("least.id").alias("component_id"))
+    found = common.written(prints.select("id", "sum", "fp").join(named.join(firsts, "root").select("fp", "root", "component_id"), "fp").select("id", "sum", "root", "component_id"), "sets-components")
+    common.discard(prints, distinct, named)
+    return found
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose component (of similar()) has a smaller id; of rows with equal ids one stays.
+    """docs with one row of each component of similar(): that with the smallest id, then text hash.
 
-    A row with a null id can't be told from another by it, and stays.
+    Rows are told apart by id and text, so rows that share an id and not a text are judged one by one; a null id comes
+    last. Of rows with the same id and text that with the least hash of all its columns stays.
     """
     found = similar(docs, id_col, text_col)
-    own = common.fresh(docs, "kept_id")
-    kept = found.where(F.col("id") == F.col("component_id")).groupBy(F.col("id").alias(own)).count()
-    stays = docs.join(kept.select(own), F.col(id_col) == F.col(own), "left_semi")
-    stays = stays.dropDuplicates([id_col]) if kept.where(F.col("count") > 1).head(1) else stays
-    return stays.union(docs.where(F.col(id_col).isNull()))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sum")).alias("least")
+    of_id, of_sum, place = (common.fresh(docs, x) for x in ("kept_id", "kept_sum", "kept_place"))
+    kept = common.written(found.groupBy("root").agg(least).select(F.col("least.id").alias(of_id), F.col("least.sum").alias(of_sum)), "sets-kept")
+    twice = found.groupBy("id", "sum").count().where("count > 1").head(1)
+    own = docs.withColumn(place, F.xxhash64(text_col))
+    stays = own.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(of_id)) & (F.col(place) == F.col(of_sum)), "left_semi")
+    if twice:
+        plain = [f.name for f in docs.schema if not isinstance(f.dataType, MapType)]
+        order = Window.partitionBy(id_col, place).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
+        stays = stays.withColumn(of_id, F.row_number().over(order)).where(F.col(of_id) == 1)
+    return stays.select(*docs.columns)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -74,7 +74,12 @@ def test_nulls_empties_repeats(spark):
     got = sorted(((r["id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(None, 3), (5, 5), (7, 5), (7, 5), (3, 3), (None, None)], key=str)
     kept = simhash.one_of_each(docs).collect()
-    assert sorted((r["doc_id"] for r in kept), key=str) == sorted([3, 5, None, None], key=str)
+    assert sorted((r["doc_id"] for r in kept), key=str) == sorted([3, 5, None], key=str)
+    one, other = "a b c d e f g", "h i j k l m n"
+    rows = [(3, one, 1), (5, one, 2), (5, other, 3), (6, other.upper(), 4), (9, "p q", 5), (9, "p q", 6), (None, "r", 7), (None, "r", 8), (None, "s t", 9)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, kept_id int")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(3, one), (5, other), (9, "p q"), (None, "r"), (None, "s t")], key=str)
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
