@@ -10,8 +10,8 @@ run through a window by source, so a source with a third of all rows is never in
 come to the driver: one row for each source.
 
 Defined results: a null text has size 0; documents without words take no part and get 0; a null source is a
-source of its own, last in order; repeated rows lie side by side and are each counted; an empty table gives no
-rows. Extra columns are ignored.
+source of its own, last in order; a null id is shuffled by the text; repeated rows lie side by side and are each
+counted; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from tessera.llm import common
 
@@ -128,33 +129,36 @@ def schedule(spark: SparkSession, shares: list[float], wanted: list[int]) -> Dat
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.chunks(batches):
         n = pa.array([len(x.split()) for x in common.texts_of(batch, "text")], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), n], ["id", "source", "size"])
+        names = ["id", "source", "key", "sum"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), n], [*names, "size"])
 
 
 def laid_out(sized: DataFrame, seed: str = SEED) -> DataFrame:
     """sized with at: the words of the source's documents before this one in the shuffled order."""
-    keyed = sized.withColumn("h", F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")))
+    keyed = sized.withColumn("h", F.md5(F.concat("key", F.lit(f":{seed}")).cast("binary")))
     keyed = keyed.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     sums = keyed.groupBy("part", "bucket").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("part").orderBy("bucket")) - F.col("n")
     bases = sums.select("part", "bucket", before.alias("base"))
-    inside = F.sum("size").over(Window.partitionBy("part", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    return keyed.withColumn("inside", inside).join(bases.hint("merge"), ["part", "bucket"]).select("id", "part", "size", (F.col("base") + F.col("inside")).alias("at"))
+    inside = F.sum("size").over(Window.partitionBy("part", "bucket").orderBy("h", "id", "size", "sum").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    return keyed.withColumn("inside", inside).join(bases.hint("merge"), ["part", "bucket"]).select("id", "sum", "part", "size", (F.col("base") + F.col("inside")).alias("at"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, block: int = BLOCK_WORDS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
-    """(documents, draws). documents: id, source, size, source_size, target, at, taken, one row for each given.
+    """(documents, draws). documents: id, source, sum (the text's hash), size, source_size, target, at, taken, one row for each given.
     draws: part, at, slot, epoch, block, words: what each slot of the schedule takes of which document."""
     spark = docs.sparkSession
     rows = common.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    sized = common.written(rows.mapInArrow(_count_words, "id long, source string, size long"), "mix-sizes")
+    key = F.coalesce(F.col("id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit(""))
+    rows = rows.withColumns({"key": key, "sum": F.xxhash64("text")})
+    sized = common.written(rows.mapInArrow(_count_words, "id long, source string, key string, sum long, size long"), "mix-sizes")
     totals = sorted(((r["source"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     amounts = [n for _, n in totals]
     goals = targets(amounts, [weights[i % len(weights)] for i in range(len(totals))], share * sum(amounts), most)
     wanted = [slots_wanted(n, goal, block) for n, goal in zip(amounts, goals, strict=True)]
     of = spark.createDataFrame([(s, i, n, g, -(-n // block)) for i, ((s, n), g) in enumerate(zip(totals, goals, strict=True))], "source string, part int, source_size long, target double, blocks long")
     # a row for each source, which the driver holds already, is all that is ever broadcast
-    parted = sized.join(F.broadcast(of.select("source", "part")), sized["source"].eqNullSafe(of["source"])).select("id", "part", "size")
+    parted = sized.join(F.broadcast(of.select("source", "part")), sized["source"].eqNullSafe(of["source"])).select("id", "key", "sum", "part", "size")
     placed = common.written(laid_out(parted, seed), "mix-places")
     block_of = lambda x: F.floor(x / block).cast("long")
     cut = placed.where("size > 0").withColumn("block", F.explode(F.sequence(block_of(F.col("at")), block_of(F.col("at") + F.col("size") - 1))))
@@ -165,24 +169,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     draws = slots.join(cut.hint("merge"), ["part", "block"])  # both sides grow with the words: neither is ever broadcast
     taken = draws.groupBy("part", "at").agg(F.sum("words").alias("taken")).withColumn("has", F.lit(True))
     found = placed.withColumn("has", F.col("size") > 0).join(taken, ["part", "at", "has"], "left").join(F.broadcast(of), "part")
-    return found.select("id", "source", "size", "source_size", "target", "at", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), draws
+    return found.select("id", "source", "sum", "size", "source_size", "target", "at", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), draws
 
 
 def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: docs with a row for each time a document is taken, the last cut after its last word taken.
 
-    Rows with equal id and source each get the least that the mix takes of one of them. Documents of which it takes
-    nothing are not in the mix.
+    Rows are told apart by id, source and text; those alike in all three are taken in the order of a hash of all their
+    columns. Documents of which the mix takes nothing are not in it.
     """
     found, _ = mix(docs, id_col, text_col, source_col, **how)
-    who, where, words = (common.fresh(docs, x) for x in ("mix_id", "mix_source", "mix_taken"))
-    plan = found.where("taken > 0").groupBy(F.col("id").alias(who), F.col("source").alias(where)).agg(F.min("taken").alias(words))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(who)) & F.col(source_col).cast("string").eqNullSafe(F.col(where))
-    rows = common.bounded(docs).join(plan, same).select(*docs.columns, words)
+    found = common.written(found.select("id", "source", "sum", "at", "taken"), "mix-taken")
+    who, where, what, words, nth = (common.fresh(docs, x) for x in ("mix_id", "mix_source", "mix_sum", "mix_taken", "mix_nth"))
+    plan = found.select(F.col("id").alias(who), F.col("source").alias(where), F.col("sum").alias(what), F.col("taken").alias(words), F.col("at").alias(nth))
+    rows = common.bounded(docs).withColumn(common.fresh(docs, "mix_text"), F.xxhash64(text_col))
+    own = rows.columns[-1]
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(who)) & F.col(source_col).cast("string").eqNullSafe(F.col(where)) & (F.col(own) == F.col(what))
+    if found.groupBy("id", "source", "sum").count().where("count > 1").head(1):
+        plan = plan.withColumn(nth, F.row_number().over(Window.partitionBy(who, where, what).orderBy(nth)))
+        plain = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)]
+        mine = common.fresh(docs, "mix_mine")
+        rows = rows.withColumn(mine, F.row_number().over(Window.partitionBy(id_col, source_col, own).orderBy(F.xxhash64(*plain))))
+        same &= F.col(mine) == F.col(nth)
+    rows = rows.join(plan.where(F.col(words) > 0), same).select(*docs.columns, words)
     names, at = docs.columns, docs.columns.index(text_col)
 
     def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.chunks(batches, 256):
+        for batch in common.slices(batches, text_col):
             texts = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
             take, out = [], []
             for i, (text, words) in enumerate(zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
@@ -204,7 +217,7 @@ def op10_mix(spark, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = f"""
-WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, CASE WHEN doc_id IS NULL THEN md5(text) END AS h, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
 totals AS (
   SELECT source, sum(size)::BIGINT AS n, ([{", ".join(map(str, WEIGHTS))}])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}]::DOUBLE AS w
   FROM sized GROUP BY source),
@@ -218,7 +231,7 @@ wanted AS (
 rested AS (SELECT *, least(n, least(blocks, floor((target - whole * n) / {float(BLOCK_WORDS)} + 0.5)::BIGINT) * {BLOCK_WORDS}) AS rest FROM wanted),
 placed AS (
   SELECT doc_id, source, size,
-    sum(size) OVER (PARTITION BY source ORDER BY md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':{SEED}')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS pos FROM sized)
+    sum(size) OVER (PARTITION BY source ORDER BY md5(concat(coalesce(CAST(doc_id AS VARCHAR), h, ''), ':{SEED}')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS pos FROM sized)
 SELECT doc_id, size, n AS source_size, target, (whole * size + greatest(0, least(pos + size, rest) - pos))::BIGINT AS taken
 FROM placed JOIN rested ON placed.source IS NOT DISTINCT FROM rested.source
 """
