@@ -268,6 +268,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         for batch in common.chunks(batches, 256):
             texts = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(texts), pa.float64())], names)
+        common.trim()
 
     schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
     return common.bounded(docs).mapInArrow(work, schema)

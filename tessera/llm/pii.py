@@ -247,8 +247,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of the text, base or added, replaced by its kind in brackets."""
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("_row"), F.col(text_col).alias("_whole"))  # names of ours can't clash
-    model = learn(searched(rows, "_whole", ()))
-    rows = searched(rows, "_whole", ("_row", "_whole")).withColumn("_spans", all_spans(model))
+    rows = common.written(searched(rows, "_whole", ("_row",)), "pii-searched")
+    rows = rows.withColumn("_whole", F.col("_row")[text_col]).withColumn("_spans", all_spans(learn(rows)))
     mark = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("_whole")
     ends = before(F.col("_spans"), lambda at, s: F.greatest(at, s["end"]))

@@ -32,10 +32,13 @@ from tessera.llm import common
 from tessera.llm.components import components
 
 SHINGLE_WORDS, MOST_BITS, SEED = 4, 4, 42
-#: Of the pipeline's stage: words of a shingle; common shingles that workers know, which bear on speed alone.
-SET_WORDS, COMMON_HELD, SLOTS = 5, 200_000, 1 << 22
+#: Of the pipeline's stage: words of a shingle; bits of its hash; common shingles that workers know and slots of texts
+#: that are asked for, which bear on speed alone.
+SET_WORDS, HASH_BITS, COMMON_HELD, SLOTS = 5, 58, 200_000, 1 << 22
 #: Fingerprints in a cell beyond which it is taken for dense; either way is exact.
 DENSE_CELL = 64
+#: Rounds in which a shingle's sets are compared with one of them alone.
+STARS = 2
 HALF_ONES = 0x5555555555555555
 
 
@@ -147,8 +150,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("id", "fp", "component_id")
 
 
-def shingle_set(text: bytes, common_: np.ndarray, size: int = SET_WORDS) -> np.ndarray:
-    """The distinct word shingles as 62 bits of their hashes, sorted; bit 62 marks and puts last the common ones."""
+def shingle_set(text: bytes, often: tuple[np.ndarray, np.ndarray], size: int = SET_WORDS) -> np.ndarray:
+    """The distinct word shingles, sorted: 58 bits of a hash, and above them a class of frequency, so that common ones
+    come last. often: sorted hashes of common shingles, and their classes; all others are of class 0."""
     words = text.lower().split()
     size = min(size, len(words))
     if not size:
@@ -157,10 +161,11 @@ def shingle_set(text: bytes, common_: np.ndarray, size: int = SET_WORDS) -> np.n
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
     firsts, lasts = starts[: len(words) - size + 1].tolist(), (starts + lengths)[size - 1 :].tolist()
     found = b"".join([xxhash.xxh64_digest(joined[s:e], SEED) for s, e in zip(firsts, lasts, strict=True)])
-    hashes = np.unique(np.frombuffer(found, ">u8").astype(np.uint64) >> np.uint64(2)).astype(np.int64)
-    if len(common_):
-        usual = common_[np.minimum(np.searchsorted(common_, hashes), len(common_) - 1)] == hashes
-        hashes = np.concatenate([hashes[~usual], hashes[usual] | (1 << 62)])
+    hashes = np.unique(np.frombuffer(found, ">u8").astype(np.uint64) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    known, classes = often
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hashes = np.sort(hashes | (np.where(known[at] == hashes, classes[at], 0) << HASH_BITS))
     return hashes
 
 
@@ -169,18 +174,23 @@ def prefix(hashes: np.ndarray) -> np.ndarray:
     return hashes[: len(hashes) + (-4 * len(hashes) // 5) + 1] if len(hashes) else hashes
 
 
-def _common(rows: DataFrame) -> np.ndarray:
-    """Shingles of many documents, as a part of them shows. Which these are has no effect on what is linked."""
+NONE_OFTEN = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _often(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles and their classes (1 + log2 of a count), as a part of the documents shows. Which these are has
+    no effect on what is linked, only on how much is compared."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):
-            sets = [shingle_set(x, np.zeros(0, np.int64)) for x in common.texts_of(batch, "text")]
+            sets = [shingle_set(x, NONE_OFTEN) for x in common.texts_of(batch, "text")]
             found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["h", "n"])
 
     part = rows.where(common.id_crc(F.col("id"), 8) == 0).select("text")
-    often = part.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n")).limit(COMMON_HELD)
-    return np.sort(often.select("h").toArrow().column("h").to_numpy().astype(np.int64))
+    often = part.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n")).limit(COMMON_HELD)
+    found = often.select("h", (F.least(F.floor(F.log2("n")), F.lit(30)) + 1).alias("class")).toArrow().sort_by("h")
+    return found.column("h").to_numpy().astype(np.int64), found.column("class").to_numpy().astype(np.int64)
 
 
 def _least_overlap(a: str, b: str):
@@ -194,14 +204,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Fingerprints don't do here: at a similarity of 4/5 they differ by ten bits of 64, and at that distance the grid
     would compare all with all. So sets are joined, exactly. Every such pair of sets shares a shingle of both
-    prefixes; those that do are first held against each other by prefix (a shingle of one prefix that the other's
-    order passes over isn't in the other set), and what that can't exclude is compared whole. Equal sets fall
-    together before that. Where many share a shingle, each is first compared with the least of them; then only those
-    outside the largest group so linked are compared with the rest.
+    prefixes; at the first that it shares, enough of both sets must be left. Those pairs are first held against each
+    other by prefix (a shingle of one prefix that the other's order passes over isn't in the other set), and what that
+    can't exclude is compared whole. Equal sets fall together before that. Where several share a shingle, each is
+    first compared with the most typical, then with a few others that it isn't linked to yet; then those
+    outside the largest group so linked with the rest. Among many that share a shingle of their prefixes and aren't
+    alike, that is every pair: shingles are ordered so that a prefix has the rarest.
     """
     rows = common.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("sum", F.xxhash64("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(_common(rows))
+    shared = docs.sparkSession.sparkContext.broadcast(_often(rows))
 
     def listed(parts: list[np.ndarray]) -> pa.Array:
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
@@ -216,23 +228,24 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             sets, fp = sets_of(batch)
             sizes = pa.array([len(x) for x in sets], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sum"), fp, sizes, listed([prefix(x) for x in sets])], ["id", "sum", "fp", "size", "prefix"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            asked = batch.filter(pa.array(slots.value[batch.column("slot").to_numpy()]))
-            for part in common.slices([asked], "text"):
-                sets, fp = sets_of(part)
-                yield pa.RecordBatch.from_arrays([fp, listed(sets)], ["fp", "hashes"])
+        common.trim()
 
     prints = common.written(rows.mapInArrow(prefixes, "id long, sum long, fp long, size int, prefix array<long>"), "sets-prints")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sum")).alias("least")
     distinct = common.written(prints.groupBy("fp").agg(least, F.first("size").alias("size"), F.first("prefix").alias("prefix")), "sets-distinct")
-    cells = distinct.select("fp", "size", F.explode("prefix").alias("cell"))
-    shared_cells = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
-    cells = common.written(cells.join(shared_cells, "cell"), "sets-cells")
-
-    def fits(a: str, b: str):
-        return (5 * F.least(a, b)) >= (4 * F.greatest(a, b))
+    cells = distinct.select("fp", "size", F.posexplode("prefix").alias("at", "cell"))
+    several = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    cells = common.written(cells.join(several, "cell"), "sets-shared")
+    # the more of its prefix others have too, the better a set stands for a group of near copies
+    typical = cells.groupBy("fp").agg((F.count("*") / F.first("size")).alias("typical"))
+    cells = common.written(cells.join(typical, "fp"), "sets-typical")
+    best = F.max_by(F.struct("fp", "size", "at"), F.struct("typical", "fp")).alias("best")
+    cells = common.written(cells.join(cells.groupBy("cell").agg(best), "cell"), "sets-cells")
+
+    def fits(one: str, other: str):
+        """Whether sets that first share the shingle at these places can be alike."""
+        left = F.least(*[F.col(f"{x}size") - F.col(f"{x}at") for x in (one, other)])
+        return 9 * left >= 4 * (F.col(f"{one}size") + F.col(f"{other}size"))
 
     def both(pairs: DataFrame, table: DataFrame, *names: str) -> DataFrame:
         """pairs (u, v) with these columns of both."""
@@ -247,38 +260,59 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         may = lambda a: 9 * F.col(f"size_{a}") - _least_overlap("size_u", "size_v")
         return common.written(found.where((only("u", "v") <= may("u")) & (only("v", "u") <= may("v"))).select("u", "v"), name)
 
-    few, many = cells.where(F.col("n") <= DENSE_CELL), cells.where(F.col("n") > DENSE_CELL)
-    other = few.select("cell", F.col("fp").alias("v"), F.col("size").alias("size_v"))
-    plain = few.select("cell", F.col("fp").alias("u"), "size").join(other, "cell").where(F.col("u") < F.col("v")).where(fits("size", "size_v")).select("u", "v")
-    stars = many.select(F.col("least").alias("u"), F.col("fp").alias("v")).where("u <> v")
-    # in dense cells any of them may yet be asked for
-    pairs = possible(plain.union(stars).distinct(), "sets-pairs")
-    dense = bool(many.head(1))
-    asked = pairs.select(F.col("u").alias("fp")).union(pairs.select("v"))
-    asked = asked.union(many.select("fp")) if dense else asked
+    stars = cells.where(F.col("fp") != F.col("best.fp")).where(fits("", "best.")).select(F.least("best.fp", "fp").alias("u"), F.greatest("best.fp", "fp").alias("v"))
+    pairs = possible(stars.distinct(), "sets-pairs")
     slot = lambda one, sum_: F.pmod(F.xxhash64(one, sum_), F.lit(SLOTS))
-    marked = np.zeros(SLOTS, bool)  # a row whose slot isn't marked is in no pair
-    named = asked.distinct().join(distinct.select("fp", "least"), "fp").select(slot(F.col("least.id"), F.col("least.sum")).alias("slot")).distinct()
-    marked[named.toArrow().column("slot").to_numpy()] = True
-    slots = docs.sparkSession.sparkContext.broadcast(marked)
-    sets = rows.withColumn("slot", slot("id", "sum")).select("text", "slot").mapInArrow(whole, "fp long, hashes array<long>")
-    sets = common.written(sets.groupBy("fp").agg(F.first("hashes").alias("hashes")), "sets-whole")
 
     def alike(pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs (u, v) that are similar."""
+        """Those of the pairs (u, v) that are similar; the sets that it takes are made anew from their texts."""
+        asked = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct().join(distinct.select("fp", "least"), "fp")
+        marked = np.zeros(SLOTS, bool)  # a row whose slot isn't marked is in no pair
+        marked[asked.select(slot(F.col("least.id"), F.col("least.sum")).alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
+        slots = docs.sparkSession.sparkContext.broadcast(marked)
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in common.slices([batch.filter(pa.array(slots.value[batch.column("slot").to_numpy()]))], "text"):
+                    sets, fp = sets_of(part)
+                    yield pa.RecordBatch.from_arrays([fp, listed(sets)], ["fp", "hashes"])
+            common.trim()
+
+        sets = rows.withColumn("slot", slot("id", "sum")).select("text", "slot").mapInArrow(whole, "fp long, hashes array<long>")
+        sets = common.written(sets.groupBy("fp").agg(F.first("hashes").alias("hashes")), f"{name}-whole")
         found = both(pairs, sets.withColumn("n", F.size("hashes")), "n", "hashes")
-        return common.written(found.where(9 * F.size(F.array_intersect("hashes_u", "hashes_v")) >= _least_overlap("n_u", "n_v")).select("u", "v"), name)
+        found = common.written(found.where(9 * F.size(F.array_intersect("hashes_u", "hashes_v")) >= _least_overlap("n_u", "n_v")).select("u", "v"), name)
+        common.discard(sets)
+        return found
 
     found = alike(pairs, "sets-links")
-    if dense:
-        grouped = many.join(components(found).withColumnRenamed("node", "fp"), "fp", "left").select("cell", "fp", "size", F.coalesce("root", "fp").alias("g"))
-        grouped = common.written(grouped, "sets-dense")
+    ends = [F.least("x.fp", "fp").alias("u"), F.greatest("x.fp", "fp").alias("v")]
+    members = cells.where((F.col("n") > 2) & (F.col("fp") != F.col("best.fp"))).select("cell", "fp", "size", "at", "typical")
+
+    def groups(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of cells with their group so far, and those outside the largest group of their cell. Cells of two,
+        and the best of each, have nothing left to compare."""
+        named = members.join(components(links).withColumnRenamed("node", "fp"), "fp", "left")
+        grouped = common.written(named.withColumn("g", F.coalesce("root", "fp")).drop("root"), "sets-grouped")
         sizes = grouped.groupBy("cell", "g").agg(F.count("*").alias("n"))
         mains = sizes.groupBy("cell").agg(F.max_by("g", F.struct("n", "g")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-        others = grouped.join(mains, "cell").where("g <> main").select("cell", F.col("fp").alias("x"), F.col("size").alias("size_x"), F.col("g").alias("gx"))
-        across = others.join(grouped, "cell").where("g <> gx").where(fits("size", "size_x")).select(F.least("x", "fp").alias("u"), F.greatest("x", "fp").alias("v")).distinct()
-        found = found.union(alike(possible(across, "sets-near"), "sets-across"))
-    common.discard(cells, sets)
+        return grouped, grouped.join(mains, "cell").where("g <> main").select("cell", F.struct("fp", "size", "at", "g", "typical").alias("x"))
+
+    for _ in range(1, STARS):
+        grouped, others = groups(found)
+        centres = others.groupBy("cell").agg(F.max_by("x", F.struct("x.typical", "x.fp")).alias("x"))
+        stars = grouped.join(centres, "cell").where((F.col("g") != F.col("x.g")) & fits("", "x.")).select(*ends)
+        near = possible(stars.distinct(), "sets-pairs")
+        common.discard(grouped)
+        if not near.head(1):
+            break
+        found = found.union(alike(near, "sets-links"))
+    grouped, others = groups(found)
+    across = others.join(grouped, "cell").where((F.col("g") != F.col("x.g")) & fits("", "x."))
+    near = possible(across.select(*ends).distinct(), "sets-near")
+    if near.head(1):
+        found = found.union(alike(near, "sets-across"))
+    common.discard(cells, grouped)
     named = distinct.select("fp", "least").join(components(found).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = common.written(named, "sets-named")
     firsts = named.groupBy("root").agg(F.min("least.id").alias("component_id"))
