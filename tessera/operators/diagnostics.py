@@ -7,6 +7,7 @@ candidate with all of them.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,8 +55,9 @@ def mean_t(daily: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return daily.groupBy(*keys).agg(F.avg(value).alias("mean"), expr.naive_t(F.avg(value), F.stddev_samp(value), n).alias("t_stat"), n.alias("n_obs"))
 
 
-def spanning(candidate: DataFrame, book: DataFrame, returns: DataFrame, topk: int = 5, rounds: int = 3, min_stocks: int = 30, keep=None) -> list[dict]:
-    """Round by round: the peers most like what is left of the candidate, the rank IC of what they leave, by horizon.
+def spanning(candidate: DataFrame, book: DataFrame, returns: DataFrame, topk: int = 5, rounds: int = 3, min_stocks: int = 30, keep=None, most_like: int = 5) -> tuple[list[dict], DataFrame]:
+    """Round by round: the peers most like what is left of the candidate, the rank IC of what they leave, by horizon;
+    and what is left in the end. Of the first round also the most_like peers, with how like they are.
 
     keep(df) cuts a round's lineage (a written table, or checkpoint()); the default is checkpoint().
     """
@@ -63,14 +65,15 @@ def spanning(candidate: DataFrame, book: DataFrame, returns: DataFrame, topk: in
     left, done, found = candidate.select(*KEYS, "value"), [], []
     for number in range(1, rounds + 1):
         rest = book.where(~F.col("factor_id").isin(done)) if done else book
-        peers = [r["factor_id"] for r in similarity(left, rest, min_stocks).limit(topk).collect()]
+        similar = similarity(left, rest, min_stocks).limit(max(topk, most_like)).collect()
+        peers = [r["factor_id"] for r in similar[:topk]]
         if not peers:
             break
         left = keep(residual_of_peers(left, book, peers, min_stocks))
         done += peers
         ic = {r["horizon"]: r.asDict() for r in mean_t(observed_ic(left, returns, min_stocks), ["horizon"], "ic").collect()}
-        found.append({"round": number, "peers": peers, "ic": ic})
-    return found
+        found.append({"round": number, "peers": peers, "ic": ic, "most_like": [(r["factor_id"], r["mean_abs"]) for r in similar[:most_like]]})
+    return found, left
 
 
 def spanned_r2(candidate: DataFrame, book: DataFrame, returns: DataFrame, peers: Sequence[str], min_stocks: int = 30) -> DataFrame:
@@ -92,7 +95,14 @@ def regime_ic(ic: DataFrame, regimes: DataFrame, labels: Sequence[str]) -> DataF
     return ic.join(F.broadcast(on), "trade_date").groupBy("regime", "horizon").agg(F.avg("ic").alias("ic_mean"), F.count("ic").alias("n_obs"))
 
 
-def sign_matches(mean: float | None, hypothesis: str | int | None) -> bool | None:
-    """Whether a mean has the sign that a hypothesis (positive or negative) names; None where either is unknown."""
-    sign = {"positive": 1, "+": 1, "1": 1, "negative": -1, "-": -1, "-1": -1}.get(str(hypothesis).lower())
-    return None if sign is None or mean is None or mean != mean else (mean > 0) == (sign > 0) and mean != 0
+def sign_matches(mean: float | None, direction: str) -> bool | None:
+    """Whether a mean has the sign of a hypothesis (high_is_long or high_is_short); None where either is unknown."""
+    if mean is None or mean != mean or direction not in ("high_is_long", "high_is_short"):
+        return None
+    return mean > 0 if direction == "high_is_long" else mean < 0
+
+
+def trading_days(factors: Sequence[DataFrame]) -> DataFrame:
+    """start, end, n: the first, last and number of the dates that any of the factors has."""
+    dates = reduce(lambda a, b: a.union(b), [df.select("trade_date") for df in factors]).distinct()
+    return dates.agg(F.min("trade_date").alias("start"), F.max("trade_date").alias("end"), F.count("trade_date").alias("n"))

@@ -135,3 +135,8 @@ def rebased(daily: DataFrame, value: str, keys: Sequence[str] = ("horizon",)) ->
 def filled_cumulative(daily: DataFrame, value: str, keys: Sequence[str] = ("horizon",), out: str = "cumulative") -> DataFrame:
     """Cumulative sum with absent values as zero."""
     return daily.withColumn(out, F.sum(F.coalesce(F.col(value), F.lit(0.0))).over(expr.running("trade_date", keys)))
+
+
+def yearly_means(stats: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """year and, of each label, the year's mean IC."""
+    return stats.groupBy("year").pivot("horizon", list(labels)).agg(F.first("ic_mean"))

@@ -23,7 +23,7 @@ from tessera.operators import timeseries as ts
 from tessera.plans import library, report, store, views
 from tessera.plans.config import CORE_SECTIONS, BacktestConfig
 from tessera.plans.files import Files
-from tessera.plans.sections import Context, SectionResult, run_section, selected
+from tessera.plans.sections import Context, SectionResult, curves_of, run_section, selected
 from tessera.sources import returns as return_source
 from tessera.sources.risk import industry_names
 
@@ -55,6 +55,19 @@ def prepared(factor: DataFrame, market: DataFrame, members: DataFrame | None, co
     return filtered, panel.quality(cells), summary
 
 
+def _settle(spark: SparkSession, context: Context, root: str) -> None:
+    """Writes what most sections start from, once; what can't be written is left to fail in the sections that read it."""
+    own = {f"ic-{m}": df for m, df in context.ic.items()} | {"groups": context.groups, "quality": context.quality}
+    done = {}
+    for name, df in own.items():
+        try:
+            df.write.parquet(f"{root}/.{name}")
+            done[name] = spark.read.schema(df.schema).parquet(f"{root}/.{name}")
+        except Exception:
+            done[name] = df
+    context.ic, context.groups, context.quality = {m: done[f"ic-{m}"] for m in context.ic}, done["groups"], done["quality"]
+
+
 def _check_market(market: DataFrame, config: BacktestConfig) -> DataFrame:
     if "listed_days" not in market.columns:
         market = panel.listed_days(market)
@@ -104,20 +117,26 @@ def run_factor_backtest(spark: SparkSession, factor: DataFrame, market: DataFram
             warnings += panel.pool_range_warnings(pool, factor, members)
             context, summary = _context(config, pool, factor, market, members, made, risk, industries)
             held.append(context.factor)
+            _settle(spark, context, f"{paths.staging}/.pools/{pool}")
             contexts[pool], results[pool], timings[pool] = context, {}, {}
             for section_name, function in chosen.items():
                 start = time.monotonic()
                 result = run_section(section_name, function, context)
                 for table_name, df in result.tables.items():
-                    if not store.is_base(table_name):
-                        continue
                     try:  # evaluated here, so that what fails belongs to its section
+                        if table_name.endswith("_factor"):
+                            df.write.parquet(f"{paths.staging}/artifacts/{pool}/{table_name}")
+                            continue
+                        if not store.is_base(table_name):
+                            df.write.format("noop").mode("overwrite").save()
+                            continue
                         path = f"{paths.staging}/.pools/{pool}/{table_name}"
                         df.write.parquet(path)
                         tables.setdefault(table_name, {})[pool] = spark.read.schema(df.schema).parquet(path)
                         origin.setdefault(table_name, []).append(section_name)
                     except Exception as e:
                         result.status, result.error = "failed", f"{type(e).__name__}: {e}"
+                warnings += [f"{pool} {section_name}: {w}" for w in result.warnings]
                 results[pool][section_name] = result
                 timings[pool][section_name] = round(time.monotonic() - start, 3)
                 say(f"{name} {pool} {section_name}: {result.status}")
@@ -126,7 +145,6 @@ def run_factor_backtest(spark: SparkSession, factor: DataFrame, market: DataFram
         if config.diagnostics.enabled:
             warnings += library.export(spark, files, paths.staging, config, contexts)
         manifest = store.write_tables(spark, paths.staging, tables, origin, config.parquet_compression)
-        files.remove(f"{paths.staging}/.pools")
         spans = factor.agg(F.min("trade_date"), F.max("trade_date")).first()
         meta = {"factor_name": name, "run_id": run_id, "framework_version": config.framework_version, "pools": list(config.selected_pools), "labels": made.labels, "horizon_days": made.days, "n_groups": config.n_groups, "ic_methods": xs.ic_methods(config.ic_methods),
                 "yearly_ic_min_days": config.yearly_ic_min_days, "yearly_ic_include_partial_year": config.yearly_ic_include_partial_year, "group_return_windows": dict(config.group_return_windows), "start_date": str(spans[0]), "end_date": str(spans[1])}
@@ -141,7 +159,8 @@ def run_factor_backtest(spark: SparkSession, factor: DataFrame, market: DataFram
         if config.export_static_report:
             files.write(f"{paths.staging}/report.html", report.page(name, meta, {p: {n: df for r in own.values() for n, df in r.tables.items()} for p, own in results.items()}, log))
         if config.handoff.enabled:
-            library.handoff(files, paths.staging, config, meta, log, contexts)
+            library.handoff(files, paths.staging, config, meta, log, results)
+        files.remove(f"{paths.staging}/.pools")
         final = store.publish(files, paths, {"factor_name": name})
     finally:
         for df in held:
@@ -173,6 +192,11 @@ def _write_artifacts(run_dir: str, pool: str, context: Context, summary: DataFra
     context.factor.write.parquet(f"{root}/aligned_factor")
     context.factor.select(*panel.KEYS, F.col("value").isNotNull().alias("valid")).write.parquet(f"{root}/valid_mask")
     context.returns.write.partitionBy("horizon").parquet(f"{root}/future_returns")
+    for method, ic in context.ic.items():
+        ic.write.parquet(f"{root}/daily_ic_{method}")
+    context.groups.write.parquet(f"{root}/daily_group_returns")
+    context.spread.write.parquet(f"{root}/daily_long_short_returns")
+    context.quality.write.parquet(f"{root}/data_quality")
     if summary is not None:
         summary.write.parquet(f"{root}/filter_summary")
 
@@ -266,7 +290,7 @@ class LoadedBacktestResult:
                 stats = {f"cumulative_{prefix}ic_{m}": ts.cumulative(daily, "ic"), f"{prefix}ic_stats_{m}": ts.ic_stats(daily, days)}
                 if not prefix:
                     stats |= {f"ic_overview_{m}": views.overview(daily, self.meta["labels"]), f"yearly_ic_stats_{m}": ts.yearly_ic_stats(daily, days, self.meta["yearly_ic_min_days"], self.meta["yearly_ic_include_partial_year"])}
-                    stats[f"yearly_mean_ic_{m}"] = stats[f"yearly_ic_stats_{m}"].select("year", "horizon", "ic_mean")
+                    stats[f"yearly_mean_ic_{m}"] = ts.yearly_means(stats[f"yearly_ic_stats_{m}"], self.meta["labels"])
                     if m == self._method(None):
                         stats |= {k.removesuffix(f"_{m}"): df for k, df in stats.items()}
                 out |= stats
@@ -281,8 +305,7 @@ class LoadedBacktestResult:
                 g = self._base(f"{prefix}daily_group_returns", pool)
                 out[f"{prefix}group_return_summary"] = ts.group_summary(g)
                 dates = self._base("data_quality", pool) if "data_quality" in have else g
-                curves = ts.group_curves(g, dates, days)
-                out |= {f"{prefix}group_cumulative_returns_{return_source.slug(x)}": curves.where(F.col("horizon") == x).drop("horizon") for x, n in days.items() if n is not None}
+                out |= curves_of(g, dates, days, f"{prefix}group_cumulative_returns")[0]
                 if not prefix:
                     spread = xs.long_short(g, 1, groups)
                     equivalent, _ = xs.daily_equivalent_long_short(g, days, 1, groups)

@@ -27,18 +27,42 @@ class DiagnosticsConfig:
     production_book_path: str | None = None
     peer_book_path: str | None = None
     regime_path: str | None = None
+    production_book_source: str = "file"
+    peer_book_source: str = "file"
+    regime_source: str = "file"
+    baseline_suite_id: str | None = None
+    baseline_book_version: str | None = None
+    peer_book_version: str | None = None
+    peer_pool_id: str = "research+promoted"
+    hypothesis_direction: str = "unknown"  # or high_is_long, high_is_short
+    idea_id: str | None = None
+    version: int = 1
     regime_labels: tuple[str, ...] = ("bull", "bear", "high_vol", "low_vol")
-    hypothesis_sign: str | None = None
-    topk: int = 20
-    rounds: int = 3
-    overlap_k: int = 50
-    min_stocks: int = 30
+    neutralization_layers: tuple[str, ...] = ("production_book",)
+    spanning_topk: int = 20
+    spanning_rounds: int = 3
+    top_spanning_factors: int = 5
+    topk_overlap_k: int = 50
+    min_similarity_stocks: int = 30
+
+    def __post_init__(self) -> None:
+        for name in ("spanning_topk", "spanning_rounds", "top_spanning_factors", "topk_overlap_k"):
+            if getattr(self, name) <= 0:
+                raise ValueError(f"{name} must be above zero")
+        if self.min_similarity_stocks <= 1:
+            raise ValueError("min_similarity_stocks must be above one")
 
 
 @dataclass(frozen=True)
 class HandoffConfig:
+    """The acceptance package of one pool."""
+
     enabled: bool = False
     output_dir: str | None = None
+    pool: str = "all"
+    factor_direction: str = "high_is_long"
+    entry: str = "next_open"
+    data_asof: str | None = None
 
 
 @dataclass(frozen=True)

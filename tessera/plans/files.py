@@ -69,9 +69,11 @@ class Files:
         stream = system.create(beside, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if system.exists(place):
-            system.delete(place, False)
-        system.rename(beside, place)
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        over = self.spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+        over[0] = getattr(fs, "Options$Rename").OVERWRITE
+        context = fs.FileContext.getFileContext(system.makeQualified(place).toUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(system.makeQualified(beside), system.makeQualified(place), over)
 
     def read_json(self, path: str) -> Any:
         return json.loads(self.read(path))

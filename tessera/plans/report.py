@@ -7,7 +7,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
-MOST_ROWS = 2000
 COLOURS = ("#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e377c2", "#7f7f7f", "#bcbd22", "#17becf")
 
 
@@ -19,8 +18,9 @@ def number(x) -> str:
     return "" if x is None else str(x)
 
 
-def table(df: DataFrame, most: int = 30) -> str:
-    rows = df.limit(most).collect()
+def table(df: DataFrame) -> str:
+    """A whole table, in order of its keys."""
+    rows = df.orderBy(*[c for c in ("trade_date", "year", "horizon", "group", "series") if c in df.columns]).collect()
     head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
     body = "".join("<tr>" + "".join(f"<td>{html.escape(number(v))}</td>" for v in r) + "</tr>" for r in rows)
     return f"<table><tr>{head}</tr>{body}</table>"
@@ -29,7 +29,7 @@ def table(df: DataFrame, most: int = 30) -> str:
 def lines(df: DataFrame, key: str, value: str, width: int = 760, height: int = 260) -> str:
     """A line for each key over trade_date."""
     series: dict[str, list[tuple]] = {}
-    for r in df.select("trade_date", key, value).where(f"`{value}` is not null").orderBy("trade_date").limit(MOST_ROWS * 10).collect():
+    for r in df.select("trade_date", key, value).where(f"`{value}` is not null").orderBy("trade_date").collect():
         series.setdefault(str(r[1]), []).append((r[0].toordinal(), r[2]))
     points = [p for s in series.values() for p in s]
     if not points:
@@ -50,7 +50,7 @@ def page(title: str, meta: Mapping, pools: Mapping[str, Mapping], log: Mapping)
         parts.append(f"<h2>{html.escape(pool)}</h2>")
         for name in ("ic_stats", "group_return_summary", "performance_metrics", "data_quality"):
             if name in tables:
-                parts.append(f"<h3>{name}</h3>{table(tables[name], 10 if name == 'data_quality' else 30)}")
+                parts.append(f"<h3>{name}</h3>{table(tables[name])}")
         if "cumulative_ic" in tables:
             parts.append(f"<h3>cumulative IC</h3>{lines(tables['cumulative_ic'], 'horizon', 'cumulative')}")
         for name in sorted(n for n in tables if n.startswith("group_cumulative_returns_")):

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import expr
 from tessera.operators import cross_section as xs
 from tessera.operators import neutral
 from tessera.operators import timeseries as ts
@@ -47,7 +48,8 @@ class SectionResult:
     error: str | None = None
 
 
-Section = Callable[[Context], dict[str, DataFrame]]
+#: What a section returns: its tables, or those and warnings.
+Section = Callable[[Context], dict[str, DataFrame] | tuple[dict[str, DataFrame], list[str]]]
 DEFAULT_SECTIONS: dict[str, Section] = {}
 NEED_RISK: set[str] = set()
 
@@ -97,7 +99,7 @@ def cumulative_ic(c: Context):
 def yearly_ic(c: Context):
     def make(m: str, ic: DataFrame):
         stats = ts.yearly_ic_stats(ic, c.days, c.config.yearly_ic_min_days, c.config.yearly_ic_include_partial_year)
-        return {f"yearly_ic_stats_{m}": stats, f"yearly_mean_ic_{m}": stats.select("year", "horizon", "ic_mean")}
+        return {f"yearly_ic_stats_{m}": stats, f"yearly_mean_ic_{m}": ts.yearly_means(stats, c.labels)}
 
     return _by_method(c, make, ["yearly_ic_stats", "yearly_mean_ic"])
 
@@ -126,7 +128,7 @@ def style_neutralized_ic(c: Context):
 
 @section("style_industry_neutralized_ic", needs_risk=True)
 def style_industry_neutralized_ic(c: Context):
-    return _neutralized(c, "style_industry_neutralized", c.industries)
+    return _neutralized(c, "style_industry_neutralized", c.industries), neutral.missing_industry_warning(c.factor.where("value is not null"), c.risk)
 
 
 @section("group_exposure_diagnostics", needs_risk=True)
@@ -140,20 +142,25 @@ def group_exposure(c: Context):
     }
 
 
-def _curves(c: Context, groups: DataFrame, name: str):
-    curves = ts.group_curves(groups, c.factor, c.days)
-    return {f"{name}_{slug(x)}": curves.where(F.col("horizon") == x).drop("horizon") for x, n in c.days.items() if n is not None}
+def curves_of(groups: DataFrame, dates: DataFrame, days: dict[str, int | None], name: str) -> tuple[dict[str, DataFrame], list[str]]:
+    """A curve of each label that names its days anywhere, and a warning for each other."""
+    own = {x: expr.horizon_days_anywhere(x, days) for x in days}
+    curves = ts.group_curves(groups, dates, own)
+    tables = {f"{name}_{slug(x)}": curves.where(F.col("horizon") == x).drop("horizon") for x, n in own.items() if n is not None}
+    return tables, [f"{x} has no days; it has no cumulative curve" for x, n in own.items() if n is None]
 
 
 @section("group_return")
 def group_return(c: Context):
-    return {"daily_group_returns": c.groups, "group_return_summary": ts.group_summary(c.groups)} | _curves(c, c.groups, "group_cumulative_returns")
+    curves, warnings = curves_of(c.groups, c.factor, c.days, "group_cumulative_returns")
+    return {"daily_group_returns": c.groups, "group_return_summary": ts.group_summary(c.groups)} | curves, warnings
 
 
 @section("within_industry_group_return", needs_risk=True)
 def within_industry(c: Context):
     g = xs.within_industry_group_returns(c.factor, c.returns, c.risk, c.config.n_groups, c.config.min_industry_ic_stocks)
-    return {"within_industry_daily_group_returns": g, "within_industry_group_return_summary": ts.group_summary(g)} | _curves(c, g, "within_industry_group_cumulative_returns")
+    curves, warnings = curves_of(g, c.factor, c.days, "within_industry_group_cumulative_returns")
+    return {"within_industry_daily_group_returns": g, "within_industry_group_return_summary": ts.group_summary(g)} | curves, warnings
 
 
 @section("layered_group_return")
@@ -177,7 +184,7 @@ def group_turnover(c: Context):
     own = daily.where(F.col("group").isin(1, c.config.n_groups)).withColumn("group", F.concat(F.lit("G"), "group"))
     return {
         "daily_group_turnover": daily, "daily_group_membership_change": daily, "group_turnover_summary": ts.summary(daily, ["group"], "turnover", ts.TURNOVER_COLUMNS),
-        "edge_group_turnover_summary": ts.summary(own.unionByName(edges.select(*own.columns)), ["group"], "turnover", ts.TURNOVER_COLUMNS),
+        "group_turnover_edge_summary": ts.summary(own.unionByName(edges.select(*own.columns)), ["group"], "turnover", ts.TURNOVER_COLUMNS),
     }
 
 
@@ -204,6 +211,8 @@ def run_section(name: str, function: Section, context: Context) -> SectionResult
     try:
         if name in NEED_RISK and context.risk is None:
             raise ValueError("needs risk exposures")
-        return SectionResult(name, tables=function(context))
+        made = function(context)
+        tables, warnings = made if isinstance(made, tuple) else (made, [])
+        return SectionResult(name, tables=tables, warnings=list(warnings))
     except Exception as e:
         return SectionResult(name, "failed", error=f"{type(e).__name__}: {e}")

@@ -70,8 +70,10 @@ def load(spark: SparkSession, path: str, value_column: str | None = None, h5_key
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix == ".csv":
         return normalize(spark.read.option("header", True).csv(path), value_column)
-    if suffix in (".h5", ".hdf5"):
+    if suffix in (".h5", ".hdf5", ".hdf"):
         return normalize(read_hdf(spark, path, h5_key), value_column)
+    if suffix not in ("", ".parquet"):
+        raise SourceError(f"no reader for {suffix}: {path}")
     names = [n for n in Files(spark).names(path) if n.endswith(".parquet")]
     if suffix == ".parquet" and path.rstrip("/").rpartition("/")[2] in names or len(names) <= 1:
         return normalize(read_parquet(spark, path), value_column)

@@ -78,7 +78,11 @@ def load(read: Callable[[str], DataFrame], start: str, end: str, tables: Mapping
 
 def pool(spark: SparkSession, path: str) -> DataFrame:
     """trade_date, symbol of a universe, from CSV or Parquet."""
-    raw = spark.read.option("header", True).csv(path) if path.lower().endswith(".csv") else spark.read.parquet(path)
+    return members(spark.read.option("header", True).csv(path) if path.lower().endswith(".csv") else spark.read.parquet(path))
+
+
+def members(raw: DataFrame) -> DataFrame:
+    """trade_date, symbol of a universe, each once."""
     date, symbol = pick(raw.columns, ("trade_date", "date")), pick(raw.columns, ("symbol", "asset"))
     if date is None or symbol is None:
         raise SourceError(f"a pool needs trade_date and symbol; has {raw.columns}")

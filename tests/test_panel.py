@@ -192,9 +192,11 @@ def test_library(spark):
     ret = f.select("trade_date", "symbol", F.lit("1d").alias("horizon"), F.col("value").alias("ret"))
     gain = diagnostics.spanned_r2(f, book, ret, ["other"], 10).first()
     assert 0 < gain["mean"] <= 1
-    rounds = diagnostics.spanning(f, book, ret, 1, 3, 10, keep=lambda df: df.persist())
+    rounds, left = diagnostics.spanning(f, book, ret, 1, 3, 10, keep=lambda df: df.persist())
+    assert left.columns == ["trade_date", "symbol", "value"] and rounds[0]["most_like"][0][0] == rounds[0]["peers"][0]
     assert [r["peers"] for r in rounds] == [["near"], ["other"]]
-    assert diagnostics.sign_matches(0.1, "positive") and not diagnostics.sign_matches(-0.1, "+") and diagnostics.sign_matches(None, "+") is None
+    assert diagnostics.sign_matches(0.1, "high_is_long") and diagnostics.sign_matches(-0.1, "high_is_short") and not diagnostics.sign_matches(0.0, "high_is_short")
+    assert diagnostics.sign_matches(None, "high_is_long") is None and diagnostics.sign_matches(0.1, "unknown") is None
 
 
 def test_labels():

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.plans import api, store
+from tessera.plans import api, library, store
 from tessera.plans.config import BacktestConfig, DiagnosticsConfig, HandoffConfig
 from tessera.plans.files import Files
 from tessera.plans.sections import DEFAULT_SECTIONS
@@ -33,7 +33,7 @@ def test_run_load_views_report(spark, inputs, tmp_path):
     book = factor.withColumn("factor_id", F.lit("p1")).withColumn("value", F.col("value") + (F.hash("symbol") % 5))
     book.select(F.col("trade_date").alias("date"), "symbol", "factor_id", "value").write.parquet(f"{tmp_path}/book.parquet")
     config = BacktestConfig(factor_name="f", output_root=str(tmp_path / "out"), horizons=(1, 5), ic_methods=("spearman", "pearson"), min_ic_stocks=10, selected_pools=("all", "half"), verbose=False, export_static_report=True, render_plots=True,
-                            artifact_level="full", write_neutralized_factors=True, diagnostics=DiagnosticsConfig(True, f"{tmp_path}/book.parquet", f"{tmp_path}/book.parquet", f"{tmp_path}/none.csv", topk=1, rounds=1, min_stocks=10), handoff=HandoffConfig(True))
+                            artifact_level="full", write_neutralized_factors=True, diagnostics=DiagnosticsConfig(True, f"{tmp_path}/book.parquet", f"{tmp_path}/book.parquet", f"{tmp_path}/none.csv", spanning_topk=1, spanning_rounds=1, min_similarity_stocks=10), handoff=HandoffConfig(True))
     members = factor.where("symbol < 'S030'").select("trade_date", "symbol")
     done = api.run_factor_backtest(spark, factor, px, config, pools={"half": members}, risk=exposures, run_id="r1")
     assert {r.status for own in done.results.values() for r in own.values()} == {"ok"}
@@ -54,9 +54,11 @@ def test_run_load_views_report(spark, inputs, tmp_path):
     path = api.render_factor_backtest_report(spark, done.run_dir)
     files = Files(spark)
     assert "<svg" in files.read(path)
-    assert files.names(f"{done.run_dir}/company_diagnostics") == ["crowding.json", "diversity.json", "mechanism_consistency.json", "spanning.json"]
-    assert "daily_ic.csv" in files.names(f"{done.run_dir}/handoff/sample_latest/all")
-    assert "NOTES.md" in files.names(f"{done.run_dir}/handoff/sample_latest")
+    assert files.names(f"{done.run_dir}/diagnostics") == ["crowding.json", "diversity.json", "mechanism_consistency.json", "spanning.json"]
+    assert files.names(f"{done.run_dir}/handoff/sample_latest/pools/all/tables") == ["data_quality.csv", "group_return_summary.csv", "group_turnover_edge_summary.csv", "ic_stats_spearman.csv", "performance_metrics.csv"]
+    assert {"README.md", "commit.txt", "schema_notes.md", "sample_latest"} <= set(files.names(f"{done.run_dir}/handoff"))
+    assert files.read_json(f"{done.run_dir}/handoff/sample_latest/diagnostics/spanning.json") == {"status": "pending(company)"}
+    assert run.read_artifact("style_neutralized_factor").count() == 35 * 40 and run.read_artifact("daily_ic_pearson", "half").count() == 70
     assert files.read(run.plot_path("cumulative_ic")).startswith("<svg xmlns")
     with pytest.raises(FileExistsError):
         api.run_factor_backtest(spark, factor, px, config, pools={"half": members}, run_id="r1")
@@ -66,6 +68,59 @@ def test_run_load_views_report(spark, inputs, tmp_path):
         run.read_table("data_quality", "none")
 
 
+def test_diagnostics_of_a_library(spark, tmp_path):
+    """A candidate with two peers and a production book of two: one of either is the candidate itself, scaled."""
+    days, symbols = DAYS[:18], [f"S{i:02d}" for i in range(30)]
+    value = lambda i, t: float((i * 7 + t * 3) % 30)
+    factor = spark.createDataFrame([(d, s, value(i, t)) for t, d in enumerate(days[:10]) for i, s in enumerate(symbols)], "trade_date date, symbol string, value double")
+    px = spark.createDataFrame([(d, s, 10.0 + value(i, t) / 10 + t) for t, d in enumerate(days) for i, s in enumerate(symbols)], "trade_date date, symbol string, open_price double")
+
+    def book(name, **made):
+        rows = [(d, s, f, g(i, t)) for f, g in made.items() for t, d in enumerate(days) for i, s in enumerate(symbols)]
+        spark.createDataFrame(rows, "date date, symbol string, factor_id string, value double").write.parquet(f"{tmp_path}/{name}.parquet")
+
+    book("production", scaled=lambda i, t: 0.85 * value(i, t), minus=lambda i, t: -float(i))
+    book("peers", rank=lambda i, t: value(i, t), cycle=lambda i, t: float(i % 7))
+    spark.createDataFrame([(d, t % 2 == 0, False) for t, d in enumerate(days)], "date date, bull boolean, bear boolean").write.parquet(f"{tmp_path}/regimes.parquet")
+    asked = DiagnosticsConfig(True, *(f"{tmp_path}/{x}.parquet" for x in ("production", "peers", "regimes")), regime_labels=("bull", "bear"), min_similarity_stocks=10, topk_overlap_k=5, spanning_topk=1, spanning_rounds=2, hypothesis_direction="high_is_short", peer_book_version="p7", idea_id="i")
+    config = BacktestConfig(factor_name="d", output_root=str(tmp_path / "out"), horizons=(1, 5), min_ic_stocks=10, tradability_filter=False, n_groups=5, verbose=False, diagnostics=asked)
+    done = api.run_factor_backtest(spark, factor, px, config, sections={x: DEFAULT_SECTIONS[x] for x in ("data_quality", "cumulative_ic", "group_return")})
+    read = lambda x: Files(spark).read_json(f"{done.run_dir}/diagnostics/{x}.json")
+    crowding, diversity, spanning, mechanism = map(read, ("crowding", "diversity", "spanning", "mechanism_consistency"))
+    cell = crowding["pools"]["all"]
+    assert crowding["status"] == "computed" and crowding["pool_id"] == "research+promoted" and crowding["meta"]["coverage"] == {"pools": ["all"]} and crowding["meta"]["peer_book_version"] == "p7"
+    assert crowding["meta"]["n_trading_days"] == 10 and crowding["meta"]["as_of_start"] == str(days[0]) and crowding["meta"]["as_of_end"] == str(days[9])
+    assert cell["n_peers"] == 2 and cell["max_corr_peer"] == "rank" and cell["max_abs_rankcorr"] == pytest.approx(1) and cell["n_peers_above_0.7"] == 1
+    assert cell["topk_overlap"] == 1 and cell["topk_k"] == 5 and cell["n_obs"] == 10 and cell["operator_graph_similarity"] is None and cell["operator_graph_similarity_status"] == "pending(dsl)"
+    assert diversity["max_similarity_peer"] == "rank" and diversity["novelty"] == pytest.approx(0) and diversity["idea_id"] == "i" and diversity["version"] == 1
+    own = spanning["pools"]["all"]
+    assert own["top_spanning_factors"][0]["factor_id"] == "scaled" and spanning["baseline_suite_id"] == "production_book" and spanning["spanning_method"] == {"type": "iterative_topk_residualization", "topk": 1, "rounds": 2}
+    assert set(own["horizons"]) <= {"1", "5"} and [r["factor_ids"] for r in own["horizons"]["1"]["residualization_rounds"]][0] == ["scaled"]
+    one = mechanism["pools"]["all"]["horizons"]["1"]
+    ic = api.load_backtest_result(spark, factor_name="d", output_root=config.output_root).read_table("daily_ic").where("horizon = '1d' and ic is not null").toPandas()
+    bull = ic[[days.index(x) % 2 == 0 for x in ic.trade_date]].ic
+    assert one["regime_detail"]["bull"]["ic"] == pytest.approx(bull.mean()) and one["regime_detail"]["bull"]["n_obs"] == len(bull) and "bear" not in one["regime_detail"]
+    assert one["regime_detail"]["bull"]["sign_matches_hypothesis"] == (bull.mean() < 0) and one["regime_sign_consistency"] == float(bull.mean() < 0) and mechanism["regimes"] == ["bull", "bear"]
+
+
+def test_files_replace_whole(spark, tmp_path):
+    files = Files(spark)
+    for text in ("one", "two, and more"):
+        files.write(f"{tmp_path}/x/latest.json", text)
+        assert files.read(f"{tmp_path}/x/latest.json") == text
+    assert [n for n in files.names(f"{tmp_path}/x") if not n.startswith(".")] == ["latest.json"]
+    table = spark.createDataFrame([('a,"b"', 1.5), ("c", None)], "name string, x double")
+    assert library.as_csv(table.orderBy("name")) == 'name,x\n"a,""b""",1.5\nc,\n'
+
+
+def test_a_failing_derived_table_fails_its_section(spark, inputs, tmp_path):
+    factor, px, _ = inputs
+    config = BacktestConfig(factor_name="h", output_root=str(tmp_path), horizons=(1,), min_ic_stocks=10, verbose=False)
+    late = lambda c: {"mine_summary": c.factor.select(F.raise_error(F.lit("late")).alias("x"))}
+    done = api.run_factor_backtest(spark, factor, px, config, sections={"data_quality": DEFAULT_SECTIONS["data_quality"], "mine": late})
+    assert done.results["all"]["mine"].status == "failed" and done.results["all"]["data_quality"].status == "ok"
+
+
 def test_failures(spark, inputs, tmp_path):
     factor, px, _ = inputs
     config = BacktestConfig(factor_name="g", output_root=str(tmp_path), horizons=(1,), min_ic_stocks=10, verbose=False)
