@@ -55,6 +55,16 @@ def prepared(factor: DataFrame, market: DataFrame, members: DataFrame | None, co
     return filtered, panel.quality(cells), summary
 
 
+def _keeper(spark: SparkSession, root: str, kept: dict[str, DataFrame]):
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        path = f"{root}/{len(kept)}-{name}"
+        df.write.parquet(path)
+        kept[name] = spark.read.schema(df.schema).parquet(path)
+        return kept[name]
+
+    return keep
+
+
 def _settle(spark: SparkSession, context: Context, root: str) -> None:
     """Writes what most sections start from, once; what can't be written is left to fail in the sections that read it."""
     own = {f"ic-{m}": df for m, df in context.ic.items()} | {"groups": context.groups, "quality": context.quality}
@@ -118,6 +128,8 @@ def run_factor_backtest(spark: SparkSession, factor: DataFrame, market: DataFram
             context, summary = _context(config, pool, factor, market, members, made, risk, industries)
             held.append(context.factor)
             _settle(spark, context, f"{paths.staging}/.pools/{pool}")
+            kept: dict[str, DataFrame] = {}
+            context.keep = _keeper(spark, f"{paths.staging}/.pools/{pool}", kept)
             contexts[pool], results[pool], timings[pool] = context, {}, {}
             for section_name, function in chosen.items():
                 start = time.monotonic()
@@ -130,9 +142,7 @@ def run_factor_backtest(spark: SparkSession, factor: DataFrame, market: DataFram
                         if not store.is_base(table_name):
                             df.write.format("noop").mode("overwrite").save()
                             continue
-                        path = f"{paths.staging}/.pools/{pool}/{table_name}"
-                        df.write.parquet(path)
-                        tables.setdefault(table_name, {})[pool] = spark.read.schema(df.schema).parquet(path)
+                        tables.setdefault(table_name, {})[pool] = kept[table_name] if kept.get(table_name) is df else context.keep(table_name, df)
                         origin.setdefault(table_name, []).append(section_name)
                     except Exception as e:
                         result.status, result.error = "failed", f"{type(e).__name__}: {e}"

@@ -11,7 +11,7 @@ from tessera.operators import cross_section as xs
 from tessera.operators import diagnostics, neutral, panel
 from tessera.operators import timeseries as ts
 from tessera.plans import sql
-from tessera.sources import tables
+from tessera.sources import factors, market, tables
 
 HORIZONS, LABELS, DAYS, GROUPS, LEAST = (1, 3), ("1d", "3d"), {"1d": 1, "3d": 3}, 5, 10
 STYLES, REGIONS = ("size", "weight", "balance"), ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
@@ -76,12 +76,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- sources ---------------------------------------------------------------------------------------------------
 
 
-@query("market_left_join", """SELECT o_orderkey, o_custkey, c_mktsegment, round(o_totalprice, 4) AS amount, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey
-  LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-03-01'""")
+@query("market_left_join", sql.query("""SELECT c.symbol, CAST(c.trade_date AS VARCHAR) AS date, c.open_price, s.weight AS circulation_a, t.is_st, u.is_suspended FROM cells c LEFT JOIN (SELECT symbol, trade_date, weight FROM cells WHERE f3 > 100) s USING (symbol, trade_date)
+  LEFT JOIN (SELECT symbol, trade_date, is_st FROM cells WHERE is_st = 1) t USING (symbol, trade_date) LEFT JOIN (SELECT symbol, trade_date, is_suspended FROM cells WHERE is_suspended = 1) u USING (symbol, trade_date) WHERE c.trade_date >= DATE '1995-01-01' AND c.trade_date < DATE '1997-01-01'""", "cells"))
 def _(spark, d):
-    o = tables.read(spark, d, "orders").where((F.col("o_orderdate") >= "1995-01-01") & (F.col("o_orderdate") < "1995-03-01"))
-    j = o.join(tables.read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(tables.read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return j.select("o_orderkey", "o_custkey", "c_mktsegment", F.round("o_totalprice", 4).alias("amount"), "n_name")
+    rows = tables.cells(spark, d).withColumnRenamed("trade_date", "date")
+    four = {"ohlcv": rows.select("symbol", "date", "open_price"), "shares": rows.where("f3 > 100").withColumnRenamed("weight", "circulation_a"), "st": rows.where("is_st = 1"), "suspended": rows.where("is_suspended = 1")}
+    return market.joined(four.__getitem__, "1995-01-01", "1997-01-01", {x: x for x in four}).select("symbol", F.col("date").cast("string").alias("date"), "open_price", "circulation_a", "is_st", "is_suspended")
 
 
 @query("latest_version_scan", "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
@@ -91,10 +91,10 @@ def _(spark, d):
     return latest_versions(tables.read(spark, d, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value")
 
 
-@query("wide_to_long", """SELECT p_partkey, name, v FROM (SELECT p_partkey, p_size::DOUBLE AS size, p_retailprice AS price FROM part) UNPIVOT INCLUDE NULLS (v FOR name IN (size, price))""")
+@query("wide_to_long", sql.query("""SELECT trade_date, r_name AS symbol, round(v, 9) AS value FROM (SELECT DISTINCT trade_date FROM cells) CROSS JOIN (SELECT r_name FROM region) LEFT JOIN (SELECT trade_date, region AS r_name, avg(f1) AS v FROM cells JOIN who USING (symbol) GROUP BY 1, 2) USING (trade_date, r_name)""", "cells", "who"))
 def _(spark, d):
-    p = tables.read(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
-    return p.unpivot(["p_partkey"], ["size", "price"], "name", "v")
+    b = Bound(spark, d)
+    return rounded(factors.normalize(b.cells.join(b.who, "symbol").groupBy("trade_date").pivot("region", list(REGIONS)).agg(F.avg("f1"))))
 
 
 @query("book_mean_dedupe", "SELECT CAST(ts AS DATE) AS trade_date, CAST(user_id AS VARCHAR) AS symbol, event_type AS factor_id, round(avg(value), 9) AS value FROM events GROUP BY 1, 2, 3")
@@ -347,10 +347,10 @@ def _(spark, d):
 
 
 @query("exposure_summary", sql.query("SELECT 1", "legs", "risk").replace("\nSELECT 1", f""",\n{_STYLE_LEGS} SELECT m.leg AS leg, exposure, round(avg(m.v), 9) AS mean, round(stddev_samp(m.v), 9) AS std, round(avg(m.v) / nullif(stddev_samp(m.v), 0), 9) AS mean_over_std,
-  round(avg(m.v) / (nullif(stddev_samp(m.v), 0) / sqrt(count(m.v))), 9) AS t_stat, round(avg((m.v > 0)::INT), 9) AS positive_ratio, round(avg((m.v < 0)::INT), 9) AS negative_ratio, count(m.v) AS valid_days FROM six WHERE exposure <> 'balance' GROUP BY 1, 2"""))
+  round(avg(m.v) / (nullif(stddev_samp(m.v), 0) / sqrt(count(m.v))), 9) AS t_stat, round(avg((m.v > 0)::INT), 9) AS positive_ratio, round(avg((m.v < 0)::INT), 9) AS negative_ratio, count(m.v) AS valid_days FROM six GROUP BY 1, 2"""))
 def _(spark, d):
     b = Bound(spark, d)
-    return rounded(ts.summary(xs.group_style_exposure(b.factor, b.risk, STYLES[:2], GROUPS, LEAST, 1, GROUPS), ["leg", "exposure"], "value"))  # balances don't change: no spread to divide by
+    return rounded(ts.summary(xs.group_style_exposure(b.factor, b.risk, STYLES, GROUPS, LEAST, 1, GROUPS), ["leg", "exposure"], "value"))
 
 
 @query("group_exposure_industry", sql.query("SELECT 1", "legs", "risk").replace("\nSELECT 1", f""",
@@ -388,12 +388,64 @@ def _(spark, d):
     return rounded(neutral.neutralized_ic(b.factor, b.returns, b.risk, LABELS, ("size",), REGIONS, "pearson", LEAST), 8)
 
 
-@query("neutralized_ic")
+# three styles and industry dummies: demean by industry, then the normal equations by Cramer's rule
+_THREE = """dm AS (SELECT trade_date, symbol, f1 - avg(f1) OVER i AS y, size - avg(size) OVER i AS a, weight - avg(weight) OVER i AS b, balance - avg(balance) OVER i AS c, count(*) OVER (PARTITION BY trade_date) AS n FROM cells JOIN who USING (symbol) WINDOW i AS (PARTITION BY trade_date, region)),
+sm AS (SELECT *, sum(a * a) OVER d AS aa, sum(a * b) OVER d AS ab, sum(a * c) OVER d AS ac, sum(b * b) OVER d AS bb, sum(b * c) OVER d AS bc, sum(c * c) OVER d AS cc, sum(a * y) OVER d AS ay, sum(b * y) OVER d AS "by", sum(c * y) OVER d AS cy FROM dm WINDOW d AS (PARTITION BY trade_date)),
+dt AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM sm),
+resid AS (SELECT trade_date, symbol, CASE WHEN n >= 10 THEN y - a * (ay * (bb * cc - bc * bc) - ab * ("by" * cc - bc * cy) + ac * ("by" * bc - bb * cy)) / det - b * (aa * ("by" * cc - cy * bc) - ay * (ab * cc - bc * ac) + ac * (ab * cy - "by" * ac)) / det
+  - c * (aa * (bb * cy - "by" * bc) - ab * (ab * cy - "by" * ac) + ay * (ab * bc - bb * ac)) / det END AS value FROM dt)"""
+_RESIDUAL_IC = f"""{_THREE}, np AS (SELECT trade_date, r.horizon, e.value, r.ret FROM resid e JOIN returns r USING (trade_date, symbol) WHERE e.value IS NOT NULL AND r.ret IS NOT NULL),
+nr AS (SELECT trade_date, horizon, rank() OVER (PARTITION BY trade_date, horizon ORDER BY value)::DOUBLE AS x, rank() OVER (PARTITION BY trade_date, horizon ORDER BY ret) + (count(*) OVER (PARTITION BY trade_date, horizon, ret) - 1) / 2.0 AS z FROM np),
+nic AS (SELECT l.trade_date, l.horizon, round(c.ic, 9) AS ic, coalesce(c.k, 0) AS n FROM labels l LEFT JOIN (SELECT trade_date, horizon, count(*) AS k, CASE WHEN count(*) >= 10 THEN corr(x, z) END AS ic FROM nr GROUP BY 1, 2) c USING (trade_date, horizon))"""
+
+
+@query("neutralize_styles_industry", sql.query("SELECT 1", "cells", "who").replace("\nSELECT 1", f",\n{_THREE} SELECT trade_date, symbol, round(value, 8) AS value FROM resid"))
+def _(spark, d):
+    b = Bound(spark, d)
+    return rounded(neutral.neutralized(b.factor, b.risk, STYLES, REGIONS, LEAST), 8)
+
+
+@query("neutralized_ic", sql.query("SELECT 1", "returns", "who", "labels").replace("\nSELECT 1", f",\n{_RESIDUAL_IC} SELECT * FROM nic"))
 def _(spark, d):
     b = Bound(spark, d)
     return rounded(neutral.neutralized_ic(b.factor, b.returns, b.risk, LABELS, STYLES, REGIONS, "spearman", LEAST))
 
 
+# ---- with the product's own groups and horizons --------------------------------------------------------------------
+
+OWN_HORIZONS, OWN_LABELS, OWN_GROUPS = (1, 5, 10, 20), ("1d", "5d", "10d", "20d"), 10
+
+
+def _own(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Factor and returns."""
+    return tables.factor(tables.cells(spark, d)), panel.forward_returns(tables.cells(spark, d), OWN_HORIZONS)
+
+
+@query("product_forward_returns", sql.product("SELECT trade_date, symbol, horizon, round(ret, 9) AS ret FROM returns WHERE ret IS NOT NULL", "returns"))
+def _(spark, d):
+    return rounded(_own(spark, d)[1])
+
+
+@query("product_ic", sql.product("SELECT trade_date, horizon, round(ic, 9) AS ic, k AS n FROM ic", "ic"))
+def _(spark, d):
+    return rounded(xs.daily_ic(*_own(spark, d), OWN_LABELS, "spearman", LEAST))
+
+
+@query("product_groups", sql.product('SELECT trade_date, horizon, grp AS "group", round(group_return, 9) AS group_return FROM groups', "groups"))
+def _(spark, d):
+    return rounded(xs.group_returns(*_own(spark, d), OWN_GROUPS, LEAST))
+
+
+@query("product_long_short", sql.product("SELECT trade_date, horizon, round(spread, 9) AS spread FROM spread", "spread"))
+def _(spark, d):
+    return rounded(xs.long_short(xs.group_returns(*_own(spark, d), OWN_GROUPS, LEAST), 1, OWN_GROUPS))
+
+
+@query("product_turnover", sql.product("SELECT 1", "own", "cal").replace("\nSELECT 1", f""",\n{_TURNOVER.replace("range(1, 6)", "range(1, 11)")} SELECT trade_date, grp::INT AS "group", round(turnover, 9) AS turnover FROM turned"""))
+def _(spark, d):
+    return rounded(xs.turnover(tables.factor(tables.cells(spark, d)), OWN_GROUPS, LEAST))
+
+
 # ---- library -----------------------------------------------------------------------------------------------------
 
 
@@ -437,29 +489,37 @@ def _(spark, d):
     return rounded(diagnostics.regime_ic(b.ic(), days, ("first_half", "odd_year")))
 
 
-@query("minimal_summary")
+@query("observed_ic_t", sql.query("SELECT horizon, round(avg(ic), 9) AS mean, round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 9) AS t_stat, count(ic) AS n_obs FROM ic WHERE ic IS NOT NULL GROUP BY 1", "ic"))
 def _(spark, d):
-    from tessera.plans.api import minimal_row
-
     b = Bound(spark, d)
-    return minimal_row(b.factor, b.cells, None, HORIZONS, "f1", "all", LEAST, LEAST, 5)
+    return rounded(diagnostics.mean_t(diagnostics.observed_ic(b.factor, b.returns, LEAST), ["horizon"], "ic"))
 
 
-@query("pool_union_scan", sql.query("""SELECT pool, trade_date, horizon, round(ic, 9) AS ic FROM (SELECT 'all' AS pool, trade_date, horizon, ic FROM ic UNION ALL SELECT 'late', trade_date, horizon, ic FROM ic WHERE trade_date >= DATE '1996-01-01') WHERE trade_date < DATE '1997-01-01'""", "ic"))
+@query("trading_days", sql.query("SELECT min(trade_date) AS start, max(trade_date) AS end, count(DISTINCT trade_date) AS n FROM (SELECT trade_date FROM cells UNION ALL SELECT CAST(ts AS DATE) FROM events)", "cells"))
 def _(spark, d):
-    ic = Bound(spark, d).ic().drop("n")
-    late = ts.between(ic, "1996-01-01").withColumn("pool", F.lit("late"))
-    both = ic.withColumn("pool", F.lit("all")).unionByName(late)
-    return rounded(both.where(F.col("trade_date") < "1997-01-01").select("pool", "trade_date", "horizon", "ic"))
+    return diagnostics.trading_days([tables.cells(spark, d), tables.user_days(spark, d)])
+
+
+_SPANNED = """m AS (SELECT trade_date, symbol, f1 - avg(f1) OVER w AS y, {0} - avg({0}) OVER w AS x, f1, count(*) OVER w AS n FROM cells WINDOW w AS (PARTITION BY trade_date)),
+left_over AS (SELECT trade_date, symbol, CASE WHEN n >= 10 THEN y - x * sum(x * y) OVER w / sum(x * x) OVER w ELSE f1 END AS value FROM m WINDOW w AS (PARTITION BY trade_date))"""
+_NAMES = ("f2", "f3", "f4")
+
+
+@query("spanning_top_factors", sql.query("""SELECT 1 AS round, factor_id, round(avg(abs(rho)), 9) AS contribution, row_number() OVER (ORDER BY avg(abs(rho)) DESC, factor_id)::INT AS place FROM (SELECT trade_date, factor_id, CASE WHEN count(*) >= 10 AND min(a) < max(a) AND min(b) < max(b) THEN corr(a, b) END AS rho FROM (
+  SELECT trade_date, factor_id, rank() OVER (PARTITION BY trade_date, factor_id ORDER BY value) + (count(*) OVER (PARTITION BY trade_date, factor_id, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY trade_date, factor_id ORDER BY peer) + (count(*) OVER (PARTITION BY trade_date, factor_id, peer) - 1) / 2.0 AS b FROM peers) GROUP BY 1, 2) WHERE rho IS NOT NULL GROUP BY 2""", "peers"))
+def _(spark, d):
+    b = Bound(spark, d)
+    rounds, _ = diagnostics.spanning(b.factor, b.book, b.returns, 1, 1, LEAST, keep=lambda df: df)
+    rows = [(1, name, value, i) for i, (name, value) in enumerate(rounds[0]["most_like"], 1)]
+    return rounded(spark.createDataFrame(rows, "round int, factor_id string, contribution double, place int"))
 
 
 # ---- sources and views again, as a user meets them -----------------------------------------------------------------
 
 
-@query("membership_distinct", "SELECT DISTINCT CAST(l_shipdate AS DATE) AS trade_date, CAST(l_suppkey AS VARCHAR) AS symbol FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01'")
+@query("membership_distinct", "SELECT DISTINCT CAST(l_shipdate AS DATE) AS trade_date, CAST(l_suppkey AS VARCHAR) AS symbol FROM lineitem")
 def _(spark, d):
-    rows = tables.read(spark, d, "lineitem").where(F.col("l_shipdate") < "1995-06-01")
-    return rows.select(F.to_date("l_shipdate").alias("trade_date"), F.col("l_suppkey").cast("string").alias("symbol")).distinct()
+    return market.members(tables.read(spark, d, "lineitem").select(F.col("l_shipdate").alias("date"), F.col("l_suppkey").alias("asset")))
 
 
 @query("risk_one_hot", """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS trade_date, CAST(o_custkey AS VARCHAR) AS symbol, round(avg(o_totalprice), 4) AS size, max((o_orderstatus = 'F')::INT)::BIGINT + max((o_orderstatus = 'O')::INT) + max((o_orderstatus = 'P')::INT) AS memberships FROM orders GROUP BY 1, 2""")
@@ -471,11 +531,11 @@ def _(spark, d):
     return normalize_risk(raw, ("size",)).select("trade_date", "symbol", F.round("size", 4).alias("size"), F.size("industries").cast("long").alias("memberships"))
 
 
-@query("regime_flags", """SELECT DISTINCT CAST(o_orderdate AS DATE) AS trade_date, o_orderkey % 3 = 0 AS bull, o_orderkey % 2 = 1 AS bear FROM orders WHERE o_orderkey < 500""")
+@query("regime_flags", """SELECT DISTINCT CAST(o_orderdate AS DATE) AS trade_date, o_orderkey % 3 = 0 AS bull, o_orderkey % 2 = 1 AS bear FROM orders""")
 def _(spark, d):
     from tessera.sources.books import normalize_regimes
 
-    o = tables.read(spark, d, "orders").where("o_orderkey < 500")
+    o = tables.read(spark, d, "orders")
     raw = o.select(F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderkey") % 3 == 0, " Yes").otherwise("").alias("bull"), (F.col("o_orderkey") % 2).alias("bear"))
     return normalize_regimes(raw, ["bull", "bear"]).distinct()
 
@@ -503,12 +563,6 @@ def _(spark, d):
     return rounded(xs.turnover_edges(xs.turnover(tables.factor(tables.cells(spark, d)), GROUPS, LEAST), GROUPS))
 
 
-@query("yearly_mean_ic", sql.query("""SELECT year(trade_date)::INT AS year, round(avg(ic) FILTER (horizon = '1d'), 9) AS "1d", round(avg(ic) FILTER (horizon = '3d'), 9) AS "3d" FROM ic GROUP BY 1""", "ic"))
-def _(spark, d):
-    ic = Bound(spark, d).ic().withColumn("year", F.year("trade_date"))
-    return rounded(ic.groupBy("year").pivot("horizon", list(LABELS)).agg(F.avg("ic")))
-
-
 @query("entry_day_filter", sql.query("SELECT 1", "grid", "cells").replace("\nSELECT 1", f""",\n{_FLAGGED}, entry AS (SELECT g.trade_date, g.symbol, f.symbol IS NOT NULL AND {_VALID} AS valid FROM grid g LEFT JOIN cal n ON n.t = g.t + 1 LEFT JOIN flagged f ON f.trade_date = n.trade_date AND f.symbol = g.symbol)
 SELECT trade_date, count(*) AS pool_stock_count, count(*) FILTER (valid AND f1 IS NOT NULL) AS valid_factor_count, round(count(*) FILTER (valid AND f1 IS NOT NULL) / count(*), 9) AS coverage_ratio FROM entry LEFT JOIN cells USING (trade_date, symbol) GROUP BY 1"""))
 def _(spark, d):
@@ -518,3 +572,115 @@ def _(spark, d):
     b = Bound(spark, d)
     _, quality, _ = prepared(b.factor, panel.listed_days(b.cells), None, BacktestConfig(min_listed_days=12))
     return rounded(quality.select("trade_date", "pool_stock_count", "valid_factor_count", "coverage_ratio"))
+
+
+# ---- stored runs: everything below is read back from a published run ------------------------------------------------
+
+_RUNS: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str):
+    """A published run over the panel, made once an application, below the warehouse."""
+    from tessera.plans import api
+    from tessera.plans.config import BacktestConfig
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        b = Bound(spark, sf_dir)
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera-runs/{key[0]}"
+        config = BacktestConfig(
+            factor_name=f"panel-{len(_RUNS)}", output_root=root, horizons=HORIZONS, n_groups=GROUPS, min_ic_stocks=LEAST, min_group_stocks=LEAST, min_industry_ic_stocks=LEAST, tradability_filter=False, ic_methods=("spearman", "pearson"),
+            selected_pools=("all", "rich"), yearly_ic_min_days=10, group_return_windows={"1y": 12, "3y": 36}, styles=STYLES, verbose=False,
+        )
+        _RUNS[key] = api.run_factor_backtest_data(spark, b.factor, b.cells, config, pools={"rich": tables.pool(b.cells, b.who)}, risk=b.risk).run_dir
+    return api.LoadedBacktestResult(spark, _RUNS[key])
+
+
+def _stored_as(name: str, table: str, like: str, columns: str = "*", where: str = "true") -> None:
+    """A stored or derived table of the run, held against the SQL of a query that makes it from the panel."""
+
+    def read(spark, d):
+        found = stored(spark, d).read_table(table)
+        return rounded(found.where(where)) if columns == "*" else rounded(found.where(where).select(*columns.split(", ")))
+
+    shown = columns if columns == "*" else ", ".join(f'"{c}"' for c in columns.split(", "))
+    query(name, f"SELECT {shown} FROM ({_ORACLE[like]}) WHERE {where}")(read)
+
+
+_stored_as("run_data_quality", "data_quality", "dense_grid_quality")
+_stored_as("run_daily_ic", "daily_ic", "ic_spearman", "trade_date, horizon, ic")
+_stored_as("run_daily_ic_pearson", "daily_ic_pearson", "ic_pearson", "trade_date, horizon, ic")
+_stored_as("run_cumulative_ic", "cumulative_ic", "ic_cumulative")
+_stored_as("run_ic_stats", "ic_stats", "ic_stats_hac")
+_stored_as("run_ic_overview", "ic_overview", "ic_rolling20", where="horizon = '3d'")
+_stored_as("run_yearly_ic", "yearly_ic_stats", "ic_yearly")
+_stored_as("run_style_exposure", "factor_style_exposure_corr_spearman", "style_exposure_corr")
+_stored_as("run_style_exposure_summary", "factor_style_exposure_summary_spearman", "style_corr_summary")
+_stored_as("run_group_style_exposure", "group_style_exposure_daily", "group_exposure_style")
+_stored_as("run_group_industry_exposure", "group_industry_exposure_daily", "group_exposure_industry")
+_stored_as("run_group_exposure_summary", "group_style_exposure_summary", "exposure_summary")
+_stored_as("run_industry_neutralized_ic", "style_industry_neutralized_ic_spearman", "neutralized_ic", "trade_date, horizon, ic")
+_stored_as("run_group_returns", "daily_group_returns", "group_returns")
+_ORACLE["run_group_summary"] = sql.query('SELECT grp AS "group", horizon, round(avg(group_return), 9) AS mean_return FROM groups GROUP BY 1, 2', "groups")
+_stored_as("run_group_summary", "group_return_summary", "run_group_summary")
+_stored_as("run_group_curves", "group_cumulative_returns_3d", "group_cumulative", "trade_date, group, nav")
+_ORACLE["run_group_curves"] = _ORACLE["run_group_curves"].replace("WHERE true", "WHERE horizon = '3d'")
+_stored_as("run_within_industry", "within_industry_daily_group_returns", "within_industry_groups")
+_stored_as("run_layered", "layered_group_return_summary", "group_layered")
+_stored_as("run_long_short", "daily_long_short_returns", "long_short")
+_stored_as("run_daily_equivalent", "cumulative_daily_equivalent_long_short_returns", "long_short_daily_equiv", "trade_date, horizon, spread")
+_stored_as("run_turnover", "daily_group_turnover", "turnover")
+_stored_as("run_turnover_summary", "group_turnover_summary", "turnover_summary")
+_stored_as("run_performance", "performance_metrics", "performance")
+
+
+@query("yearly_mean_ic", sql.query("""SELECT year(trade_date)::INT AS year, CASE WHEN count(ic) FILTER (horizon = '1d') >= 10 THEN round(avg(ic) FILTER (horizon = '1d'), 9) END AS "1d", CASE WHEN count(ic) FILTER (horizon = '3d') >= 10 THEN round(avg(ic) FILTER (horizon = '3d'), 9) END AS "3d" FROM ic GROUP BY 1""", "ic"))
+def _(spark, d):
+    return rounded(stored(spark, d).read_table("yearly_mean_ic"))
+
+
+_RICH_IC = sql.query("SELECT 'rich' AS pool, trade_date, horizon, round(ic, 9) AS ic FROM ic", "who", "ic").replace("FROM cells c JOIN returns r", "FROM (SELECT * FROM cells SEMI JOIN (SELECT symbol FROM who WHERE balance > 0) USING (symbol)) c JOIN returns r")
+
+
+@query("pool_union_scan", f"""SELECT * FROM ({sql.query("SELECT 'all' AS pool, trade_date, horizon, round(ic, 9) AS ic FROM ic", "ic")}) UNION ALL SELECT * FROM ({_RICH_IC})""")
+def _(spark, d):
+    run = stored(spark, d)
+    parts = [run.read_table("daily_ic", p).select(F.lit(p).alias("pool"), "trade_date", "horizon", "ic") for p in run.available_pools]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
+@query("run_ic_view", _ORACLE["ic_view_range"])
+def _(spark, d):
+    return rounded(stored(spark, d).ic_view("all", start=START, end=END).curves)
+
+
+@query("run_group_view", _ORACLE["group_view_curves"])
+def _(spark, d):
+    return rounded(stored(spark, d).group_return_view("all", start=START, end=END).curves)
+
+
+@query("run_quality_view", f"SELECT trade_date, coverage_ratio, zero_ratio, nan_ratio, inf_ratio FROM ({_ORACLE['dense_grid_quality']}) WHERE trade_date BETWEEN DATE '{START}' AND DATE '{END}'")
+def _(spark, d):
+    return rounded(stored(spark, d).quality_view("all", START, END).ratios)
+
+
+_MINIMAL = ("ic_mean", "icir", "icir_raw"), {"ic_t_stat": "t_stat", "ic_t_stat_hac": "t_stat_hac"}, {"long_short_mean": "mean", "long_short_sharpe": "sharpe", "long_short_t_stat": "t_stat", "long_short_mean_over_std_raw": "mean_over_std_raw", "long_short_t_stat_hac": "t_stat_hac"}
+@query("minimal_summary")
+def _(spark, d):
+    from tessera.plans.api import minimal_row
+
+    b = Bound(spark, d)
+    return rounded(minimal_row(b.factor, b.cells, None, HORIZONS, "f1", "all", LEAST, LEAST, 5))
+
+
+def _minimal_sql() -> str:
+    parts = []
+    for x in LABELS:
+        ic = {**{n: n for n in _MINIMAL[0]}, **_MINIMAL[1]}
+        parts.append(f"""(SELECT {", ".join(f'{c} AS "{n}_{x}"' for n, c in ic.items())} FROM ({_ORACLE["ic_stats_hac"]}) WHERE horizon = '{x}')""")
+        parts.append(f"""(SELECT {", ".join(f'{c} AS "{n}_{x}"' for n, c in _MINIMAL[2].items())} FROM ({_ORACLE["performance"]}) WHERE series = 'long_short_{x}')""")
+    head = f"(SELECT min(trade_date) AS start_date, max(trade_date) AS end_date, round(avg(coverage_ratio), 9) AS coverage_mean, round(avg(valid_factor_count), 9) AS valid_factor_count_mean FROM ({_ORACLE['dense_grid_quality']}))"
+    return f"SELECT 'f1' AS factor_name, 'all' AS pool, * FROM {', '.join([head, *parts])}"
+
+
+_ORACLE["minimal_summary"] = _minimal_sql()

@@ -33,6 +33,8 @@ class Context:
     risk: DataFrame | None = None
     styles: Sequence[str] = ()
     industries: Sequence[str] = ()
+    #: what a section makes others of; a run writes it there and then, and gives back the written table
+    keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df
 
     @property
     def spread(self) -> DataFrame:
@@ -108,15 +110,15 @@ def yearly_ic(c: Context):
 def factor_style_exposure(c: Context):
     out = {}
     for m in c.ic:
-        corr = xs.style_corr(c.factor, c.risk, c.styles, m, c.config.min_ic_stocks)
+        corr = c.keep(f"factor_style_exposure_corr_{m}", xs.style_corr(c.factor, c.risk, c.styles, m, c.config.min_ic_stocks))
         out |= {f"factor_style_exposure_corr_{m}": corr, f"factor_style_exposure_summary_{m}": ts.summary(corr, ["style"], "corr")}
     return out
 
 
 def _neutralized(c: Context, name: str, industries: Sequence[str]):
-    out, residual = {}, neutral.neutralized(c.factor, c.risk, c.styles, industries, c.config.min_ic_stocks)
+    out, residual = {}, c.keep(f"{name}_residual", neutral.neutralized(c.factor, c.risk, c.styles, industries, c.config.min_ic_stocks))
     for m in c.ic:
-        daily = xs.daily_ic(residual, c.returns, c.labels, m, c.config.min_ic_stocks).select("trade_date", "horizon", "ic")
+        daily = c.keep(f"{name}_ic_{m}", xs.daily_ic(residual, c.returns, c.labels, m, c.config.min_ic_stocks).select("trade_date", "horizon", "ic"))
         out |= {f"{name}_ic_{m}": daily, f"cumulative_{name}_ic_{m}": ts.cumulative(daily, "ic"), f"{name}_ic_stats_{m}": ts.ic_stats(daily, c.days)}
     return out | ({f"{name}_factor": residual} if c.config.write_neutralized_factors else {})
 
@@ -134,8 +136,8 @@ def style_industry_neutralized_ic(c: Context):
 @section("group_exposure_diagnostics", needs_risk=True)
 def group_exposure(c: Context):
     g = c.config.n_groups
-    style = xs.group_style_exposure(c.factor, c.risk, c.styles, g, c.config.min_group_stocks, 1, g)
-    industry = xs.group_industry_exposure(c.factor, c.risk, c.industries, g, c.config.min_group_stocks, 1, g)
+    style = c.keep("group_style_exposure_daily", xs.group_style_exposure(c.factor, c.risk, c.styles, g, c.config.min_group_stocks, 1, g))
+    industry = c.keep("group_industry_exposure_daily", xs.group_industry_exposure(c.factor, c.risk, c.industries, g, c.config.min_group_stocks, 1, g))
     return {
         "group_style_exposure_daily": style, "group_style_exposure_summary": ts.summary(style, ["leg", "exposure"], "value"),
         "group_industry_exposure_daily": industry, "group_industry_exposure_summary": ts.summary(industry, ["leg", "industry"], "value"),
@@ -158,7 +160,7 @@ def group_return(c: Context):
 
 @section("within_industry_group_return", needs_risk=True)
 def within_industry(c: Context):
-    g = xs.within_industry_group_returns(c.factor, c.returns, c.risk, c.config.n_groups, c.config.min_industry_ic_stocks)
+    g = c.keep("within_industry_daily_group_returns", xs.within_industry_group_returns(c.factor, c.returns, c.risk, c.config.n_groups, c.config.min_industry_ic_stocks))
     curves, warnings = curves_of(g, c.factor, c.days, "within_industry_group_cumulative_returns")
     return {"within_industry_daily_group_returns": g, "within_industry_group_return_summary": ts.group_summary(g)} | curves, warnings
 
@@ -179,7 +181,7 @@ def long_short(c: Context):
 
 @section("group_turnover")
 def group_turnover(c: Context):
-    daily = xs.turnover(c.factor, c.config.n_groups, c.config.min_group_stocks)
+    daily = c.keep("daily_group_membership_change", xs.turnover(c.factor, c.config.n_groups, c.config.min_group_stocks))
     edges = xs.turnover_edges(daily, c.config.n_groups)
     own = daily.where(F.col("group").isin(1, c.config.n_groups)).withColumn("group", F.concat(F.lit("G"), "group"))
     return {

@@ -40,7 +40,7 @@ def bucket(groups: int = 5) -> str:
     return "(1 + " + " + ".join(f"CASE WHEN ({edge(f'{q!r}::DOUBLE')}) < r THEN 1 ELSE 0 END" for q in quantile_points(groups)) + ")"
 
 
-def query(body: str, *names: str) -> str:
+def query(body: str, *names: str, groups: int = 5) -> str:
     """body with the named blocks, and those that they need, before it."""
     order: list[str] = []
 
@@ -52,10 +52,16 @@ def query(body: str, *names: str) -> str:
 
     for name in names:
         add(name)
-    text = ",\n".join(f"{n} AS ({CTES[n][1].replace('{bucket}', bucket())})" for n in order)
+    text = ",\n".join(f"{n} AS ({CTES[n][1].replace('{bucket}', bucket(groups))})" for n in order)
     return f"WITH {text}\n{body}"
 
 
+def product(body: str, *names: str) -> str:
+    """As query(), with the product's own ten groups and horizons of 1, 5, 10 and 20."""
+    text = query(body, *names, groups=10)
+    return text.replace("('1d', 1), ('3d', 3)", "('1d', 1), ('5d', 5), ('10d', 10), ('20d', 20)").replace("grp = 5 THEN", "grp = 10 THEN")
+
+
 def hac(series: str, keys: str, value: str, days: str) -> str:
     """Blocks of a t of the mean with autocovariances, from a block `series` with trade_date: hac(keys, t_hac, lag)."""
     on = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))

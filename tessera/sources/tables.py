@@ -5,6 +5,7 @@ Each is one aggregate of its fact table, with the columns that it needs and no o
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: The panels held, by application and folder.
+_HELD: dict[tuple[str, str], DataFrame] = {}
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel of monthly cells, aggregated from its fact table once an application and held on the executors."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _HELD:
+        _HELD[key] = monthly_cells(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return _HELD[key]
+
+
+def monthly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trade_date (month), symbol (supplier), prices, candidate factors f1..f4, styles size and weight, flags."""
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     price, n = F.sum("l_extendedprice") / F.sum("l_quantity"), F.count("*")
