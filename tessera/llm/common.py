@@ -26,9 +26,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on one machine alone, as in tests, our own."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         app = spark.sparkContext.applicationId
         given = _OWN[app] = _OWN.get(app) or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
     return given.rstrip("/")

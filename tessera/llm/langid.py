@@ -94,18 +94,20 @@ def profile(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h.astype(np.int32), (c / max(c.sum(), 1)).astype(np.float32)
 
 
-def machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear support vector machine (squared hinge); y: -1 or 1. Dual coordinate descent."""
-    w, b, alpha = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(len(x))
+def machine(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear support vector machine (squared hinge); y: -1 or 1. Dual coordinate descent.
+
+    x: of each row its columns and their values; all others are zero."""
+    w, b, alpha = np.zeros(1 << BITS, np.float32), 0.0, np.zeros(len(x))
     cost = COST * np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y < 0).mean())
-    diag = np.einsum("ij,ij->i", x, x) + 1 + 0.5 / cost
+    diag = np.array([float(v @ v) for _, v in x]) + 1 + 0.5 / cost
     dice = np.random.default_rng(0)
     for _ in range(PASSES):
         for i in dice.permutation(len(x)):
-            step = max(alpha[i] - (y[i] * (float(x[i] @ w) + b) - 1 + alpha[i] * 0.5 / cost[i]) / diag[i], 0.0) - alpha[i]
+            step = max(alpha[i] - (y[i] * (float(x[i][1] @ w[x[i][0]]) + b) - 1 + alpha[i] * 0.5 / cost[i]) / diag[i], 0.0) - alpha[i]
             if step:
                 alpha[i] += step
-                w += np.float32(step * y[i]) * x[i]
+                w[x[i][0]] += np.float32(step * y[i]) * x[i][1]
                 b += step * y[i]
     return w, b
 
@@ -161,9 +163,7 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     named = [FAMILY_OF.get(lang.lower().split("-")[0].split("_")[0], lang) for lang in languages]
     families = [[i for i, f in enumerate(named) if f == family] for family in sorted(set(named))]
     family_of = {i: f for f, members in enumerate(families) for i in members}
-    x = np.zeros((len(samples), 1 << BITS), np.float32)
-    for row, (_, h, share) in zip(x, samples, strict=True):
-        row[h] = SCALE * share
+    x = [(h, SCALE * share) for _, h, share in samples]
     y = np.array([languages.index(lang) for lang, _, _ in samples], np.int64)
     z = np.array([family_of[i] for i in y], np.int64)
     pairs, tables, bias = [], [], []
@@ -171,7 +171,7 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     plan += [(f, i, j, y, m[i], m[j]) for f, m in enumerate(families) for i in range(len(m)) for j in range(i + 1, len(m))]
     for level, a, b, of, first, second in plan:
         rows = np.flatnonzero((of == first) | (of == second))
-        w, c = machine(x[rows], np.where(of[rows] == first, 1, -1))
+        w, c = machine([x[i] for i in rows], np.where(of[rows] == first, 1, -1))
         pairs.append((level, a, b))
         tables.append(w)
         bias.append(c)
@@ -201,7 +201,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 ["id", "lang", "hashes", "shares"],
             )
 
-    taken = common.bounded(rows).join(sample, ["id", "lang"]).select("id", "lang", "text")
+    taken = common.bounded(rows).join(sample, ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))  # one text an id
     got = sorted(taken.mapInArrow(measure, "id long, lang string, hashes binary, shares binary").collect(), key=lambda r: (r["lang"], r["id"], bytes(r["hashes"])))
     samples = [(r["lang"], np.frombuffer(r["hashes"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in got]
     return fit([s for s in samples if len(s[1])])

@@ -11,7 +11,7 @@ line of each stays bad), and the field is fitted again. Only the text is an inpu
 
 Defined results: a text without words (null, empty, blank) has no chain and gets the training share of label 1
 among such texts, smoothed; with no usable labels every score is 0.5; a label given twice counts as its smaller
-one; rows with equal or null ids are scored one by one (a null id hashes as empty text). No text is cut.
+one; of labelled rows with equal ids one teaches; rows with equal or null ids are scored one by one (a null id hashes as empty text). No text is cut.
 """
 
 from __future__ import annotations
@@ -246,7 +246,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = [r for q in (0, 1) for r in known.where(F.col("quality") == q).orderBy(order, "id").limit(each).collect()]
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame([(r["id"], r["quality"]) for r in sample], "id long, quality int"))  # 2 * each rows
-    rows = common.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("quality", "text")
+    rows = common.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    rows = rows.groupBy("id", "quality").agg(F.min("text").alias("text")).select("quality", "text")  # of rows with one id, the first text
     got = rows.mapInArrow(_measured, "quality int, features binary, lengths binary").collect()
     got.sort(key=lambda r: (r["quality"], len(r["features"]), bytes(r["features"])))
     features = [np.frombuffer(r["features"], np.float32).reshape(-1, OWN) for r in got]

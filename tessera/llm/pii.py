@@ -26,6 +26,7 @@ from tessera.llm import common
 KINDS = ("email", "ip", "card", "phone")
 SURE = 0.9
 BEFORE = 24  # characters of context
+PART = 256  # items of an array that grow together
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: The fixed patterns. A match may begin at the end of the last one or where a run begins.
@@ -50,24 +51,38 @@ TAKEN = "array<struct<start:int,kind:int,end:int>>"
 VOTES = ("shape", "gazetteer", "context", "edges")
 
 
+def once(value: Column, make) -> Column:
+    """make(value), with the value worked out once however often make names it."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
 def before(items: Column, move) -> Column:
-    """Where a position that starts at 0, and that each item moves on, stands before each item: an array of int."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    """Where a position that starts at 0, and that each item moves on, stands before each item: an array of int.
+
+    An array grows by copying, so many items are gone through in parts of PART: first the position before each part.
+    """
+    start = lambda at: F.struct(at.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
     merge = lambda a, x: F.struct(move(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
-    return F.aggregate(items, start, merge, lambda a: a["out"])
+    plain = lambda part, at: F.aggregate(part, start(at), merge, lambda a: a["out"])
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PART).cast("int")), lambda k: F.slice(x, k * PART + 1, F.lit(PART)))
+    over = lambda at, part: F.aggregate(part, at, move)
+    step = lambda a, part: F.struct(over(a["at"], part).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    firsts = lambda parts: F.aggregate(parts, start(F.lit(0)), step, lambda a: a["out"])
+    many = lambda x: once(cut(x), lambda parts: F.flatten(F.zip_with(parts, firsts(parts), plain)))
+    return once(items, lambda x: F.when(F.size(x) <= PART, plain(x, F.lit(0))).otherwise(many(x)))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """start, end (exclusive) and text of each match, left to right: gaps and matches are measured in turn."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    at = before(pairs, lambda at, x: at + x["g"] + F.coalesce(F.length(x["m"]), F.lit(0)))
+    past = lambda at, x: at + x["g"] + F.coalesce(F.length(x["m"]), F.lit(0))
 
     def span(x: Column, at: Column) -> Column:
         first = at + x["g"]
         return F.struct(first.alias("start"), (first + F.length(x["m"])).alias("end"), x["m"].alias("m"))
 
-    return F.filter(F.zip_with(pairs, at, span), lambda s: s["m"].isNotNull())
+    return F.filter(once(pairs, lambda p: F.zip_with(p, before(p, past), span)), lambda s: s["m"].isNotNull())
 
 
 def digits(m: Column) -> Column:
@@ -155,6 +170,12 @@ def searched(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame
     rows = rows.withColumn("base", F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS])))
     loose = {"email": F.col("_mail"), "ip": F.col("_digit") | text.contains(":"), "card": F.col("_digit"), "phone": F.col("_digit")}
     rows = rows.withColumns({f"_{k}": F.when(loose[k], matches(text, LOOSE[k])).otherwise(none) for k in KINDS})
+    # most are base spans, and known as such by a set of places; only others are held against every base span
+    place = lambda s: s["start"].cast("long") * (1 << 32) + s["end"]
+    rows = rows.withColumn("_taken", F.transform("base", place))
+    rows = rows.withColumns({f"_new_{k}": F.array_except(F.transform(f"_{k}", place), "_taken") for k in KINDS})
+    new = lambda k: lambda s: F.array_contains(f"_new_{k}", place(s))
+    rows = rows.withColumns({f"_{k}": F.when(F.size(f"_new_{k}") > 0, F.filter(f"_{k}", new(k))).otherwise(none) for k in KINDS})
     free = lambda s: ~F.exists(F.col("base"), lambda b: overlaps(s, b))
     rows = rows.withColumns({f"_{k}": F.filter(f"_{k}", free) for k in KINDS})
     said = lambda k: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), votes(k, text, s).alias("v"))

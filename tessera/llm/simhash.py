@@ -117,8 +117,10 @@ def _near(a: str, b: str):
 
 def links(distinct: DataFrame) -> DataFrame:
     """u, v: links that connect the fingerprints of ``fp`` as all pairs at MOST_BITS or fewer would."""
-    crowd = F.count("*").over(Window.partitionBy("cell"))
-    cells = common.written(distinct.mapInArrow(_cells, "cell long, fp long").withColumn("n", crowd).where("n > 1"), "simhash-cells")
+    every = common.written(distinct.mapInArrow(_cells, "cell long, fp long"), "simhash-every")
+    crowds = every.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")  # counted before they are dealt out: no cell is ever whole in a task
+    cells = common.written(every.join(crowds.hint("merge"), "cell"), "simhash-cells")
+    common.discard(every)
     few = cells.where(F.col("n") <= DENSE_CELL).select("cell", "fp")
     plain = few.select("cell", F.col("fp").alias("u")).join(few.select("cell", F.col("fp").alias("v")), "cell").where(F.col("u") < F.col("v")).where(_near("u", "v"))
     found = plain.select("u", "v").distinct()
