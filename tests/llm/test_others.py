@@ -68,6 +68,55 @@ def test_certified_cutoffs_hold_the_risk():
     assert not quality_rules.certified({("en", rule.name): few})
 
 
+def rule_documents():
+    """Two strata in which every rule tells good documents from bad ones, and one with too few labels."""
+    rng = random.Random(8)
+    rows, labels = [], []
+
+    def plain(n):
+        return [f"{rng.choice('bcdfgh')}{rng.randrange(10**5)}" for _ in range(n)]
+
+    def bad(kind):
+        w = plain(90)
+        if kind == 0:
+            return " ".join(x + "##$$" * 2 for x in w)
+        if kind == 1:
+            lines = [" ".join(w[i : i + 3]) for i in range(0, 90, 3)]
+            return "\n".join(lines + [" ".join(w[:1])] * 25)
+        if kind == 2:
+            return " ".join(w + w[:30])
+        return " ".join(x * 3 for x in w)
+
+    for lang, n in (("en", 1500), ("de", 1500), ("fr", 40), (None, 40)):
+        for i in range(n):
+            k, quality = len(rows) + 1, int(i % 5 > 0)
+            rows.append((k, " ".join(plain(90)) if quality else bad(i // 5 % 4), lang))
+            if i % 10 < 9:
+                labels.append((k, quality))
+    return rows, labels
+
+
+def test_rules_certify_and_reject(spark, tmp_path):
+    rows, labels = rule_documents()
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string, source string").repartition(4)
+    labelled = spark.createDataFrame([(*x, 0) for x in labels], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labelled.write.parquet(f"{tmp_path}/labels.parquet")
+    measured = quality_rules.statistics(docs, "doc_id", "text", "lang")
+    chosen = quality_rules.certified(quality_rules.label_counts(measured, labelled))
+    assert {s for s, _ in chosen} == {"en", "de"} and {r for _, r in chosen} == {r.name for r in quality_rules.RULES}
+    found = quality_rules.op1_quality_rules(spark, str(tmp_path))
+    kept = {r.doc_id: r.kept for r in found.collect()}
+    quality = {k: int(i) for k, i in labels}
+    assert sum(not kept[k] for k, q in quality.items() if q == 0) > 400 and sum(kept[k] for k, q in quality.items() if q == 1) > 0.9 * sum(quality.values())
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = c.execute(quality_rules.OP1_SQL)
+    names = [x[0] for x in want.description]
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in found.select(*names).collect())
+
+
 # ---- archives
 
 
@@ -299,6 +348,69 @@ def test_language_edges(spark):
     assert langid.identify(docs.limit(0), nothing).count() == 0
 
 
+def plain_prediction(model, text):
+    """One text's language and score, n-gram by n-gram and vote by vote."""
+    import unicodedata
+
+    chars, out = list(text or ""), []
+    is_letter = lambda c: unicodedata.category(c)[0] == "L"
+    if not any(map(is_letter, chars)):
+        return "und", 0.0
+    low = [(c.lower() if len(c.lower()) == 1 else c) if is_letter(c) else " " for c in [" ", *chars, " "]]
+    for i, c in enumerate(low):  # of a run of blanks those beside a letter stay
+        if c != " " or (i and low[i - 1] != " ") or (i + 1 < len(low) and low[i + 1] != " "):
+            out.append(ord(c))
+    weights, total = [0.0] * len(model.pairs), 0
+    for n in langid.SIZES:
+        for i in range(len(out) - n + 1):
+            h = n
+            for x in out[i : i + n]:
+                h = ((h ^ x) * 0x9E3779B1) & 0xFFFFFFFF
+                h ^= h >> 15
+            h = ((h * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - langid.BITS)
+            total += 1
+            for j, table in enumerate(model.tables):
+                weights[j] += float(table[h])
+    margins = [langid.SCALE * w / total + float(b) for w, b in zip(weights, model.bias, strict=True)]
+
+    def winner(level, classes):
+        votes, sums, least = [0] * classes, [0.0] * classes, [math.inf] * classes
+        for (own, a, b), m in zip(model.pairs, margins, strict=True):
+            if own == level:
+                for c, side in ((a, m), (b, -m)):
+                    votes[c] += side > 0
+                    sums[c] += side
+                    least[c] = min(least[c], side)
+        best = max(range(classes), key=lambda c: (votes[c] + 0.4 * math.tanh(sums[c]), -c))
+        return best, 1 / (1 + math.exp(-3 * min(max(least[best], -20), 20)))
+
+    family, sure = winner(-1, len(model.families))
+    inner, more = winner(family, len(model.families[family]))
+    return model.languages[model.families[family][inner]], sure * more
+
+
+def test_language_is_that_of_a_plain_reading(spark):
+    rng = random.Random(6)
+    words = {"en": "the of and water house going", "de": "der und Wasser Häuser gehen nicht", "nl": "het van en water huizen gaan", "es": "el agua casas yendo señor", "it": "il acqua case andando città", "ru": "вода дом идти и не"}
+    rows = [(i, " ".join(rng.choice(words[lang].split()) for _ in range(12)), lang, "x") for i, lang in enumerate(rng.choice(list(words)) for _ in range(400))]
+    rows += [(1000, None, "en", "x"), (1001, "", None, "x"), (1002, "12 -- 34", "de", "x"), (1003, "DER  Water, İ 12 señor!" * 3, None, "x"), (1004, "water " * 30_000, None, "x"), (None, "agua", "es", "x"), (7, "и вода", "ru", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string").repartition(3)
+    model = langid.learn(docs)
+    assert model.languages == sorted(words) and max(map(len, model.families)) >= 2
+    got = sorted((str(r["id"]), r["lang_pred"], r["score"]) for r in langid.identify(docs, model).collect())
+    want = sorted((str(k), *plain_prediction(model, t)) for k, t, _, _ in rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-5)
+    held = [(g[1], lang) for g, (k, t, lang, _) in zip(sorted(got), sorted(rows, key=lambda r: str(r[0])), strict=True) if k is not None and k < 400 and crc(k) % 5 == 0]
+    assert sum(a == b for a, b in held) > 0.9 * len(held) > 30
+
+
+def test_votes_that_tie_go_to_margins_then_the_first():
+    model = langid.Model(["a", "b", "c"], [[0, 1, 2]], [(0, 0, 1), (0, 1, 2), (0, 0, 2)], np.zeros((3, 4), np.float32), np.zeros(3))
+    margins = np.array([[1.0, 0.0], [2.0, 0.0], [-0.5, 0.0]])  # a beats b beats c beats a; no votes at all
+    best, _ = model.winner(margins, 0, 3)
+    assert best.tolist() == [1, 0]
+
+
 # ---- mixing
 
 
