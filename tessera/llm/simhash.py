@@ -117,16 +117,15 @@ def _near(a: str, b: str):
 
 def links(distinct: DataFrame) -> DataFrame:
     """u, v: links that connect the fingerprints of ``fp`` as all pairs at MOST_BITS or fewer would."""
-    every = common.written(distinct.mapInArrow(_cells, "cell long, fp long"), "simhash-every")
-    crowds = every.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")  # counted before they are dealt out: no cell is ever whole in a task
-    cells = common.written(every.join(crowds.hint("merge"), "cell"), "simhash-cells")
-    common.discard(every)
-    few = cells.where(F.col("n") <= DENSE_CELL).select("cell", "fp")
+    cells = common.written(distinct.mapInArrow(_cells, "cell long, fp long"), "simhash-cells")
+    # counted in two steps, so that no cell is whole in a task; a row for each dense cell
+    dense = common.written(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > DENSE_CELL), "simhash-dense-cells")
+    few = cells.join(dense.hint("merge"), "cell", "left_anti")
     plain = few.select("cell", F.col("fp").alias("u")).join(few.select("cell", F.col("fp").alias("v")), "cell").where(F.col("u") < F.col("v")).where(_near("u", "v"))
     found = plain.select("u", "v").distinct()
-    many = cells.where(F.col("n") > DENSE_CELL).select("cell", "fp")
-    if not many.head(1):
+    if not dense.head(1):
         return found
+    many = cells.join(dense.hint("merge"), "cell", "left_semi")
     crowded = many.select("fp").distinct()
     balls = crowded.mapInArrow(_balls, "centre long, fp long")
     least = balls.groupBy("centre").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").select("centre", "v")
