@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.ship import ship
 
 #: Bytes of Arrow data that a Python worker gets at once; a longer single row still comes whole.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 ROWS_AT_ONCE = 2000
 #: For rows of megabytes: pages and row groups are closed by size after every row, and not only after a hundred.
 LONG_ROWS = {f"parquet.{kind}.row.check.{end}": "1" for kind in ("page.size", "block.size") for end in ("min", "max")} | {"parquet.block.size": str(16 << 20)}
