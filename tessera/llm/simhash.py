@@ -37,6 +37,9 @@ SHINGLE_WORDS, MOST_BITS, SEED = 4, 4, 42
 SET_WORDS, HASH_BITS, COMMON_HELD, SLOTS = 5, 58, 200_000, 1 << 22
 #: Fingerprints in a cell beyond which it is taken for dense; either way is exact.
 DENSE_CELL = 64
+#: A half's count vector that so many fingerprints share makes every cell within 1 of it crowded, without the cell being
+#: counted; or so many that there are at most CROWDED such vectors. Either way is exact; the rest of a cell is bounded.
+CROWD, CROWDED = 1000, 50_000
 #: Rounds in which a shingle's sets are compared with one of them alone.
 STARS = 2
 HALF_ONES = 0x5555555555555555
@@ -79,28 +82,57 @@ def segment_counts(fp: np.ndarray) -> np.ndarray:
     return fp - ((fp >> np.uint64(1)) & np.uint64(HALF_ONES))
 
 
-def half_cells(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, row) of the grid cells within 1 of each half of the count vectors; bit 40 tells the halves apart."""
+def half_codes(counts: np.ndarray) -> list[np.ndarray]:
+    """The grid cells that both halves of the count vectors lie in; bit 40 tells the halves apart."""
+    return [(counts >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF) | np.uint64(half << 40) for half in (0, 1)]
+
+
+def within_one(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, row) of the grid cells within 1 of half count vectors."""
     places = np.uint64(2) * np.arange(16, dtype=np.uint64)
-    cells, rows = [], []
-    for half in (0, 1):
-        code = (counts >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-        mark = np.uint64(half << 40)
-        each = (code[:, None] >> places) & np.uint64(3)
-        cells.append(code | mark)
-        rows.append(np.arange(len(code)))
-        for step, ok in ((np.uint64(1), each < 2), (np.uint64(2**64 - 1), each > 0)):
-            r, s = np.nonzero(ok)
-            cells.append((code[r] + (step << places[s])) | mark)
-            rows.append(r)
+    each = (code[:, None] >> places) & np.uint64(3)
+    cells, rows = [code], [np.arange(len(code))]
+    for step, ok in ((np.uint64(1), each < 2), (np.uint64(2**64 - 1), each > 0)):
+        r, s = np.nonzero(ok)
+        cells.append(code[r] + (step << places[s]))
+        rows.append(r)
     return np.concatenate(cells), np.concatenate(rows)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def half_cells(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, row) of the grid cells within 1 of each half of the count vectors."""
+    low, high = map(within_one, half_codes(counts))
+    return np.concatenate([low[0], high[0]]), np.concatenate([low[1], high[1]])
+
+
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.chunks(batches, 4096):
         fp = batch.column("fp").to_numpy(zero_copy_only=False)
-        cells, rows = half_cells(segment_counts(fp.view(np.uint64)))
-        yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64)), pa.array(fp[rows])], ["cell", "fp"])
+        codes = np.concatenate(half_codes(segment_counts(fp.view(np.uint64))))
+        yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64))], ["code"])
+
+
+def crowded_cells(distinct: DataFrame) -> np.ndarray:
+    """Sorted: the cells within 1 of a half count vector that very many fingerprints share, 33 at most for each of
+    fewer than CROWDED vectors. Any other cell has at most 33 times as many fingerprints as make a crowd."""
+    crowd = max(CROWD, 2 * distinct.count() // CROWDED)
+    shared = distinct.mapInArrow(_codes, "code long").groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    codes = shared.select("code").toArrow().column("code").to_numpy().astype(np.int64).view(np.uint64)
+    return np.unique(within_one(codes)[0])
+
+
+def _cells(distinct: DataFrame, crowded: np.ndarray, wanted: bool) -> DataFrame:
+    """cell, fp: every fingerprint in its cells, those that are crowded or those that aren't."""
+    known = distinct.sparkSession.sparkContext.broadcast(crowded)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.chunks(batches, 4096):
+            fp = batch.column("fp").to_numpy(zero_copy_only=False)
+            cells, rows = half_cells(segment_counts(fp.view(np.uint64)))
+            own = np.isin(cells, known.value) == wanted
+            yield pa.RecordBatch.from_arrays([pa.array(cells[own].view(np.int64)), pa.array(fp[rows[own]])], ["cell", "fp"])
+
+    return distinct.mapInArrow(work, "cell long, fp long")
 
 
 def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,16 +149,18 @@ def _near(a: str, b: str):
 
 def links(distinct: DataFrame) -> DataFrame:
     """u, v: links that connect the fingerprints of ``fp`` as all pairs at MOST_BITS or fewer would."""
-    crowd = F.count("*").over(Window.partitionBy("cell"))
-    cells = common.written(distinct.mapInArrow(_cells, "cell long, fp long").withColumn("n", crowd).where("n > 1"), "simhash-cells")
+    crowded = crowded_cells(distinct)
+    in_cell = F.count("*").over(Window.partitionBy("cell"))
+    cells = common.written(_cells(distinct, crowded, False).withColumn("n", in_cell).where("n > 1"), "simhash-cells")
     few = cells.where(F.col("n") <= DENSE_CELL).select("cell", "fp")
     plain = few.select("cell", F.col("fp").alias("u")).join(few.select("cell", F.col("fp").alias("v")), "cell").where(F.col("u") < F.col("v")).where(_near("u", "v"))
     found = plain.select("u", "v").distinct()
     many = cells.where(F.col("n") > DENSE_CELL).select("cell", "fp")
+    if len(crowded):
+        many = common.written(many.union(_cells(distinct, crowded, True)), "simhash-many")
     if not many.head(1):
         return found
-    crowded = many.select("fp").distinct()
-    balls = crowded.mapInArrow(_balls, "centre long, fp long")
+    balls = many.select("fp").distinct().mapInArrow(_balls, "centre long, fp long")
     least = balls.groupBy("centre").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").select("centre", "v")
     stars = common.written(balls.join(least, "centre").select(F.col("fp").alias("u"), "v").where("u <> v").distinct(), "simhash-stars")
     group = components(stars).withColumnRenamed("node", "fp")

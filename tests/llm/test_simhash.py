@@ -52,9 +52,10 @@ def test_whole_table_matches_all_pairs(spark):
     assert got == {k: (f"{fp:016x}", c) for (k, fp), c in zip(rows, slow_components(rows), strict=True)}
 
 
-@pytest.mark.parametrize("dense", [2, 64])
-def test_links_lose_nothing(spark, monkeypatch, dense):
+@pytest.mark.parametrize("dense, crowd", [(2, 1000), (64, 1000), (64, 2), (2, 5)])
+def test_links_lose_nothing(spark, monkeypatch, dense, crowd):
     monkeypatch.setattr(simhash, "DENSE_CELL", dense)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = np.random.default_rng(dense)
     centres = rng.integers(0, 2**63, 12, dtype=np.uint64)
     made = {int(c) for c in centres}
@@ -62,12 +63,36 @@ def test_links_lose_nothing(spark, monkeypatch, dense):
         for _ in range(40):
             made.add(int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 6), replace=False)))
     rows = [(int(np.uint64(x).view(np.int64)),) for x in sorted(made)]
+    assert bool(len(simhash.crowded_cells(spark.createDataFrame(rows, "fp long")))) == (crowd < 1000)
     found = components.components(simhash.links(spark.createDataFrame(rows, "fp long")))
     roots = {r["node"]: r["root"] for r in found.collect()}
     want = slow_components([(fp, fp & (2**64 - 1)) for (fp,) in rows])
     assert [roots.get(fp, fp) for (fp,) in rows] == want
 
 
+def test_crowded_cells_against_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 4)
+    rng = np.random.default_rng(3)
+    left = rng.integers(0, 2**31, 3).tolist()
+    prints = [(int(a) << 32) | int(b) for a, many in zip(left, (4, 5, 9), strict=True) for b in rng.choice(2**31, many, replace=False)]
+
+    def vector(fp, half):
+        return tuple((fp >> (32 * half + 2 * i) & 3).bit_count() for i in range(16))
+
+    counts = {}
+    for fp in prints:
+        for half in (0, 1):
+            counts[half, vector(fp, half)] = counts.get((half, vector(fp, half)), 0) + 1
+    want = set()
+    for (half, v), n in counts.items():
+        if n > 4:
+            near = [v] + [(*v[:i], v[i] + d, *v[i + 1 :]) for i in range(16) for d in (-1, 1) if 0 <= v[i] + d <= 2]
+            want |= {sum(x << 2 * i for i, x in enumerate(w)) | half << 40 for w in near}
+    assert want
+    assert set(simhash.crowded_cells(spark.createDataFrame([(fp,) for fp in prints], "fp long")).tolist()) == want
+    assert len(simhash.crowded_cells(spark.createDataFrame([], "fp long"))) == 0
+
+
 def test_nulls_empties_repeats(spark):
     rows = [(None, "a b c d e", 1), (5, None, 2), (7, "", 3), (7, "", 4), (3, "a b c d e", 5), (None, "q r s t u v w", 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
