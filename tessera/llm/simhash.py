@@ -40,11 +40,21 @@ DENSE_CELL = 64
 #: A half's count vector that so many fingerprints share makes every cell within 1 of it crowded, without the cell being
 #: counted; or so many that there are at most CROWDED such vectors. Either way is exact; the rest of a cell is bounded.
 CROWD, CROWDED = 1000, 50_000
+#: Hashes whose bits are counted at once: bounded memory on very long texts.
+AT_ONCE = 51_000
 #: Rounds in which a shingle's sets are compared with one of them alone.
 STARS = 2
 HALF_ONES = 0x5555555555555555
 
 
+def _ones(hashes: bytes) -> np.ndarray:
+    """How many of the hashes, eight bytes each, have each bit."""
+    bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64)
+    whole = len(bits) // 255 * 255
+    counts = bits[whole:].sum(axis=0, dtype=np.uint8).astype(np.int64)
+    return counts + bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) if whole else counts
+
+
 def fingerprint(text: bytes, size: int = SHINGLE_WORDS) -> bytes:
     """Eight bytes, the highest bits first."""
     words = text.lower().split()  # both are of ASCII alone
@@ -56,12 +66,8 @@ def fingerprint(text: bytes, size: int = SHINGLE_WORDS) -> bytes:
     firsts, lasts = starts[: len(words) - size + 1].tolist(), (starts + lengths)[size - 1 :].tolist()
     digest = xxhash.xxh64_digest
     n, counts = len(firsts), np.zeros(64, np.int64)
-    for at in range(0, n, 51000):  # bounded memory on very long texts
-        hashes = b"".join([digest(joined[s:e], SEED) for s, e in zip(firsts[at : at + 51000], lasts[at : at + 51000], strict=True)])
-        bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64)
-        whole = len(bits) // 255 * 255
-        counts += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) if whole else 0
-        counts += bits[whole:].sum(axis=0, dtype=np.uint8)
+    for at in range(0, n, AT_ONCE):
+        counts += _ones(b"".join([digest(joined[s:e], SEED) for s, e in zip(firsts[at : at + AT_ONCE], lasts[at : at + AT_ONCE], strict=True)]))
     return np.packbits(2 * counts > n).tobytes()
 
 
@@ -184,18 +190,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("id", "fp", "component_id")
 
 
-def shingle_set(text: bytes, often: tuple[np.ndarray, np.ndarray], size: int = SET_WORDS) -> np.ndarray:
-    """The distinct word shingles, sorted: 58 bits of a hash, and above them a class of frequency, so that common ones
-    come last. often: sorted hashes of common shingles, and their classes; all others are of class 0."""
+def shingle_hashes(text: bytes, size: int = SET_WORDS) -> np.ndarray:
+    """The hashes of the distinct word shingles, sorted."""
     words = text.lower().split()
     size = min(size, len(words))
     if not size:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     joined, lengths = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
     firsts, lasts = starts[: len(words) - size + 1].tolist(), (starts + lengths)[size - 1 :].tolist()
     found = b"".join([xxhash.xxh64_digest(joined[s:e], SEED) for s, e in zip(firsts, lasts, strict=True)])
-    hashes = np.unique(np.frombuffer(found, ">u8").astype(np.uint64) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    return np.unique(np.frombuffer(found, ">u8").astype(np.uint64))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of shingles, as a signed number; of none: zero."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), AT_ONCE):
+        counts += _ones(hashes[at : at + AT_ONCE].astype(">u8").tobytes())
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
+
+
+def shingle_set(found: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles of these hashes, sorted: 58 bits of each, and above them a class of frequency, so that common ones
+    come last. often: sorted hashes of common shingles, and their classes; all others are of class 0."""
+    hashes = np.unique(found >> np.uint64(64 - HASH_BITS)).astype(np.int64)
     known, classes = often
     if len(known):
         at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
@@ -217,7 +236,7 @@ def _often(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):
-            sets = [shingle_set(x, NONE_OFTEN) for x in common.texts_of(batch, "text")]
+            sets = [shingle_set(shingle_hashes(x), NONE_OFTEN) for x in common.texts_of(batch, "text")]
             found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["h", "n"])
 
@@ -232,16 +251,30 @@ def _least_overlap(a: str, b: str):
     return 4 * (F.col(a) + F.col(b))
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """u, v: sets (fp, bits) whose fingerprints the grid links, one set for each fingerprint; and the others of a
+    fingerprint with that one."""
+    firsts = common.written(sets.groupBy("bits").agg(F.min("fp").alias("first")), "simhash-first")
+    linked = common.written(links(firsts.select(F.col("bits").alias("fp"))), "simhash-links")
+    for end in ("u", "v"):
+        linked = linked.join(firsts.select(F.col("bits").alias(end), F.col("first").alias(f"first_{end}")), end)
+    near = linked.select(F.least("first_u", "first_v").alias("u"), F.greatest("first_u", "first_v").alias("v"))
+    same = sets.join(firsts, "bits").where("fp <> first").select(F.col("first").alias("u"), F.col("fp").alias("v"))
+    return near.union(same).distinct()
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, sum (the text's hash), root, component_id: rows linked by sets of five-word shingles alike to 4/5 or more
     have the same root, and the smallest of their ids as component_id.
 
-    Fingerprints don't do here: at a similarity of 4/5 they differ by ten bits of 64, and at that distance the grid
-    would compare all with all. So sets are joined, exactly. Every such pair of sets shares a shingle of both
-    prefixes; at the first that it shares, enough of both sets must be left. Those pairs are first held against each
-    other by prefix (a shingle of one prefix that the other's order passes over isn't in the other set), and what that
-    can't exclude is compared whole. Equal sets fall together before that. Where several share a shingle, each is
-    first compared with the most typical, then with a few others that it isn't linked to yet; then those
+    Equal sets fall together. The others get fingerprints, segment counts and grid cells as in near_duplicates, and
+    the sets that these link are compared. That is the method; but at a similarity of 4/5 fingerprints differ by ten
+    bits of 64, a distance at which the grid would compare all with all. So an exact join looks for the links that
+    fingerprints don't show, among sets that aren't linked yet. Every such pair of sets shares a shingle of both
+    prefixes; at the first that it shares, enough of both sets must be left. Pairs of either kind are first held
+    against each other by prefix (a shingle of one prefix that the other's order passes over isn't in the other set),
+    and what that can't exclude is compared whole. Where several share a shingle, each is first compared with the most
+    typical, then with a few others, unless they are linked by then; then those
     outside the largest group so linked with the rest. Among many that share a shingle of their prefixes and aren't
     alike, that is every pair: shingles are ordered so that a prefix has the rarest.
     """
@@ -253,20 +286,22 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
 
-    def sets_of(batch: pa.RecordBatch) -> tuple[list[np.ndarray], pa.Array]:
-        sets = [shingle_set(x, shared.value) for x in common.texts_of(batch, "text")]
+    def sets_of(found: list[np.ndarray]) -> tuple[list[np.ndarray], pa.Array]:
+        sets = [shingle_set(x, shared.value) for x in found]
         return sets, pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            sets, fp = sets_of(batch)
-            sizes = pa.array([len(x) for x in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sum"), fp, sizes, listed([prefix(x) for x in sets])], ["id", "sum", "fp", "size", "prefix"])
+            found = [shingle_hashes(x) for x in common.texts_of(batch, "text")]
+            sets, fp = sets_of(found)
+            bits, sizes = pa.array(map(set_fingerprint, found), pa.int64()), pa.array([len(x) for x in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sum"), fp, bits, sizes, listed([prefix(x) for x in sets])], ["id", "sum", "fp", "bits", "size", "prefix"])
         common.trim()
 
-    prints = common.written(rows.mapInArrow(prefixes, "id long, sum long, fp long, size int, prefix array<long>"), "sets-prints")
+    prints = common.written(rows.mapInArrow(prefixes, "id long, sum long, fp long, bits long, size int, prefix array<long>"), "sets-prints")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sum")).alias("least")
-    distinct = common.written(prints.groupBy("fp").agg(least, F.first("size").alias("size"), F.first("prefix").alias("prefix")), "sets-distinct")
+    firsts = [F.first(x).alias(x) for x in ("bits", "size", "prefix")]
+    distinct = common.written(prints.groupBy("fp").agg(least, *firsts), "sets-distinct")
     cells = distinct.select("fp", "size", F.posexplode("prefix").alias("at", "cell"))
     several = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     cells = common.written(cells.join(several, "cell"), "sets-shared")
@@ -294,8 +329,6 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         may = lambda a: 9 * F.col(f"size_{a}") - _least_overlap("size_u", "size_v")
         return common.written(found.where((only("u", "v") <= may("u")) & (only("v", "u") <= may("v"))).select("u", "v"), name)
 
-    stars = cells.where(F.col("fp") != F.col("best.fp")).where(fits("", "best.")).select(F.least("best.fp", "fp").alias("u"), F.greatest("best.fp", "fp").alias("v"))
-    pairs = possible(stars.distinct(), "sets-pairs")
     slot = lambda one, sum_: F.pmod(F.xxhash64(one, sum_), F.lit(SLOTS))
 
     def alike(pairs: DataFrame, name: str) -> DataFrame:
@@ -308,7 +341,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in common.slices([batch.filter(pa.array(slots.value[batch.column("slot").to_numpy()]))], "text"):
-                    sets, fp = sets_of(part)
+                    sets, fp = sets_of([shingle_hashes(x) for x in common.texts_of(part, "text")])
                     yield pa.RecordBatch.from_arrays([fp, listed(sets)], ["fp", "hashes"])
             common.trim()
 
@@ -319,7 +352,15 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         common.discard(sets)
         return found
 
-    found = alike(pairs, "sets-links")
+    pairs = possible(fingerprint_pairs(distinct.select("fp", "bits")), "simhash-pairs")
+    found = alike(pairs, "simhash-alike") if pairs.head(1) else pairs
+    roots = common.written(components(found), "simhash-roots")
+    stars = cells.where(F.col("fp") != F.col("best.fp")).where(fits("", "best.")).select(F.least("best.fp", "fp").alias("u"), F.greatest("best.fp", "fp").alias("v")).distinct()
+    for end in ("u", "v"):
+        stars = stars.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    rest = possible(stars.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v"), "sets-pairs")
+    if rest.head(1):
+        found = found.union(alike(rest, "sets-links"))
     ends = [F.least("x.fp", "fp").alias("u"), F.greatest("x.fp", "fp").alias("v")]
     members = cells.where((F.col("n") > 2) & (F.col("fp") != F.col("best.fp"))).select("cell", "fp", "size", "at", "typical")
 

@@ -142,3 +142,61 @@ def test_stage_keeps_one_of_all_alike_to_four_fifths(spark, seed):
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(root))
     assert len(kept) < len(rows) / 2
+
+
+def plain_set_fingerprint(text):
+    hashes = [xxhash.xxh64_intdigest(" ".join(x).encode(), 42) for x in slow_set(text)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("text", ["", " \n", "One two", "a b c d e a b c d e a b", "x " * 300, " ".join(f"w{i}" for i in range(60_000))])
+def test_set_fingerprint(text):
+    assert simhash.set_fingerprint(simhash.shingle_hashes(text.encode())) & (2**64 - 1) == plain_set_fingerprint(text)
+
+
+def stage_rows():
+    rng = np.random.default_rng(5)
+    bases = [[f"w{x}" for x in rng.integers(0, 9000, 1500)] for _ in range(6)]
+    texts = [" ".join(["new", *b[1:]]) for b in bases] + [" ".join(b) for b in bases]
+    texts += [" ".join(f"v{x}" if x % 50 == 7 else w for x, w in enumerate(b)) for b in bases[:3]]  # alike to 4/5 and not to four bits
+    return [(i, x) for i, x in enumerate([*texts, texts[7], texts[8].upper(), "", None, "p q", "q p"])]
+
+
+STAGE_KEEPS = [0, 1, 2, 3, 4, 5, 17, 19, 20]
+
+
+def test_stage_goes_by_fingerprints_and_the_grid(spark, monkeypatch):
+    rows, seen, compared = stage_rows(), [], []
+    links, pairs = simhash.links, simhash.fingerprint_pairs
+
+    def kept_links(prints):
+        seen.append(sorted(r.fp & (2**64 - 1) for r in prints.collect()))
+        return links(prints)
+
+    def kept_pairs(sets):
+        bits = {r.fp: r.bits & (2**64 - 1) for r in sets.collect()}
+        compared.extend(sorted(bits[x] for x in r) for r in pairs(sets).collect())
+        return pairs(sets)
+
+    monkeypatch.setattr(simhash, "links", kept_links)
+    monkeypatch.setattr(simhash, "fingerprint_pairs", kept_pairs)
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == STAGE_KEEPS
+    prints = [plain_set_fingerprint(x or "") for _, x in rows]
+    assert seen[0] == sorted(set(prints))
+    near = [sorted((prints[i], prints[i + 6])) for i in range(6)]
+    assert all((a ^ b).bit_count() <= 4 for a, b in near) and all(x in compared for x in near if x[0] != x[1])
+    far = [(prints[i + 6] ^ prints[i + 12]).bit_count() for i in range(3)]
+    assert max(far) > 4
+
+
+@pytest.mark.parametrize("kind", ["none", "hub"])
+def test_stage_is_exact_whatever_fingerprints_link(spark, monkeypatch, kind):
+    def others(prints):
+        first = min(r.fp for r in prints.collect())
+        rows = [(r.fp, first) for r in prints.collect() if r.fp != first and kind == "hub"]
+        return spark.createDataFrame(rows, "u long, v long")
+
+    monkeypatch.setattr(simhash, "links", others)
+    kept = simhash.one_of_each(spark.createDataFrame(stage_rows(), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == STAGE_KEEPS
