@@ -74,7 +74,7 @@ def test_returns_beside_one_another(spark, odd):
 
 
 def test_a_run_is_a_few_hundred_jobs_and_risk_fails_alone(spark, odd, tmp_path):
-    """It was 654 jobs: every section joined, shuffled and ranked the pool's cells anew."""
+    """A stored run at sf0.1 was 654 jobs (this one was not counted then): every section joined, shuffled and ranked the pool's cells anew."""
     factor, px, _, risk, members = odd
     jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
     how = dict(horizons=(1, 3), n_groups=5, min_ic_stocks=8, min_group_stocks=7, min_industry_ic_stocks=6, ic_methods=METHODS, selected_pools=("all", "some"), tradability_filter=False, verbose=False, output_root=str(tmp_path))
